@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, simhash, substring
+from . import bpe, chat, decontaminate, langid, simhash, substring, suffix_lm, urls, warc
+from .common import save
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -21,6 +22,17 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digests(save(chat.format_turns(turns), "formatted"))
+
+
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -30,6 +42,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_spans(table(spark, sf_dir, "documents"))
 
@@ -39,6 +55,12 @@ def fold(of: str, parts: int) -> Column:
     return F.crc32(F.col(of).cast("string")) % parts
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffix_lm.score(docs.where(fold("doc_id", 10) != 0), docs)
+    return found.withColumn("held_out", fold("doc_id", 10) == 0).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(fold("doc_id", 5) != 0))
@@ -49,8 +71,12 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_chat": op2_chat,
+    "op3_urls": op3_urls,
     "op4_simhash": op4_simhash,
     "op6_decontaminate": op6_decontaminate,
+    "op7_warc": op7_warc,
+    "op8_lm": op8_lm,
     "op9_substring": op9_substring,
     "op10_langid": op10_langid,
 }
