@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, simhash, substring, suffix_lm, urls, warc
+from . import bpe, chat, decontaminate, descent, langid, simhash, substring, suffix_lm, urls, warc
 from .common import save
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -38,6 +38,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return descent.near_duplicates(table(spark, sf_dir, "embeddings")).rows
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat": op2_chat,
     "op3_urls": op3_urls,
     "op4_simhash": op4_simhash,
+    "op5_embeddings": op5_embeddings,
     "op6_decontaminate": op6_decontaminate,
     "op7_warc": op7_warc,
     "op8_lm": op8_lm,
