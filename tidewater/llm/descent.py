@@ -19,7 +19,7 @@ NEIGHBOURS = 8
 #: A saturated list is enlarged by this factor.
 ENLARGE = 4
 #: Tables of random hyperplanes that seed the graph, and vectors that a bucket holds on average at least.
-TABLES, BUCKET = 6, 32
+TABLES, BUCKET = 12, 32
 #: Vectors of a bucket or a cell that are compared as one block.
 BLOCK = 128
 #: What the cosine of two vectors rounded to 8 bits may be off.
@@ -272,7 +272,7 @@ def audit(nodes: DataFrame, counted: DataFrame, dim: int, threshold: float, tota
 
 
 def near_duplicates(
-    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, k: int = NEIGHBOURS, least_recall: float = 0.97, tries: int = 3,
+    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, k: int = NEIGHBOURS, least_recall: float = 0.99, tries: int = 3,
 ) -> Links:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors``, with the audited recall.
 
