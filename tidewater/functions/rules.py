@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scores import c
+from .scores import c, half_up
 
 Rule = tuple[Column, Column | str]
 
@@ -54,11 +54,11 @@ def video_recommendations() -> Column:
     """Over the columns of a video summary; one text if no frame was assessed."""
     mean, trend = c("average_frame_score"), c("quality_trend")
     found = fired([
-        (c("quality_std") > 20, F.format_string("High variability (std %.1f): stabilise the camera or the light", "quality_std")),
-        (c("temporal_stability") < 0.5, F.format_string("Low temporal stability (%.2f): quality changes fast between frames", "temporal_stability")),
-        (mean < 40, F.format_string("Poor average quality (%.1f): capture again", "average_frame_score")),
-        (mean > 70, F.format_string("Good average quality (%.1f)", "average_frame_score")),
-        (c("blue_water_severity_avg") > 7, F.format_string("Severe blue water (%.1f of 10): correct colours", "blue_water_severity_avg")),
+        (c("quality_std") > 20, F.format_string("High variability (std %.1f): stabilise the camera or the light", half_up("quality_std", 1))),
+        (c("temporal_stability") < 0.5, F.format_string("Low temporal stability (%.2f): quality changes fast between frames", half_up("temporal_stability", 2))),
+        (mean < 40, F.format_string("Poor average quality (%.1f): capture again", half_up("average_frame_score", 1))),
+        (mean > 70, F.format_string("Good average quality (%.1f)", half_up("average_frame_score", 1))),
+        (c("blue_water_severity_avg") > 7, F.format_string("Severe blue water (%.1f of 10): correct colours", half_up("blue_water_severity_avg", 1))),
         (trend < -0.5, "Declining quality: turbidity or light may change"),
         (trend > 0.5, "Improving quality: early frames are less useful"),
     ])
@@ -68,9 +68,9 @@ def video_recommendations() -> Column:
 def video_warnings() -> Column:
     poor, blue = c("very_poor_percentage"), c("severe_percentage")
     found = fired([
-        (poor > 50, F.format_string("CRITICAL: %.1f%% of the frames are very poor", "very_poor_percentage")),
-        ((poor > 25) & (poor <= 50), F.format_string("HIGH: %.1f%% of the frames are poor", "very_poor_percentage")),
-        (c("quality_max_diff") > 40, F.format_string("HIGH: abrupt quality changes (%.1f)", "quality_max_diff")),
-        (blue > 30, F.format_string("HIGH: %.1f%% of the frames have severe blue water", "severe_percentage")),
+        (poor > 50, F.format_string("CRITICAL: %.1f%% of the frames are very poor", half_up("very_poor_percentage", 1))),
+        ((poor > 25) & (poor <= 50), F.format_string("HIGH: %.1f%% of the frames are poor", half_up("very_poor_percentage", 1))),
+        (c("quality_max_diff") > 40, F.format_string("HIGH: abrupt quality changes (%.1f)", half_up("quality_max_diff", 1))),
+        (blue > 30, F.format_string("HIGH: %.1f%% of the frames have severe blue water", half_up("severe_percentage", 1))),
     ])
     return F.when(c("analyzed_frames") == 0, F.array(F.lit("CRITICAL: no frame could be analysed"))).otherwise(found)

@@ -15,7 +15,13 @@ def c(name: str | Column) -> Column:
 
 
 def clip(x: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
+    """x between lo and hi; null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), x)))
+
+
+def half_up(x: str | Column, digits: int) -> Column:
+    """Rounded half up by its decimal value: what a product of doubles lacks in its last bits doesn't count."""
+    return F.round(F.round(c(x), 9), digits)
 
 
 def share(name: str, full: float) -> Column:
@@ -65,7 +71,7 @@ def usability_category(score: str | Column = "overall_score", levels: int = 5) -
 
 def colour_quality(ratio: Column | str = "blue_green_ratio", rms: Column | str = "rms_contrast") -> Column:
     ratio, rms = F.coalesce(c(ratio), F.lit(0.5)), F.coalesce(c(rms), F.lit(0.0))
-    return F.round(0.6 * F.greatest(F.lit(0.0), 100 * (1 - 2 * F.abs(ratio - 0.5))) + 0.4 * F.least(F.lit(100.0), 400 * rms), 1)
+    return half_up(0.6 * F.greatest(F.lit(0.0), 100 * (1 - 2 * F.abs(ratio - 0.5))) + 0.4 * F.least(F.lit(100.0), 400 * rms), 1)
 
 
 def severity_label(severity: Column | str = "blue_water_problem_severity") -> Column:
