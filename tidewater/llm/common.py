@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -130,3 +131,42 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     tops = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(tops)
+
+
+#: Pairs for each member of a bucket that are compared at most before a bucket is split by second marks.
+CROWD = 64
+
+
+def linked(marked: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) of nodes that ``verify`` links, among those that share a mark.
+
+    marked: (mark, node).  ``verify`` keeps those of the pairs (a, b) that are similar.  First each
+    sharer of a mark is tied to the least one, so that a group of similar nodes takes as many
+    comparisons as members.  Pairs that are in one component then need no more of them; what is
+    left are buckets whose members lie in several components, and there all pairs across the
+    components are compared.  Where those are more than CROWD for a member, members meet the
+    least of each other component, or, with more than CROWD components, those that share a second mark.
+    """
+    least = save(marked.groupBy("mark").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("mark", "b"), "least")
+    shared = save(marked.join(least, "mark").select("mark", "node", "b"), "shared")
+    ties = save(shared.where("node > b").select(F.col("node").alias("a"), "b").distinct(), "ties")
+    first = save(verify(ties), "verified")
+    found = components(first)
+    named = save(shared.select("mark", "node").join(found, "node", "left").select("mark", "node", F.coalesce("component", "node").alias("root")), "named")
+    parts = save(named.groupBy("mark", "root").agg(F.count("*").alias("m"), F.min("node").alias("rep")), "parts")
+    sizes = parts.groupBy("mark").agg(F.count("*").alias("parts"), F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("squares")).where("parts > 1")
+    sizes = save(sizes.withColumn("open", (F.col("n") * F.col("n") - F.col("squares")) / 2), "open")
+    few, many = F.col("open") <= CROWD * F.col("n"), F.col("parts") > CROWD
+    small = named.join(sizes.where(few).select("mark"), "mark")
+    other = small.select("mark", F.col("node").alias("b"), F.col("root").alias("other"))
+    pairs = small.join(other, "mark").where("root != other and node > b").select(F.col("node").alias("a"), "b")
+    wide = named.join(sizes.where(~few & ~many).select("mark"), "mark")
+    reps = parts.select("mark", F.col("root").alias("other"), F.col("rep").alias("b"))
+    pairs = pairs.union(wide.join(reps, "mark").where("root != other").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")))
+    crowd = named.join(sizes.where(~few & many).select("mark"), "mark").select("mark", "node", "root").join(shared.select("node", F.col("mark").alias("second")), "node").where("mark != second")
+    lead = crowd.groupBy("mark", "second").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("mark", "second", "b")
+    pairs = pairs.union(crowd.join(lead, ["mark", "second"]).where("node > b").select(F.col("node").alias("a"), "b"))
+    more = save(pairs.distinct().join(ties, ["a", "b"], "left_anti"), "pairs")
+    if more.isEmpty():
+        return found
+    return components(first.union(verify(more)))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_rows, as_bytes, components, save
+from .common import LOWER, arrow_rows, as_bytes, components, linked, save
 
 SEED = 42
 #: Rows of hashes whose bits are counted at once; bounds memory for very long texts.
@@ -119,8 +119,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = save(fingerprints(docs, id_col, text_col, size), "fingerprints")
     distinct = save(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    linked = components(fingerprint_edges(distinct.select("fp"), radius, blocks))
-    first = distinct.join(linked, distinct.fp == linked.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    found = components(fingerprint_edges(distinct.select("fp"), radius, blocks))
+    first = distinct.join(found, distinct.fp == found.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     roots = first.groupBy("root").agg(F.min("first").alias("component_id"))
     named = save(first.join(roots, "root").select("fp", "component_id"), "named")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -166,9 +166,8 @@ def partition_blocks(hashes: np.ndarray, blocks: int, share: int) -> tuple[np.nd
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, blocks: int = 16, share: int = 6) -> DataFrame:
     """(doc_id, component_id): groups of texts whose word shingles are similar.
 
-    Distinct texts join on the blocks of their partitioned fingerprints; each sharer of
-    a block is tied to the least doc_id that has it, and ties whose exact Jaccard
-    similarity of distinct ``size``-word shingles is below ``threshold`` are removed.
+    Distinct texts join on the blocks of their partitioned fingerprints (see ``common.linked``), and
+    pairs whose exact Jaccard similarity of distinct ``size``-word shingles is below ``threshold`` are removed.
     Pairs at the threshold share a block with probability over 0.98 at the defaults.
     Texts without words (null and empty included) form one group.  Rows with a
     null doc_id are left out.
@@ -192,15 +191,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     firsts = save(made.groupBy("same").agg(F.min("doc_id").alias("first")), "firsts")
     blocked = save(
         made.join(firsts, (made.same == firsts.same) & (made.doc_id == firsts["first"]), "left_semi")
-        .dropDuplicates(["doc_id"]).select("doc_id", F.explode("marks").alias("mark")), "marks",
+        .dropDuplicates(["doc_id"]).select(F.explode(F.array_distinct("marks")).alias("mark"), F.col("doc_id").alias("node")), "marks",
     )
-    least = save(blocked.groupBy("mark").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1").select("mark", "b"), "least")
-    ties = save(blocked.join(least, "mark").where(F.col("doc_id") > F.col("b")).select(F.col("doc_id").alias("a"), "b").distinct(), "ties")
-    one = made.dropDuplicates(["doc_id"]).select("doc_id", "shingles")
-    left = ties.join(one.withColumnsRenamed({"doc_id": "a", "shingles": "s"}), "a")
-    both = left.join(one.withColumnsRenamed({"doc_id": "b", "shingles": "t"}), "b")
-    common = F.size(F.array_intersect("s", "t"))
-    edges = both.where(common >= threshold * (F.size("s") + F.size("t") - common) - 1e-9).select("a", "b")
-    linked = components(edges)
-    rooted = firsts.join(linked, firsts["first"] == linked.node, "left").select("same", F.coalesce("component", "first").alias("component_id"))
+    one = save(made.dropDuplicates(["doc_id"]).select("doc_id", "shingles"), "sets")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        left = pairs.join(one.withColumnsRenamed({"doc_id": "a", "shingles": "s"}), "a")
+        both = left.join(one.withColumnsRenamed({"doc_id": "b", "shingles": "t"}), "b")
+        common = F.size(F.array_intersect("s", "t"))
+        return both.where(common >= threshold * (F.size("s") + F.size("t") - common) - 1e-9).select("a", "b")
+
+    found = linked(blocked, verify)
+    rooted = firsts.join(found, firsts["first"] == found.node, "left").select("same", F.coalesce("component", "first").alias("component_id"))
     return made.select("doc_id", "same").join(save(rooted, "rooted"), "same").select("doc_id", "component_id")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_rows, as_bytes, components, save
+from .common import LOWER, arrow_rows, as_bytes, linked, save
 
 SEED = 42
 #: Paragraphs of fewer words are compared as pieces of their surroundings only.
@@ -158,18 +158,16 @@ def paragraph_bands(docs: DataFrame, id_col: str, text_col: str, wanted: DataFra
 
 
 def paragraph_classes(bands: DataFrame, threshold: float) -> DataFrame:
-    """(key, class): distinct paragraphs whose Jaccard similarity reaches the threshold, by components.
-
-    Sharers of a band are tied to the least key that has it, and each tie is verified.
-    """
-    flat = save(bands.select("key", F.posexplode("bands").alias("band", "mark")), "bands")
-    least = save(flat.groupBy("band", "mark").agg(F.min("key").alias("b"), F.count("*").alias("m")).where("m > 1").select("band", "mark", "b"), "least")
-    ties = save(flat.join(least, ["band", "mark"]).where(F.col("key") > F.col("b")).select(F.col("key").alias("a"), "b").distinct(), "ties")
+    """(key, class): distinct paragraphs whose Jaccard similarity reaches the threshold, by components."""
     sets = bands.select("key", "shingles")
-    both = ties.join(sets.withColumnsRenamed({"key": "a", "shingles": "s"}), "a").join(sets.withColumnsRenamed({"key": "b", "shingles": "t"}), "b")
-    common = F.size(F.array_intersect("s", "t"))
-    edges = both.where(common >= threshold * (F.size("s") + F.size("t") - common) - 1e-9).select("a", "b")
-    return components(edges).select(F.col("node").alias("key"), F.col("component").alias("class"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.withColumnsRenamed({"key": "a", "shingles": "s"}), "a").join(sets.withColumnsRenamed({"key": "b", "shingles": "t"}), "b")
+        common = F.size(F.array_intersect("s", "t"))
+        return both.where(common >= threshold * (F.size("s") + F.size("t") - common) - 1e-9).select("a", "b")
+
+    marks = save(bands.select(F.explode(F.array_distinct("bands")).alias("mark"), F.col("key").alias("node")), "bands")
+    return linked(marks, verify).select(F.col("node").alias("key"), F.col("component").alias("class"))
 
 
 def repeated_spans(
