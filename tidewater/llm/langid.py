@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_rows, as_bytes
 
@@ -37,6 +38,7 @@ SCRIPTS = {
 }
 _RANGES = sorted((lo, hi, name) for name, ranges in SCRIPTS.items() for lo, hi in ranges)
 _STARTS = np.array([r[0] for r in _RANGES])
+_ENDS = np.array([r[1] for r in _RANGES])
 
 #: Labelled documents per language that the word scores are learnt from, about.
 SAMPLE = 1500
@@ -67,6 +69,15 @@ def grams(word: str) -> Iterator[str]:
             yield padded[i : i + n]
 
 
+def gram_keys(columns: list[np.ndarray]) -> np.ndarray:
+    """One 64-bit key for each n-gram; columns hold the code points of its places."""
+    key = np.full(len(columns[0]), len(columns), np.uint64)
+    for c in columns:
+        key = (key ^ c) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key
+
+
 class Model:
     """Per-word scores: log-likelihoods of character n-grams in each language, smoothed."""
 
@@ -78,27 +89,56 @@ class Model:
             total[len(gram)] += c
             kinds[len(gram)] += 1
         half = 0.5
-        self.unseen = np.array([np.log(half / (total[n] + half * kinds[n])) for n in range(5)])
-        self.grams = {g: np.log((c + half) / (total[len(g)] + half * kinds[len(g)])) for g, c in counts.items()}
-        self.scripts = scripts
+        weight = np.arange(5)[:, None] / 10  # longer grams say more
+        self.unseen = weight * np.array([np.log(half / (total[n] + half * kinds[n])) for n in range(5)])
+        keys, values = [np.zeros(0, np.uint64)], [np.zeros((0, len(langs)))]
+        for n in range(1, 5):
+            own = [g for g in counts if len(g) == n]
+            if own:
+                places = np.frombuffer("".join(own).encode("utf-32-le"), np.uint32).reshape(-1, n).astype(np.uint64)
+                keys.append(gram_keys(list(places.T)))
+                values.append(weight[n] * np.log((np.array([counts[g] for g in own]) + half) / (total[n] + half * kinds[n])))
+        flat = np.concatenate(keys)
+        order = np.argsort(flat)
+        self.keys, self.values = flat[order], np.concatenate(values)[order]
+        none = np.zeros(len(langs), bool)
+        self.allowed = np.array([scripts.get(r[2], none) for r in _RANGES] + [scripts.get("other", none)])
         self.numbers: dict[str, int] = {}
         self.scores = np.zeros((0, len(langs)), np.float32)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("numbers", "scores")} | {"numbers": {}, "scores": np.zeros((0, len(self.langs)), np.float32)}
 
-    def score(self, word: str) -> np.ndarray:
-        word = letters_of(word)
-        if not word:
-            return np.full(len(self.langs), np.nan)
-        allowed = self.scripts.get(script_of(word[0]))
-        if allowed is None or not allowed.any():
-            return np.zeros(len(self.langs))
-        total = np.zeros(len(self.langs))
-        for gram in grams(word):
-            total += self.grams.get(gram, self.unseen[len(gram)]) * (len(gram) / 10)
-        total -= total.max()
-        return np.where(allowed, np.maximum(total, -WORD_LIMIT), -WORD_LIMIT)
+    def score(self, words: list[str]) -> np.ndarray:
+        """Log odds of each word against its best language; a row of NaN for words without letters."""
+        out = np.full((len(words), len(self.langs)), np.nan, np.float32)
+        for lo in range(0, len(words), 50_000):
+            letters = [letters_of(w) for w in words[lo : lo + 50_000]]
+            where = np.flatnonzero([bool(w) for w in letters])
+            if len(where):
+                out[lo + where] = self._score([letters[i] for i in where])
+        return out
+
+    def _score(self, words: list[str]) -> np.ndarray:
+        flat = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        length = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        of = np.repeat(np.arange(len(words)), length)
+        total = np.zeros((len(words), len(self.langs)))
+        for n in range(1, 5):
+            at = np.flatnonzero(of[: len(of) - n + 1] == of[n - 1 :])
+            key = gram_keys([flat[at + i] for i in range(n)])
+            row = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+            known = self.keys[row] == key if len(self.keys) else np.zeros(len(key), bool)
+            value = np.where(known[:, None], self.values[row], self.unseen[n]) if len(self.keys) else np.repeat(self.unseen[n : n + 1], len(key), axis=0)
+            for j in range(len(self.langs)):
+                total[:, j] += np.bincount(of[at], weights=value[:, j], minlength=len(words))
+        total -= total.max(axis=1, keepdims=True)
+        first = flat[np.r_[0, np.cumsum(length)[:-1]] + 1].astype(np.int64)
+        block = np.searchsorted(_STARTS, first, side="right") - 1
+        block = np.where((block >= 0) & (first <= _ENDS[block]), block, len(_RANGES))
+        allowed = self.allowed[block]
+        scores = np.where(allowed, np.maximum(total, -WORD_LIMIT), -WORD_LIMIT)
+        return np.where(allowed.any(axis=1, keepdims=True), scores, 0.0)
 
     def look_up(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Numbers of each text's words in ``scores``."""
@@ -115,7 +155,7 @@ class Model:
             out.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
         if fresh:
             assert len(numbers) == known + len(fresh)
-            self.scores = np.concatenate([self.scores, np.array([self.score(w) for w in fresh], np.float32)])
+            self.scores = np.concatenate([self.scores, self.score(fresh)])
         return out
 
 
@@ -183,17 +223,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share[F.col("lang")])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
-        scripts: dict[str, Counter] = {}
+        seen: dict[str, Counter] = {}
         for batch in batches:
             for text, lang in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                words = Counter(WORD.findall(text.decode("utf-8", "replace").lower()))
-                to, of = counts.setdefault(lang, Counter()), scripts.setdefault(lang, Counter())
-                for word, n in words.items():
-                    if letters := letters_of(word):
-                        of[script_of(letters[0])] += n
-                        for gram in grams(letters):
-                            to[gram] += n
+                seen.setdefault(lang, Counter()).update(WORD.findall(text.decode("utf-8", "replace").lower()))
+        counts: dict[str, Counter] = {lang: Counter() for lang in seen}
+        scripts: dict[str, Counter] = {lang: Counter() for lang in seen}
+        for lang, words in seen.items():
+            to, of = counts[lang], scripts[lang]
+            for word, n in words.items():
+                if letters := letters_of(word):
+                    of[script_of(letters[0])] += n
+                    for gram in grams(letters):
+                        to[gram] += n
         found = [(lang, g, n, False) for lang, c in counts.items() for g, n in c.items()] + [(lang, g, n, True) for lang, c in scripts.items() for g, n in c.items()]
         for at in range(0, len(found), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*found[at : at + 50_000], strict=True)], names=["lang", "gram", "n", "script"])
@@ -212,7 +254,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 _models: dict[str, Model] = {}
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH, with_spans: bool = True) -> DataFrame:
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH, with_spans: bool = True, keep: bool = False) -> DataFrame:
     """(doc_id, lang_pred, score[, spans]) of every row of ``docs``.
 
     Script ranges narrow each word to the languages written in its script, and
@@ -220,11 +262,13 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     lang_pred is the language of most letters, score its share of them (0 to 1), spans the runs of
     words of one language as (start, end, lang), in word numbers.  A null text or one without
     letters is ``und`` with score 0, and so is everything if the model has no language.
-    Null ids and repeated rows are returned as given; other columns are dropped.
+    Null ids and repeated rows are returned as given; other columns are dropped, unless ``keep`` leaves
+    all columns of ``docs`` as they are and adds ``_lang_pred`` and ``_lang_score``.
     """
     spark = docs.sparkSession
     arrow_rows(spark)
     shipped, mark = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+    text_at = docs.columns.index(text_col) if keep else 1
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if mark not in _models:
@@ -232,7 +276,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             _models[mark] = shipped.value
         own = _models[mark]
         for batch in batches:
-            texts = [WORD.findall((t or b"").decode("utf-8", "replace").lower()) for t in as_bytes(batch.column(1))]
+            texts = [WORD.findall((t or b"").decode("utf-8", "replace").lower()) for t in as_bytes(batch.column(text_at))]
             langs, scores, spans = [], [], []
             numbers = own.look_up(texts) if own.langs else [np.zeros(0, np.int64)] * len(texts)
             rows = [own.scores[n] for n in numbers]
@@ -254,6 +298,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                     where = np.flatnonzero(keep)
                     ends = np.r_[at[1:], len(path)]
                     spans.append([{"start": int(where[a]), "end": int(where[b - 1]) + 1, "lang": own.langs[path[a]]} for a, b in zip(at, ends, strict=True)])
+            if keep:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "_lang_pred", "_lang_score"])
+                continue
             cols = [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             names = ["doc_id", "lang_pred", "score"]
             if with_spans:
@@ -261,5 +308,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 names.append("spans")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
+    if keep:
+        schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())])
+        return docs.mapInArrow(each, schema)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(each, "doc_id long, lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * with_spans)
