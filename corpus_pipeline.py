@@ -1,7 +1,8 @@
 """From raw documents to token ids: the stages that prepare a training corpus.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it
-kept; ``run`` writes and rereads what each returns.
+kept; ``run`` writes and rereads what each returns.  A stage therefore begins by
+deleting the scratch tables of those before it.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import bpe, decontaminate, langid, simhash, substring
-from tidewater.llm.common import scratch_path
+from tidewater.llm.common import delete, drop_scratch, scratch_path
 
 #: The part of a document's letters that its language has to hold.
 LEAST_SCORE = 0.5
@@ -21,13 +22,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents whose text has letters, most of them of one language; lang is what is found."""
     known = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = langid.train(known.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
-    found = langid.identify(docs, model, with_spans=False).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    kept = found.select(F.col("doc_id").alias("_id"), "lang_pred").distinct()
-    return docs.join(kept, docs.doc_id == kept["_id"]).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    found = langid.identify(docs, model, keep_columns=True)
+    kept = found.where((F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_lang_score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.col("_lang_pred")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each group of similar texts."""
+    drop_scratch(spark)
     groups = simhash.similar_groups(docs)
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
     return docs.dropDuplicates(["doc_id"]).join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
@@ -35,12 +37,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document has; what is left empty goes."""
+    drop_scratch(spark)
     cut = substring.removed(docs, substring.repeated_spans(docs))
     return cut.withColumn("n_chars", F.length("text").cast("long")).where(F.length(F.trim("text")) > 0)
 
 
 def cut_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of the benchmark; documents that mostly are such passages go."""
+    drop_scratch(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     cut = decontaminate.decontaminate(docs, items)
     return cut.withColumn("n_chars", F.length("text").cast("long")).where(F.length(F.trim("text")) > 0)
@@ -48,6 +52,7 @@ def cut_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with the digests of ids and of the bytes they decode to."""
+    drop_scratch(spark)
     return bpe.tokenize(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -64,9 +69,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        path = scratch_path(spark, name.replace(" ", "-"))
+        path = scratch_path(spark, name.replace(" ", "-"), lasting=True)
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 _own: dict[str, str] = {}
 _tables: list[tuple[SparkSession, str]] = []
+_lasting: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,10 +38,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _own["dir"]
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is deleted when the process ends."""
+def scratch_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
+    """A new path in the shared folder; it is deleted when the process ends.
+
+    A ``lasting`` one outlives ``drop_scratch`` until then.
+    """
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _tables.append((spark, path))
+    (_lasting if lasting else _tables).append((spark, path))
     return path
 
 
@@ -67,9 +72,37 @@ def forget(df: DataFrame) -> None:
         delete(spark, path)
 
 
+@contextlib.contextmanager
+def tidy() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete the tables that ``save`` writes inside the block, except those given to what it yields."""
+    before, kept = len(_tables), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(f.rsplit("/", 1)[0] for f in df.inputFiles())
+        return df
+
+    yield keep
+    inside = _tables[before:]
+    del _tables[before:]
+    for spark, path in inside:
+        if any(k.endswith(path.rsplit("/", 1)[1]) for k in kept):
+            _tables.append((spark, path))
+        else:
+            delete(spark, path)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all tables that ``save`` has written so far: for jobs that have written what they made of them."""
+    for _, path in _tables:
+        delete(spark, path)
+    _tables.clear()
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffles that nothing refers to any more
+
+
 @atexit.register
 def _clear() -> None:
-    for spark, path in _tables:
+    for spark, path in [*_tables, *_lasting]:
         with contextlib.suppress(Exception):
             delete(spark, path)
 
@@ -147,6 +180,11 @@ def linked(marked: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataF
     components are compared.  Where those are more than CROWD for a member, members meet the
     least of each other component, or, with more than CROWD components, those that share a second mark.
     """
+    with tidy() as keep:
+        return keep(save(_linked(marked, verify), "linked"))
+
+
+def _linked(marked: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     least = save(marked.groupBy("mark").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("mark", "b"), "least")
     shared = save(marked.join(least, "mark").select("mark", "node", "b"), "shared")
     ties = save(shared.where("node > b").select(F.col("node").alias("a"), "b").distinct(), "ties")
@@ -167,6 +205,4 @@ def linked(marked: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataF
     lead = crowd.groupBy("mark", "second").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("mark", "second", "b")
     pairs = pairs.union(crowd.join(lead, ["mark", "second"]).where("node > b").select(F.col("node").alias("a"), "b"))
     more = save(pairs.distinct().join(ties, ["a", "b"], "left_anti"), "pairs")
-    if more.isEmpty():
-        return found
-    return components(first.union(verify(more)))
+    return found if more.isEmpty() else components(first.union(verify(more)))

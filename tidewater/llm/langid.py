@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,7 @@ SWITCH = 8.0
 #: A language takes part for words of a script if so much of its sample's letters have that script.
 SCRIPT_SHARE = 0.01
 #: Distinct words that a worker remembers the scores of; it starts anew beyond that.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: Log odds that one word can give against a language, so that one odd word doesn't decide.
 WORD_LIMIT = 6.0
 
@@ -105,15 +106,16 @@ class Model:
         self.allowed = np.array([scripts.get(r[2], none) for r in _RANGES] + [scripts.get("other", none)])
         self.numbers: dict[str, int] = {}
         self.scores = np.zeros((0, len(langs)), np.float32)
+        self.sizes = np.zeros(0, np.int32)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("numbers", "scores")} | {"numbers": {}, "scores": np.zeros((0, len(self.langs)), np.float32)}
+        return self.__dict__ | {"numbers": {}, "scores": np.zeros((0, len(self.langs)), np.float32), "sizes": np.zeros(0, np.int32)}
 
     def score(self, words: list[str]) -> np.ndarray:
         """Log odds of each word against its best language; a row of NaN for words without letters."""
         out = np.full((len(words), len(self.langs)), np.nan, np.float32)
-        for lo in range(0, len(words), 50_000):
-            letters = [letters_of(w) for w in words[lo : lo + 50_000]]
+        for lo in range(0, len(words), 8_000):
+            letters = [letters_of(w) for w in words[lo : lo + 8_000]]
             where = np.flatnonzero([bool(w) for w in letters])
             if len(where):
                 out[lo + where] = self._score([letters[i] for i in where])
@@ -140,22 +142,22 @@ class Model:
         scores = np.where(allowed, np.maximum(total, -WORD_LIMIT), -WORD_LIMIT)
         return np.where(allowed.any(axis=1, keepdims=True), scores, 0.0)
 
-    def look_up(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Numbers of each text's words in ``scores``."""
+    def look_up(self, texts: Iterable[str]) -> list[np.ndarray]:
+        """Numbers of each text's words in ``scores`` and ``sizes``; the words are held one text at a time."""
         if len(self.numbers) > REMEMBERED:
-            self.numbers, self.scores = {}, np.zeros((0, len(self.langs)), np.float32)
-        known = len(self.numbers)
-        numbers, fresh = self.numbers, []
+            self.__dict__.update(self.__getstate__())
+        numbers, known = self.numbers, len(self.numbers)
         out = []
-        for words in texts:
+        for text in texts:
+            words = WORD.findall(text.lower())
             for w in words:
                 if w not in numbers:
                     numbers[w] = len(numbers)
-                    fresh.append(w)
-            out.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
-        if fresh:
-            assert len(numbers) == known + len(fresh)
+            out.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+        if len(numbers) > known:
+            fresh = list(itertools.islice(numbers, known, None))
             self.scores = np.concatenate([self.scores, self.score(fresh)])
+            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, fresh), np.int32, len(fresh))])
         return out
 
 
@@ -236,9 +238,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     of[script_of(letters[0])] += n
                     for gram in grams(letters):
                         to[gram] += n
-        found = [(lang, g, n, False) for lang, c in counts.items() for g, n in c.items()] + [(lang, g, n, True) for lang, c in scripts.items() for g, n in c.items()]
-        for at in range(0, len(found), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*found[at : at + 50_000], strict=True)], names=["lang", "gram", "n", "script"])
+        for found, script in ((counts, False), (scripts, True)):
+            for lang, many in found.items():
+                items = iter(many.items())
+                while some := list(itertools.islice(items, 20_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array([g for g, _ in some]), pa.array([n for _, n in some]), pa.array([script] * len(some))], names=["lang", "gram", "n", "script"])
 
     made = some.select("text", "lang").mapInArrow(each, "lang string, gram string, n long, script boolean")
     table = made.groupBy("lang", "gram", "script").agg(F.sum("n").alias("n")).where("script or n > 2").toPandas()
@@ -254,7 +258,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 _models: dict[str, Model] = {}
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH, with_spans: bool = True, keep: bool = False) -> DataFrame:
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH, with_spans: bool = True, keep_columns: bool = False) -> DataFrame:
     """(doc_id, lang_pred, score[, spans]) of every row of ``docs``.
 
     Script ranges narrow each word to the languages written in its script, and
@@ -262,13 +266,13 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     lang_pred is the language of most letters, score its share of them (0 to 1), spans the runs of
     words of one language as (start, end, lang), in word numbers.  A null text or one without
     letters is ``und`` with score 0, and so is everything if the model has no language.
-    Null ids and repeated rows are returned as given; other columns are dropped, unless ``keep`` leaves
+    Null ids and repeated rows are returned as given; other columns are dropped, unless ``keep_columns`` leaves
     all columns of ``docs`` as they are and adds ``_lang_pred`` and ``_lang_score``.
     """
     spark = docs.sparkSession
     arrow_rows(spark)
     shipped, mark = spark.sparkContext.broadcast(model), uuid.uuid4().hex
-    text_at = docs.columns.index(text_col) if keep else 1
+    text_at = docs.columns.index(text_col) if keep_columns else 1
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if mark not in _models:
@@ -276,19 +280,19 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             _models[mark] = shipped.value
         own = _models[mark]
         for batch in batches:
-            texts = [WORD.findall((t or b"").decode("utf-8", "replace").lower()) for t in as_bytes(batch.column(text_at))]
+            texts = ((t or b"").decode("utf-8", "replace") for t in as_bytes(batch.column(text_at)))
             langs, scores, spans = [], [], []
-            numbers = own.look_up(texts) if own.langs else [np.zeros(0, np.int64)] * len(texts)
+            numbers = own.look_up(texts) if own.langs else [np.zeros(0, np.int32)] * batch.num_rows
             rows = [own.scores[n] for n in numbers]
             real = [~np.isnan(r[:, 0]) for r in rows]
             paths = viterbi([r[k] for r, k in zip(rows, real, strict=True)], switch)
-            for words, keep, path in zip(texts, real, paths, strict=True):
+            for words, keep, path in zip(numbers, real, paths, strict=True):
                 if not len(path):
                     langs.append(UNKNOWN)
                     scores.append(0.0)
                     spans.append([])
                     continue
-                size = np.fromiter(map(len, words), np.int64, len(words))[keep]
+                size = own.sizes[words[keep]]
                 share = np.bincount(path, weights=size, minlength=len(own.langs))
                 top = int(share.argmax())
                 langs.append(own.langs[top])
@@ -298,7 +302,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                     where = np.flatnonzero(keep)
                     ends = np.r_[at[1:], len(path)]
                     spans.append([{"start": int(where[a]), "end": int(where[b - 1]) + 1, "lang": own.langs[path[a]]} for a, b in zip(at, ends, strict=True)])
-            if keep:
+            if keep_columns:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "_lang_pred", "_lang_score"])
                 continue
             cols = [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
@@ -308,7 +312,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 names.append("spans")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    if keep:
+    if keep_columns:
         schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())])
         return docs.mapInArrow(each, schema)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_rows, as_bytes, components, linked, save
+from .common import LOWER, arrow_rows, as_bytes, components, linked, save, tidy
 
 SEED = 42
 #: Rows of hashes whose bits are counted at once; bounds memory for very long texts.
@@ -173,34 +173,38 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     null doc_id are left out.
     """
     arrow_rows(docs.sparkSession)
+    flat = lambda xs: pa.ListArray.from_arrays(np.cumsum([0, *map(len, xs)]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *xs]))
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same, sets, marks = [], [], []
+            same, marks = [], []
             for text in as_bytes(batch.column(1)):
                 hashes = np.unique(shingle_hashes(text, size))
                 same.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-                sets.append(hashes.view(np.int64))
                 number, value = partition_blocks(hashes, blocks, share)
                 marks.append(number * np.int64(-7046029254386353131) ^ value)
-            flat = lambda xs: pa.ListArray.from_arrays(np.cumsum([0, *map(len, xs)]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *xs]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), flat(sets), flat(marks)], names=["doc_id", "same", "shingles", "marks"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    made = save(rows.mapInArrow(each, "doc_id long, same binary, shingles array<long>, marks array<long>"), "shingles")
-    firsts = save(made.groupBy("same").agg(F.min("doc_id").alias("first")), "firsts")
-    blocked = save(
-        made.join(firsts, (made.same == firsts.same) & (made.doc_id == firsts["first"]), "left_semi")
-        .dropDuplicates(["doc_id"]).select(F.explode(F.array_distinct("marks")).alias("mark"), F.col("doc_id").alias("node")), "marks",
-    )
-    one = save(made.dropDuplicates(["doc_id"]).select("doc_id", "shingles"), "sets")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), flat(marks)], names=["doc_id", "same", "marks"])
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(one.withColumnsRenamed({"doc_id": "a", "shingles": "s"}), "a")
-        both = left.join(one.withColumnsRenamed({"doc_id": "b", "shingles": "t"}), "b")
-        common = F.size(F.array_intersect("s", "t"))
-        return both.where(common >= threshold * (F.size("s") + F.size("t") - common) - 1e-9).select("a", "b")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, size)).view(np.int64) for t in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), flat(sets)], names=["doc_id", "shingles"])
 
-    found = linked(blocked, verify)
-    rooted = firsts.join(found, firsts["first"] == found.node, "left").select("same", F.coalesce("component", "first").alias("component_id"))
-    return made.select("doc_id", "same").join(save(rooted, "rooted"), "same").select("doc_id", "component_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    with tidy() as keep:
+        made = save(rows.mapInArrow(mark, "doc_id long, same binary, marks array<long>"), "marked")
+        firsts = save(made.groupBy("same").agg(F.min(F.struct("doc_id", "marks")).alias("f")).select("same", F.col("f.doc_id").alias("first"), "f.marks"), "firsts")
+        blocked = save(firsts.dropDuplicates(["first"]).select(F.explode(F.array_distinct("marks")).alias("mark"), F.col("first").alias("node")), "blocked")
+
+        def verify(pairs: DataFrame) -> DataFrame:
+            """Only the texts of these pairs are cut into shingles again."""
+            asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+            one = save(rows.join(asked, "doc_id", "left_semi").mapInArrow(cut, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
+            left = pairs.join(one.withColumnsRenamed({"doc_id": "a", "shingles": "s"}), "a")
+            both = left.join(one.withColumnsRenamed({"doc_id": "b", "shingles": "t"}), "b")
+            common = F.size(F.array_intersect("s", "t"))
+            return both.where(common >= threshold * (F.size("s") + F.size("t") - common) - 1e-9).select("a", "b")
+
+        found = linked(blocked, verify)
+        rooted = firsts.join(found, firsts["first"] == found.node, "left").select("same", F.coalesce("component", "first").alias("component_id"))
+        return keep(save(made.select("doc_id", "same").join(rooted, "same").select("doc_id", "component_id"), "groups"))

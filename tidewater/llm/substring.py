@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_rows, as_bytes, linked, save
+from .common import LOWER, arrow_rows, as_bytes, linked, save, tidy
 
 SEED = 42
 #: Paragraphs of fewer words are compared as pieces of their surroundings only.
@@ -186,6 +186,11 @@ def repeated_spans(
     run, component_id the least cluster in it.  Null ids and texts are left out; a document is never compared with
     itself; repeated rows are reported once.
     """
+    with tidy() as keep:
+        return keep(_repeated_spans(docs, id_col, text_col, threshold, size, recall, least_run))
+
+
+def _repeated_spans(docs: DataFrame, id_col: str, text_col: str, threshold: float, size: int, recall: float, least_run: int) -> DataFrame:
     bands, rows = bands_for(threshold, recall)
     cutter = Paragraphs(bands, rows, size)
     found = save(units(docs, id_col, text_col, cutter), "units")
