@@ -51,14 +51,22 @@ def scratch_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    This cuts the lineage: later stages read files that outlive any executor.
+    This cuts the lineage: later stages read files that outlive any executor, and
+    the shuffles behind the table are released.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the files of shuffles that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -96,8 +104,7 @@ def drop_scratch(spark: SparkSession) -> None:
     for _, path in _tables:
         delete(spark, path)
     _tables.clear()
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffles that nothing refers to any more
+    release(spark)
 
 
 @atexit.register
@@ -167,7 +174,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 #: Pairs for each member of a bucket that are compared at most before a bucket is split by second marks.
-CROWD = 64
+CROWD = 16
 
 
 def linked(marked: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:

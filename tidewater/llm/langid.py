@@ -48,7 +48,9 @@ SWITCH = 8.0
 #: A language takes part for words of a script if so much of its sample's letters have that script.
 SCRIPT_SHARE = 0.01
 #: Distinct words that a worker remembers the scores of; it starts anew beyond that.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
+#: Distinct words that a training task adds up before it hands their n-grams on.
+HELD = 50_000
 #: Log odds that one word can give against a language, so that one odd word doesn't decide.
 WORD_LIMIT = 6.0
 
@@ -226,23 +228,28 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, words in seen.items():
+                to: Counter = Counter()
+                of: Counter = Counter()
+                for word, n in words.items():
+                    if letters := letters_of(word):
+                        of[script_of(letters[0])] += n
+                        for gram in grams(letters):
+                            to[gram] += n
+                for found, script in ((to, False), (of, True)):
+                    items = iter(found.items())
+                    while some := list(itertools.islice(items, 20_000)):
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array([g for g, _ in some]), pa.array([n for _, n in some]), pa.array([script] * len(some))], names=["lang", "gram", "n", "script"])
+            seen.clear()
+
         for batch in batches:
             for text, lang in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 seen.setdefault(lang, Counter()).update(WORD.findall(text.decode("utf-8", "replace").lower()))
-        counts: dict[str, Counter] = {lang: Counter() for lang in seen}
-        scripts: dict[str, Counter] = {lang: Counter() for lang in seen}
-        for lang, words in seen.items():
-            to, of = counts[lang], scripts[lang]
-            for word, n in words.items():
-                if letters := letters_of(word):
-                    of[script_of(letters[0])] += n
-                    for gram in grams(letters):
-                        to[gram] += n
-        for found, script in ((counts, False), (scripts, True)):
-            for lang, many in found.items():
-                items = iter(many.items())
-                while some := list(itertools.islice(items, 20_000)):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array([g for g, _ in some]), pa.array([n for _, n in some]), pa.array([script] * len(some))], names=["lang", "gram", "n", "script"])
+                if sum(map(len, seen.values())) > HELD:
+                    yield from out()
+        yield from out()
 
     made = some.select("text", "lang").mapInArrow(each, "lang string, gram string, n long, script boolean")
     table = made.groupBy("lang", "gram", "script").agg(F.sum("n").alias("n")).where("script or n > 2").toPandas()
