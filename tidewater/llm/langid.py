@@ -291,7 +291,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             langs, scores, spans = [], [], []
             numbers = own.look_up(texts) if own.langs else [np.zeros(0, np.int32)] * batch.num_rows
             rows = [own.scores[n] for n in numbers]
-            real = [~np.isnan(r[:, 0]) for r in rows]
+            real = [~np.isnan(r).any(axis=1) for r in rows]
             paths = viterbi([r[k] for r, k in zip(rows, real, strict=True)], switch)
             for words, keep, path in zip(numbers, real, paths, strict=True):
                 if not len(path):
