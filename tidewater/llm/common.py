@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -173,43 +174,94 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(tops)
 
 
-#: Pairs for each member of a bucket that are compared at most before a bucket is split by second marks.
+#: Open pairs for each member of a bucket beyond which the bucket's members are compared by their rarest shingles.
 CROWD = 16
 
 
-def linked(marked: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def rarest_marks(sets: DataFrame, threshold: float) -> DataFrame:
+    """(mark, node): nodes of (node, shingles: distinct) that reach the Jaccard threshold have a mark in common.
+
+    Shingles are ordered by how many nodes have them.  Two similar sets share one of the first
+    n - ceil(threshold * n) + 1 of each, and the larger set's size is at most 1 / threshold of the smaller's.
+    So a mark is one of these shingles with one of two classes of sizes.  Shingles of one node only count
+    as the rarest, but make no marks.
+    """
+    each = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    often = each.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    own = each.join(often, "s").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("x"))
+    prefix = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
+    left = F.greatest(prefix - (F.col("n") - F.size("x")), F.lit(0)).cast("int")
+    level = F.floor(F.log(F.col("n").cast("double")) / (math.log(1 / threshold) + 1e-6))
+    rare = own.select("node", level.alias("level"), F.explode(F.slice("x", F.lit(1), left)).alias("r"))
+    return rare.select(F.explode(F.array(F.xxhash64("r.s", "level"), F.xxhash64("r.s", F.col("level") + 1))).alias("mark"), "node")
+
+
+def linked(marked: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
     """(node, component) of nodes that ``verify`` links, among those that share a mark.
 
-    marked: (mark, node).  ``verify`` keeps those of the pairs (a, b) that are similar.  First each
+    marked: (mark, node).  ``verify`` keeps those of the pairs (a, b) whose shingles are similar.  First each
     sharer of a mark is tied to the least one, so that a group of similar nodes takes as many
     comparisons as members.  Pairs that are in one component then need no more of them; what is
     left are buckets whose members lie in several components, and there all pairs across the
-    components are compared.  Where those are more than CROWD for a member, members meet the
-    least of each other component, or, with more than CROWD components, those that share a second mark.
+    components are compared.  Where those are more than CROWD for a member, ``sets`` gives the members'
+    (node, shingles), and the same is done with their ``rarest_marks``: no pair at the threshold is lost.
     """
     with tidy() as keep:
-        return keep(save(_linked(marked, verify), "linked"))
+        return keep(save(_linked(marked, verify, sets, threshold), "linked"))
 
 
-def _linked(marked: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def shared_marks(marked: DataFrame) -> DataFrame:
+    """(mark, node, b) of marks that more than one node has; b is the least of them."""
     least = save(marked.groupBy("mark").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("mark", "b"), "least")
-    shared = save(marked.join(least, "mark").select("mark", "node", "b"), "shared")
-    ties = save(shared.where("node > b").select(F.col("node").alias("a"), "b").distinct(), "ties")
-    first = save(verify(ties), "verified")
-    found = components(first)
-    named = save(shared.select("mark", "node").join(found, "node", "left").select("mark", "node", F.coalesce("component", "node").alias("root")), "named")
-    parts = save(named.groupBy("mark", "root").agg(F.count("*").alias("m"), F.min("node").alias("rep")), "parts")
+    return save(marked.join(least, "mark").select("mark", "node", "b"), "shared")
+
+
+def rooted(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """(mark, node, root) with the nodes' components so far."""
+    return save(shared.select("mark", "node").join(found, "node", "left").select("mark", "node", F.coalesce("component", "node").alias("root")), "named")
+
+
+def across(named: DataFrame, marks: DataFrame) -> DataFrame:
+    """All pairs (a, b) that share one of ``marks`` and lie in different components."""
+    some = named.join(marks, "mark")
+    other = some.select("mark", F.col("node").alias("b"), F.col("root").alias("other"))
+    return some.join(other, "mark").where("root != other and node > b").select(F.col("node").alias("a"), "b").distinct()
+
+
+def open_marks(named: DataFrame) -> DataFrame:
+    """(mark, n, open) of marks whose nodes lie in several components: nodes, and pairs across components."""
+    parts = named.groupBy("mark", "root").agg(F.count("*").alias("m"))
     sizes = parts.groupBy("mark").agg(F.count("*").alias("parts"), F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("squares")).where("parts > 1")
-    sizes = save(sizes.withColumn("open", (F.col("n") * F.col("n") - F.col("squares")) / 2), "open")
-    few, many = F.col("open") <= CROWD * F.col("n"), F.col("parts") > CROWD
-    small = named.join(sizes.where(few).select("mark"), "mark")
-    other = small.select("mark", F.col("node").alias("b"), F.col("root").alias("other"))
-    pairs = small.join(other, "mark").where("root != other and node > b").select(F.col("node").alias("a"), "b")
-    wide = named.join(sizes.where(~few & ~many).select("mark"), "mark")
-    reps = parts.select("mark", F.col("root").alias("other"), F.col("rep").alias("b"))
-    pairs = pairs.union(wide.join(reps, "mark").where("root != other").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")))
-    crowd = named.join(sizes.where(~few & many).select("mark"), "mark").select("mark", "node", "root").join(shared.select("node", F.col("mark").alias("second")), "node").where("mark != second")
-    lead = crowd.groupBy("mark", "second").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("mark", "second", "b")
-    pairs = pairs.union(crowd.join(lead, ["mark", "second"]).where("node > b").select(F.col("node").alias("a"), "b"))
-    more = save(pairs.distinct().join(ties, ["a", "b"], "left_anti"), "pairs")
-    return found if more.isEmpty() else components(first.union(verify(more)))
+    return save(sizes.select("mark", "n", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("open")), "open")
+
+
+def _linked(marked: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+    def checked(pairs: DataFrame) -> DataFrame:
+        with tidy() as keep:
+            return keep(save(verify(pairs), "verified"))
+
+    shared = shared_marks(marked)
+    ties = save(shared.where("node > b").select(F.col("node").alias("a"), "b").distinct(), "ties")
+    edges = checked(ties)
+    found = components(edges)
+    named = rooted(shared, found)
+    sizes = open_marks(named)
+    few = F.col("open") <= CROWD * F.col("n")
+    more = save(across(named, sizes.where(few).select("mark")).join(ties, ["a", "b"], "left_anti"), "pairs")
+    if not more.isEmpty():
+        edges = save(edges.union(checked(more)), "edges")
+        found = components(edges)
+    crowd = save(named.join(sizes.where(~few).select("mark"), "mark", "left_semi").select("node").distinct(), "crowd")
+    if crowd.isEmpty():
+        return found
+    shared = shared_marks(rarest_marks(sets(crowd), threshold).distinct())
+    named = rooted(shared, found)
+    lead = named.select("mark", F.col("node").alias("b"), F.col("root").alias("other"))
+    lead = lead.join(shared.where("node = b").select("mark", "b"), ["mark", "b"])
+    ties = save(named.join(lead, "mark").where("root != other and node > b").select(F.col("node").alias("a"), "b").distinct(), "ties")
+    if not ties.isEmpty():
+        edges = save(edges.union(checked(ties)), "edges")
+        found = components(edges)
+        named = rooted(shared, found)
+    more = save(across(named, open_marks(named).select("mark")).join(ties, ["a", "b"], "left_anti"), "pairs")
+    return found if more.isEmpty() else components(edges.union(checked(more)))

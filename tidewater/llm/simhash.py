@@ -196,15 +196,18 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         firsts = save(made.groupBy("same").agg(F.min(F.struct("doc_id", "marks")).alias("f")).select("same", F.col("f.doc_id").alias("first"), "f.marks"), "firsts")
         blocked = save(firsts.dropDuplicates(["first"]).select(F.explode(F.array_distinct("marks")).alias("mark"), F.col("first").alias("node")), "blocked")
 
+        def sets(nodes: DataFrame) -> DataFrame:
+            """Only the texts of these nodes are cut into shingles again."""
+            asked = rows.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+            return save(asked.mapInArrow(cut, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node"), "sets")
+
         def verify(pairs: DataFrame) -> DataFrame:
-            """Only the texts of these pairs are cut into shingles again."""
-            asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-            one = save(rows.join(asked, "doc_id", "left_semi").mapInArrow(cut, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
+            one = sets(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()).withColumnRenamed("node", "doc_id")
             left = pairs.join(one.withColumnsRenamed({"doc_id": "a", "shingles": "s"}), "a")
             both = left.join(one.withColumnsRenamed({"doc_id": "b", "shingles": "t"}), "b")
             common = F.size(F.array_intersect("s", "t"))
             return both.where(common >= threshold * (F.size("s") + F.size("t") - common) - 1e-9).select("a", "b")
 
-        found = linked(blocked, verify)
+        found = linked(blocked, verify, sets, threshold)
         rooted = firsts.join(found, firsts["first"] == found.node, "left").select("same", F.coalesce("component", "first").alias("component_id"))
         return keep(save(made.select("doc_id", "same").join(rooted, "same").select("doc_id", "component_id"), "groups"))

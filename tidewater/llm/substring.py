@@ -167,7 +167,8 @@ def paragraph_classes(bands: DataFrame, threshold: float) -> DataFrame:
         return both.where(common >= threshold * (F.size("s") + F.size("t") - common) - 1e-9).select("a", "b")
 
     marks = save(bands.select(F.explode(F.array_distinct("bands")).alias("mark"), F.col("key").alias("node")), "bands")
-    return linked(marks, verify).select(F.col("node").alias("key"), F.col("component").alias("class"))
+    shingles = lambda nodes: sets.join(nodes.withColumnRenamed("node", "key"), "key", "left_semi").withColumnRenamed("key", "node")
+    return linked(marks, verify, shingles, threshold).select(F.col("node").alias("key"), F.col("component").alias("class"))
 
 
 def repeated_spans(
