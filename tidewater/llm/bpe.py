@@ -271,15 +271,12 @@ class Encoder:
         return out
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
-
-
-def encoder_for(key: tuple[str, str], ranks: Ranks, pattern: str) -> Encoder:
-    """This worker's encoder: what it remembers serves its later tasks too."""
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(ranks, pattern)
-    return _encoders[key]
+def encoder_for(ranks: Ranks, pattern: str) -> Encoder:
+    """This worker's encoder: what it remembers serves its later tasks too, until the broadcast ranks go."""
+    own = ranks.__dict__.setdefault("encoders", {})
+    if pattern not in own:
+        own[pattern] = Encoder(ranks, pattern)
+    return own[pattern]
 
 
 def tokenize(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
@@ -296,7 +293,7 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shipped.value
-        encoder = encoder_for((ranks_path, pattern), ranks, pattern)
+        encoder = encoder_for(ranks, pattern)
         for batch in batches:
             texts = [(t or b"").decode("utf-8", "replace") for t in as_bytes(batch.column(1))]
             encoded = encoder.encode(texts)

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows that one Arrow batch may hold; documents are long, so batches stay small.
 ARROW_ROWS = 1000
+#: Bytes beyond which an Arrow batch takes no more rows.
+ARROW_BYTES = 4 << 20
 
 #: A-Z to a-z, all other bytes as they are.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -116,8 +118,9 @@ def _clear() -> None:
 
 
 def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keep Arrow batches of whole documents small."""
+    """Keep Arrow batches of whole documents small, in rows and in bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import itertools
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -262,9 +261,6 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Model(langs, counts, {s: n >= SCRIPT_SHARE * np.maximum(letters, 1) for s, n in scripts.items()})
 
 
-_models: dict[str, Model] = {}
-
-
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH, with_spans: bool = True, keep_columns: bool = False) -> DataFrame:
     """(doc_id, lang_pred, score[, spans]) of every row of ``docs``.
 
@@ -278,14 +274,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """
     spark = docs.sparkSession
     arrow_rows(spark)
-    shipped, mark = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+    shipped = spark.sparkContext.broadcast(model)
     text_at = docs.columns.index(text_col) if keep_columns else 1
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if mark not in _models:
-            _models.clear()
-            _models[mark] = shipped.value
-        own = _models[mark]
+        own = shipped.value  # a worker's tasks share it, and its words, until the broadcast goes
         for batch in batches:
             texts = ((t or b"").decode("utf-8", "replace") for t in as_bytes(batch.column(text_at)))
             langs, scores, spans = [], [], []
