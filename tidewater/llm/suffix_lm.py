@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-import itertools
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_rows, as_bytes, save
+from .common import LOWER, arrow_rows, as_bytes, forget, save, tidy
 
-#: A context has at least this part of the training tokens, so there are at most 1 / CONTEXT of a length.
-CONTEXT = 1e-4
-#: A context's symbol is stored if both together have at least this part, so there are at most 1 / SYMBOL for a length.
-SYMBOL = 2.5e-6
+#: Longest contexts, in words.
+DEPTH = 4
+#: Occurrences in the training texts that make a run of words a context.
+LEAST_CONTEXT = 8
+#: Occurrences of a context with a symbol behind it that make the symbol one of the context's own.
+LEAST_SYMBOL = 2
 #: Natural-log divergence of a context's next symbols from its suffix's below which it is pruned.
 DIVERGENCE = 0.05
 #: Weight, in tokens, of the suffix's distribution in a context's own.
@@ -31,6 +33,10 @@ ADDED = 0.1
 END = b""
 #: Distinct keys that a task adds up before it hands them on.
 HELD = 500_000
+#: Bits of a sieve (2 to this power). It only spares the joins keys that no table has; a fuller one lets more of them through.
+SIEVE = 24
+#: The commonest words and runs of words that every task looks up for itself; the others are joined.
+CACHED = 200_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -59,213 +65,285 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(each, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-@dataclass
-class Tree:
-    """The suffix tree: states of one and two words, all numbers bounded by CONTEXT and SYMBOL.
+def mix(run: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of runs of words that are each a run (0: the empty one) and a further word."""
+    h = (run ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ (h >> np.uint64(29))) + word * np.uint64(0x165667B19E3779F9)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(31))
 
-    words numbers the stored words from 0 by falling count; c are their counts. A state of one word
-    is its number, one of two words their code first * len(c) + second. n, back
-    and keep hold the states' counts, weights of the suffix and whether they are retained;
-    codes (state number * len(c) + symbol) and counts the stored symbols, in order.
-    """
 
-    words: dict[bytes, int]
-    c: np.ndarray
-    total: int
-    distinct: int
-    n1: np.ndarray
-    keep1: np.ndarray
-    back1: np.ndarray
-    codes1: np.ndarray
-    counts1: np.ndarray
-    state2: np.ndarray
-    n2: np.ndarray
-    keep2: np.ndarray
-    back2: np.ndarray
-    codes2: np.ndarray
-    counts2: np.ndarray
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+END_HASH = np.uint64(xxhash.xxh3_64_intdigest(END))
 
-    @property
-    def whole(self) -> float:
-        return self.total + ADDED * (self.distinct + 1)
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        """Numbers of the words and the end; -1 for those not stored."""
-        out = np.empty(len(words) + 1, np.int64)
-        out[:-1] = np.fromiter(map(self.words.get, words, itertools.repeat(-1)), np.int64, len(words))
-        out[-1] = self.words.get(END, -1)
-        return out
-
-    def states(self, x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each place of joined texts the states of one and of two words before it; -1 for none.
-
-        first tells how many tokens of its text stand before a place.
-        """
-        size = len(self.c)
-        before = np.r_[-1, x[:-1]]
-        one = np.where((first >= 1) & (before >= 0) & (before < len(self.n1)), before, -1)
-        ahead = np.r_[-1, before[:-1]]
-        two = np.full(len(x), -1, np.int64)
-        some = np.flatnonzero((first >= 2) & (one >= 0) & (ahead >= 0) & (ahead < len(self.n1)))
-        if len(self.state2) and len(some):
-            code = ahead[some] * size + one[some]
-            at = np.minimum(np.searchsorted(self.state2, code), len(self.state2) - 1)
-            two[some] = np.where(self.state2[at] == code, at, -1)
-        return one, two
-
-
-def find(codes: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Discounted counts of the wanted codes, 0 where they aren't stored."""
-    if not len(codes):
-        return np.zeros(len(wanted))
-    at = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
-    return np.where(codes[at] == wanted, counts[at] - DISCOUNT, 0.0)
-
-
-def join_texts(tree: Tree, texts: list[bytes | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
-    """Words, joined numbers, starts and, for each token, the number of tokens before it in its text."""
+def join_texts(texts: list[bytes | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
+    """Words, joined hashes with the ends, starts and, for each token, the number of tokens before it in its text."""
     words = [words_of(t) for t in texts]
-    x = [tree.numbers(w) for w in words]
-    length = np.fromiter(map(len, x), np.int64, len(x))
-    start = np.r_[0, np.cumsum(length)[:-1]]
-    x = np.concatenate([np.zeros(0, np.int64), *x])
+    x = hashes_of([w for ws in words for w in [*ws, END]])
+    length = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
+    start = np.cumsum(length) - length
     return words, x, start, np.arange(len(x)) - np.repeat(start, length)
 
 
-def count_symbols(texts: DataFrame, shipped, depth: int, least: float) -> DataFrame:  # noqa: ANN001
-    """(code, n): symbols after states of ``depth`` words, where they occur ``least`` times or more."""
+def runs_of(x: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """For 1 to ``most`` words the hashes of the runs that end at each place; those that begin before their text mean nothing."""
+    run = mix(np.zeros(len(x), np.uint64), x)
+    yield run
+    for _ in range(1, most):
+        run = mix(np.r_[np.zeros(min(1, len(x)), np.uint64), run[:-1]], x)
+        yield run
+
+
+def sieve(keys: DataFrame) -> np.ndarray:
+    """Bits of the leading parts of all (key): a bounded filter that passes every key of the table."""
+    at = F.shiftrightunsigned("key", 64 - SIEVE)
+    bits = keys.select(F.shiftright(at, 6).alias("w"), at.bitwiseAND(63).cast("int").alias("i")).select("w", F.expr("shiftleft(1L, i)").alias("b"))
+    rows = bits.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << (SIEVE - 6), np.int64)
+    out[rows["w"].to_numpy()] = rows["b"].to_numpy()
+    return out.view(np.uint64)
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys >> np.uint64(64 - SIEVE)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def count_symbols(texts: DataFrame, shipped, depth: int) -> DataFrame:  # noqa: ANN001
+    """(context, symbol, n): symbols after the contexts of ``depth`` words that pass the sieve, where they are a context's own."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, held = shipped.value, []
+        bits, contexts, symbols = shipped.value, [], []
 
         def out() -> pa.RecordBatch:
-            codes, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(n, pa.int64())], names=["code", "n"])
+            context, symbol = np.concatenate(contexts), np.concatenate(symbols)
+            _, at, n = np.unique(mix(context, symbol), return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(context[at].view(np.int64)), pa.array(symbol[at].view(np.int64)), pa.array(n, pa.int64())], names=["context", "symbol", "n"])
 
         for batch in batches:
-            _, x, _, first = join_texts(tree, as_bytes(batch.column(0)))
-            state = tree.states(x, first)[depth - 1]
-            some = (state >= 0) & (x >= 0)
-            held.append(state[some] * len(tree.c) + x[some])
-            if sum(map(len, held)) > 4 * HELD:
+            _, x, _, first = join_texts(as_bytes(batch.column(0)))
+            for run in runs_of(x, depth):
+                pass
+            before = np.r_[np.zeros(min(1, len(x)), np.uint64), run[:-1]]
+            some = np.flatnonzero(first >= depth)
+            some = some[passes(bits, before[some])]
+            contexts.append(before[some])
+            symbols.append(x[some])
+            if sum(map(len, contexts)) > 4 * HELD:
                 yield out()
-                held.clear()
-        if held:
+                contexts.clear()
+                symbols.clear()
+        if contexts:
             yield out()
 
-    return texts.mapInArrow(each, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = texts.mapInArrow(each, "context long, symbol long, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
+    return found.where(F.col("n") >= LEAST_SYMBOL)
 
 
-def fetch(df: DataFrame, most: float) -> tuple[np.ndarray, np.ndarray]:
-    """Codes in order with their counts; there are at most ``most`` of them, as their parts add up to one."""
-    rows = df.toPandas()
-    assert len(rows) <= most + 1, "more symbols than their counts allow"
-    rows = rows.sort_values("code")
-    return rows["code"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+def keyed(df: DataFrame) -> DataFrame:
+    """(context, symbol, n, total, suffix) with the hashes of context and symbol (key), and of suffix and symbol (low)."""
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            context, symbol, suffix = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1, 4))
+            more = [pa.array(mix(context, symbol).view(np.int64)), pa.array(mix(suffix, symbol).view(np.int64)), pa.array(symbol == END_HASH)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i) for i in (2, 3, 4)), *more], names=["context", "n", "total", "suffix", "key", "low", "last"])
 
-def judge_states(codes: np.ndarray, counts: np.ndarray, n: np.ndarray, size: int, parent, divergence: float) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
-    """Whether each state is retained, and the weight of its suffix's distribution."""
-    state, symbol = np.divmod(codes, size)
-    own = counts / n[state]
-    apart = np.bincount(state, weights=own * np.log(own / parent(state, symbol)), minlength=len(n))
-    stored = np.bincount(state, weights=counts - DISCOUNT, minlength=len(n))
-    return apart >= divergence, (n - stored + SMOOTHING) / (n + SMOOTHING)
+    return df.select("context", "symbol", "n", "total", "suffix").mapInArrow(each, "context long, n long, total long, suffix long, key long, low long, last boolean")
 
 
-def learn(texts: DataFrame, context: float = CONTEXT, symbol: float = SYMBOL, divergence: float = DIVERGENCE) -> tuple[Tree, DataFrame]:
-    """The suffix tree of all training texts (text), and the counts of all their words (word, c)."""
-    spark = texts.sparkSession
+def word_keys(counts: DataFrame) -> DataFrame:
+    """(key, c, last) of (word, c): the hash of each word as a run, and whether it is the end."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = hashes_of(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(mix(np.zeros(len(h), np.uint64), h).view(np.int64)), batch.column(1), pa.array(h == END_HASH)], names=["key", "c", "last"])
+
+    return counts.select("word", "c").mapInArrow(each, "key long, c long, last boolean").groupBy("key", "last").agg(F.sum("c").alias("c"))
+
+
+@dataclass
+class Tree:
+    """The suffix tree as tables.
+
+    counts: (word, c) of all words.  values: (key, value, n), a row for each run of words that
+    matters; the score of a text is its base and the values of all its runs.  A retained context's value is
+    the logarithm of the weight of its suffix's distribution.  A run of a retained context and one of
+    its own symbols has the logarithm of the symbol's probability less what the suffix gives it.
+    """
+
+    counts: DataFrame
+    values: DataFrame | None
+    total: int
+    distinct: int
+
+    @property
+    def whole(self) -> float:
+        return self.total + ADDED * (self.distinct + 1)
+
+
+def learn(texts: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENCE) -> Tree:
+    """The suffix tree of all training texts (text)."""
     counts = save(count_words(texts), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.col("c") >= symbol * total).toPandas().sort_values(["c", "word"], ascending=[False, True])
-    words = {bytes(w): i for i, w in enumerate(top["word"])}
-    c = top["c"].to_numpy(np.int64)
-    size = max(1, len(c))
-    n1 = c[c >= context * total]
-    none, no = np.zeros(0, np.int64), np.zeros(0, bool)
-    tree = Tree(words, c, total, distinct, n1, no, none, none, none, none, none, no, none, none, none)
-    if not total:
-        return tree, counts
-    base = (c + ADDED) / tree.whole
-    tree.codes1, tree.counts1 = fetch(count_symbols(texts, spark.sparkContext.broadcast(tree), 1, symbol * total), 1 / symbol)
-    tree.keep1, tree.back1 = judge_states(tree.codes1, tree.counts1, n1, size, lambda _, w: base[w], divergence)
-    end = words.get(END, -1)
-    wide = (tree.counts1 >= context * total) & (tree.codes1 % size < len(n1)) & (tree.codes1 % size != end)
-    tree.state2, tree.n2 = tree.codes1[wide], tree.counts1[wide]
-    tree.codes2, tree.counts2 = fetch(count_symbols(texts, spark.sparkContext.broadcast(tree), 2, symbol * total), 1 / symbol)
-    last = tree.state2 % size
-
-    def parent(state: np.ndarray, w: np.ndarray) -> np.ndarray:
-        of = last[state]
-        return find(tree.codes1, tree.counts1, of * size + w) / (n1[of] + SMOOTHING) + tree.back1[of] * base[w]
-
-    tree.keep2, tree.back2 = judge_states(tree.codes2, tree.counts2, tree.n2, size, parent, divergence)
-    tree.keep1[last[tree.keep2]] = True  # a state's suffixes are states
-    return tree, counts
-
-
-SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:long>>"
-
-
-def score_stored(rows: DataFrame, shipped) -> DataFrame:  # noqa: ANN001
-    """Scores of the stored words of (doc_id, text); rare words are handed on, with their weights already in score."""
+    tree = Tree(counts, None, total, distinct)
+    if total:
+        with tidy() as keep:
+            tree.values = keep(_values(texts, tree, depth, divergence))
+    return tree
+
+
+def _values(texts: DataFrame, tree: Tree, depth: int, divergence: float) -> DataFrame:
+    spark = texts.sparkSession
+    words = save(word_keys(tree.counts), "word-keys")
+    below = words.select("key", ((F.col("c") + ADDED) / F.lit(tree.whole)).alias("p"))
+    states = words.where((F.col("c") >= LEAST_CONTEXT) & ~F.col("last")).select(F.col("key").alias("context"), F.col("c").alias("total"), F.lit(0).cast("long").alias("suffix"))
+    levels = []
+    for d in range(1, depth + 1):
+        shipped = spark.sparkContext.broadcast(sieve(states.select(F.col("context").alias("key"))))
+        grams = save(keyed(count_symbols(texts, shipped, d).join(states, "context")), "grams")
+        shipped.destroy()
+        joined = save(grams.join(below.withColumnsRenamed({"key": "low", "p": "q"}), "low"), "joined")
+        own = F.col("n") / F.col("total")
+        judged = joined.groupBy("context", "suffix", "total").agg(F.sum(own * F.log(own / F.col("q"))).alias("apart"), F.sum(F.col("n") - DISCOUNT).alias("stored"))
+        judged = save(
+            judged.select("context", "suffix", "total", ((F.col("total") - F.col("stored") + SMOOTHING) / (F.col("total") + SMOOTHING)).alias("back"), (F.col("apart") >= divergence).alias("kept")),
+            "judged",
+        )
+        p = (F.col("n") - DISCOUNT) / (F.col("total") + SMOOTHING) + F.col("back") * F.col("q")
+        symbols = joined.join(judged.select("context", "back"), "context").withColumn("p", p)
+        symbols = save(symbols.select("context", "key", "n", "p", (F.log10("p") - F.log10("q") - F.log10("back")).alias("value")), "symbols")
+        states = save(grams.where((F.col("n") >= LEAST_CONTEXT) & ~F.col("last")).select(F.col("key").alias("context"), F.col("n").alias("total"), F.col("low").alias("suffix")), "states")
+        forget(grams)
+        forget(joined)
+        levels.append((judged, symbols))
+        below = symbols.select("key", "p")
+        if states.isEmpty():
+            break
+    parts, needed = [], None
+    for judged, symbols in reversed(levels):  # a state's suffixes are states
+        kept = judged.where("kept").select("context")
+        kept = kept if needed is None else kept.union(needed).distinct()
+        kept = save(judged.join(kept, "context", "left_semi"), "kept")
+        needed = kept.select(F.col("suffix").alias("context")).distinct()
+        parts.append(kept.select(F.col("context").alias("key"), F.log10("back").alias("value"), F.col("total").alias("n")))
+        parts.append(symbols.join(kept, "context", "left_semi").select("key", "value", "n"))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.union(part)
+    return save(every.groupBy("key").agg(F.sum("value").alias("value"), F.max("n").alias("n")), "values")
+
+
+def commonest(df: DataFrame, of: str, most: int = CACHED) -> DataFrame:
+    """The rows of the largest counts, ``most`` of them or fewer; all of one magnitude or none."""
+    size = F.floor(F.log2(of) * 4)
+    held, least = 0, None
+    for r in sorted(df.groupBy(size.alias("size")).count().collect(), reverse=True):
+        held += r["count"]
+        if held > most:
+            break
+        least = r["size"]
+    return df.where(size >= least if least is not None else F.lit(False))
+
+
+@dataclass
+class Cache:
+    """What every task looks up for itself: counts of the commonest words, and values of the commonest runs in order."""
+
+    words: dict[bytes, int]
+    keys: np.ndarray
+    value: np.ndarray
+    bits: np.ndarray
+
+
+def cache_of(tree: Tree) -> Cache:
+    words = commonest(tree.counts, "c").toArrow()
+    found = dict(zip(words["word"].to_pylist(), words["c"].to_pylist(), strict=True))
+    if tree.values is None:
+        return Cache(found, np.zeros(0, np.int64), np.zeros(0), np.zeros(1 << (SIEVE - 6), np.uint64))
+    top = commonest(tree.values, "n").select("key", "value").toArrow().sort_by("key")
+    return Cache(found, top["key"].to_numpy(), top["value"].to_numpy(), sieve(tree.values.select("key")))
+
+
+SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, more double, rare array<struct<word:binary,n:long>>, runs array<long>"
+
+
+def score_stored(rows: DataFrame, shipped, whole: float, depth: int) -> DataFrame:  # noqa: ANN001
+    """What the cached words and runs of (doc_id, text) add up to; rare words and runs that may have a value are handed on."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, done = shipped.value, TaskContext.get().partitionId() << 40
-        base_of = (tree.c + ADDED) / tree.whole
-        size = len(tree.c)
+        cache, done = shipped.value, TaskContext.get().partitionId() << 40
         for batch in batches:
-            words, x, start, first = join_texts(tree, as_bytes(batch.column(1)))
-            one, two = tree.states(x, first)
-            one = np.where((one >= 0) & tree.keep1[one], one, -1) if len(tree.keep1) else np.full(len(x), -1)
-            two = np.where((two >= 0) & tree.keep2[two], two, -1) if len(tree.keep2) else np.full(len(x), -1)
-            known = x >= 0
-            base = np.where(known, base_of[x] if size else 1.0, 1.0)  # a rare word's own part follows
-            p = base.copy()
-            for state, n, back, codes, counts in ((one, tree.n1, tree.back1, tree.codes1, tree.counts1), (two, tree.n2, tree.back2, tree.codes2, tree.counts2)):
-                at = np.flatnonzero(state >= 0)
-                s = state[at]
-                own = np.where(known[at], find(codes, counts, s * size + x[at]), 0.0)
-                p[at] = own / (n[s] + SMOOTHING) + back[s] * p[at]
-            add = lambda v: np.add.reduceat(v, start) if len(start) else v
-            rare = [[{"word": w, "n": n} for w, n in Counter(w for w, k in zip(ws, x[a : a + len(ws)], strict=True) if k < 0).items()] for ws, a in zip(words, start, strict=True)]
+            words, x, start, first = join_texts(as_bytes(batch.column(1)))
+            c = np.fromiter((cache.words.get(w, 0) for ws in words for w in [*ws, END]), np.int64, len(x))
+            text = np.repeat(np.arange(len(words)), np.diff(np.r_[start, len(x)]))
+            total = lambda weights, of: np.bincount(of, weights=weights, minlength=len(words))
+            base = total(np.where(c > 0, np.log10((c + ADDED) / whole), 0.0), text)
+            more, texts_of, runs = np.zeros(len(words)), [], []
+            for k, run in enumerate(runs_of(x, depth + 1)):
+                some = np.flatnonzero(first >= k)
+                some = some[passes(cache.bits, run[some])]
+                key, of = run[some].view(np.int64), text[some]
+                if len(cache.keys):
+                    at = np.minimum(np.searchsorted(cache.keys, key), len(cache.keys) - 1)
+                    held = cache.keys[at] == key
+                    more += total(cache.value[at[held]], of[held])
+                    key, of = key[~held], of[~held]
+                texts_of.append(of)
+                runs.append(key)
+            of = np.concatenate(texts_of)
+            order = np.argsort(of, kind="stable")
+            ends = np.searchsorted(of[order], np.arange(len(words) + 1)).astype(np.int32)
+            # the end is counted like any word; where it is not cached, it is joined like one
+            rare = [[{"word": w, "n": n} for w, n in Counter(w for w in [*ws, END] if w not in cache.words).items()] for ws in words]
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.arange(done, done + n)), batch.column(0), pa.array([len(w) + 1 for w in words], pa.int64()), pa.array(add(known.astype(np.int64)), pa.int64()),
-                    pa.array(add(np.log10(base))), pa.array(add(np.log10(p))), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
+                    pa.array(np.arange(done, done + n)), batch.column(0), pa.array([len(w) + 1 for w in words], pa.int64()), pa.array(total(None, text[c > 0]), pa.int64()),
+                    pa.array(base), pa.array(more), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
+                    pa.ListArray.from_arrays(ends, np.concatenate(runs)[order]),
                 ],
-                names=[f.split()[0] for f in SCORED.split(", ", 6)],
+                names=[f.split()[0] for f in SCORED.split(", ", 7)],
             )
             done += n
 
     return rows.mapInArrow(each, SCORED)
 
 
-def score(train: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", context: float = CONTEXT, symbol: float = SYMBOL, divergence: float = DIVERGENCE) -> DataFrame:
+def score(train: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, divergence: float = DIVERGENCE) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``.
 
     Tokens are words between ASCII white space, A-Z lower-cased, and one end.  The model is learnt
-    from all of ``train``: contexts of up to two words that are common enough and whose next symbols
-    diverge from their suffix's; a state's distribution is its counts with the rest of its mass on its
-    suffix's, down to the base of single words.  Each token is scored by the longest state before it.
-    The stored words go to every task (1 / symbol at most); all others are joined with their counts.
+    from all of ``train``: contexts of up to ``depth`` words that occur LEAST_CONTEXT times and whose next symbols
+    (each seen LEAST_SYMBOL times there) diverge from their suffix's, so it grows with the texts.  A state's
+    distribution is its counts with the rest of its mass on its suffix's, down to the base of single
+    words.  Each token is scored by the longest state before it.  That logarithm is a sum of values of
+    the runs of words that end at the token or before it, so words and runs are looked up by joins with their tables, the
+    commonest of them in every task.  Runs are known by 64-bit hashes, words by themselves.
     Null texts are empty; an empty training set gives every token the unknown word's probability.
     Rows are returned as often as given, null ids too; other columns are dropped.
     """
     spark = docs.sparkSession
     arrow_rows(spark)
-    text = lambda d: d.select(F.col(text_col).cast("string").alias("text"))
-    tree, counts = learn(text(train), context, symbol, divergence)
+    tree = learn(train.select(F.col(text_col).cast("string").alias("text")), depth, divergence)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    local = save(score_stored(rows, spark.sparkContext.broadcast(tree)), "scored")
+    local = save(score_stored(rows, spark.sparkContext.broadcast(cache_of(tree)), tree.whole, depth), "scored")
     rare = local.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
     c = F.coalesce("c", F.lit(0))
     own = F.log10((c + ADDED) / F.lit(tree.whole)) * F.col("n")
-    parts = rare.join(counts.where(F.col("c") < symbol * tree.total), "word", "left").groupBy("row").agg(F.sum(own).alias("more"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("seen"))
-    more = F.coalesce("more", F.lit(0.0))
-    return local.drop("rare").join(parts, "row", "left").select(
+    parts = rare.join(tree.counts, "word", "left").groupBy("row").agg(F.sum(own).alias("rest"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("seen"))
+    out = local.drop("rare", "runs").join(parts, "row", "left")
+    gain = F.col("more")
+    if tree.values is not None:
+        runs = local.select("row", F.explode("runs").alias("key")).join(tree.values.select("key", "value"), "key").groupBy("row").agg(F.sum("value").alias("gain"))
+        out, gain = out.join(runs, "row", "left"), gain + F.coalesce("gain", F.lit(0.0))
+    base = F.col("base") + F.coalesce("rest", F.lit(0.0))
+    return out.select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"),
+        base.alias("base_score"), (base + gain).alias("score"),
     )
