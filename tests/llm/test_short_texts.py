@@ -1,0 +1,25 @@
+"""The pipeline's near-dedup of short texts against brute force."""
+
+import random
+
+import numpy as np
+
+from tidewater.llm import simhash
+
+
+def test_short_texts_equal_brute_force(spark):
+    rng, texts = random.Random(5), []
+    for i in range(120):
+        n = rng.randint(10, 60)
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        # as many words appended as keep the similarity at 0.8 or just above
+        texts += [words, [*words, *(f"x{rng.randrange(10**6)}" for _ in range(max(1, (n - 4) // 4)))]]
+    sets = [set(simhash.shingle_hashes(" ".join(t).encode(), 5).tolist()) for t in texts]
+    want = {i: i for i in range(len(texts))}
+    for i in range(0, len(texts), 2):
+        if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1]):
+            want[i + 1] = i
+    assert np.mean([want[i] != i for i in range(1, len(texts), 2)]) > 0.9
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,11 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_rows, as_bytes, components, linked, save, tidy
+from .common import LOWER, arrow_rows, as_bytes, components, linked, rarest_marks, save, tidy
 
 SEED = 42
 #: Rows of hashes whose bits are counted at once; bounds memory for very long texts.
 CHUNK = 65536
+#: Distinct shingles below which a text has too few partitions to be found by its blocks alone.
+SHORT = 100
 
 
 def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
@@ -168,7 +171,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Distinct texts join on the blocks of their partitioned fingerprints (see ``common.linked``), and
     pairs whose exact Jaccard similarity of distinct ``size``-word shingles is below ``threshold`` are removed.
-    Pairs at the threshold share a block with probability over 0.98 at the defaults.
+    A text of few shingles has few blocks, so pairs with one of fewer than SHORT are found by their rarest
+    shingles as well, exactly.
     Texts without words (null and empty included) form one group.  Rows with a
     null doc_id are left out.
     """
@@ -177,13 +181,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same, marks = [], []
+            same, sizes, marks = [], [], []
             for text in as_bytes(batch.column(1)):
                 hashes = np.unique(shingle_hashes(text, size))
                 same.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                sizes.append(len(hashes))
                 number, value = partition_blocks(hashes, blocks, share)
                 marks.append(number * np.int64(-7046029254386353131) ^ value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), flat(marks)], names=["doc_id", "same", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), flat(marks)], names=["doc_id", "same", "size", "marks"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,15 +197,18 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     with tidy() as keep:
-        made = save(rows.mapInArrow(mark, "doc_id long, same binary, marks array<long>"), "marked")
-        firsts = save(made.groupBy("same").agg(F.min(F.struct("doc_id", "marks")).alias("f")).select("same", F.col("f.doc_id").alias("first"), "f.marks"), "firsts")
-        blocked = save(firsts.dropDuplicates(["first"]).select(F.explode(F.array_distinct("marks")).alias("mark"), F.col("first").alias("node")), "blocked")
-
+        made = save(rows.mapInArrow(mark, "doc_id long, same binary, size long, marks array<long>"), "marked")
+        firsts = save(made.groupBy("same").agg(F.min(F.struct("doc_id", "size", "marks")).alias("f")).select("same", F.col("f.doc_id").alias("first"), "f.size", "f.marks"), "firsts")
         def sets(nodes: DataFrame) -> DataFrame:
             """Only the texts of these nodes are cut into shingles again."""
             asked = rows.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
             return save(asked.mapInArrow(cut, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node"), "sets")
 
+        # what a text of fewer than SHORT shingles is similar to has no more than 1 / threshold times as many
+        short = firsts.where(F.col("size").between(1, math.ceil(SHORT / threshold))).select(F.col("first").alias("node")).distinct()
+        by_block = firsts.dropDuplicates(["first"]).select(F.explode(F.array_distinct("marks")).alias("mark"), F.col("first").alias("node"))
+        blocked = save(by_block.union(rarest_marks(sets(short), threshold)).distinct(), "blocked")
+
         def verify(pairs: DataFrame) -> DataFrame:
             one = sets(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()).withColumnRenamed("node", "doc_id")
             left = pairs.join(one.withColumnsRenamed({"doc_id": "a", "shingles": "s"}), "a")
