@@ -23,8 +23,10 @@ RECORDS_PER_FILE = 20_000
 #: The pages have no date of their own.
 DATE = "1970-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bytes of a record's own fields at most; a candidate whose fields don't end by then is none.
-MOST_FIELDS = 1 << 16
+#: Bytes of records that one archive file holds at most, unless a single record is longer.
+BYTES_PER_FILE = 256 << 20
+#: Ends a record's own fields, those of its block, and a record.
+BLANK = re.compile(rb"\r\n\r\n")
 
 
 def base32(hex40: Column) -> Column:
@@ -71,19 +73,29 @@ def record_text() -> Column:
     )
 
 
-def write_archives(records: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> None:
-    """Write planned records as uncompressed WARC files; each task writes its own, by Spark's text sink."""
-    records.select(record_text().alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", per_file).text(path)
+def write_archives(records: DataFrame, path: str, per_file: int = RECORDS_PER_FILE, per_file_bytes: int = BYTES_PER_FILE) -> None:
+    """Write planned records as uncompressed WARC files; each task writes its own, by Spark's text sink.
+
+    Records too long for ``per_file`` of them to fit in a file's bytes are written apart, fewer to
+    a file, by classes of sizes that are each four times the one before.
+    """
+    # a revisit's size is taken with its payload, the other fields as 1,000 bytes
+    size = F.col("payload_bytes") + F.octet_length(F.coalesce("url", F.lit(""))) + 1000
+    kind = F.greatest(F.ceil(F.log2(size * per_file / F.lit(float(per_file_bytes))) / 2), F.lit(0)).cast("int")
+    kinds = sorted(r[0] for r in records.select(kind.alias("kind")).distinct().collect()) or [0]
+    for k in kinds:
+        some = records if len(kinds) == 1 else records.where(kind == k)
+        some.select(record_text().alias("value")).write.mode("append").option("lineSep", "\n").option("maxRecordsPerFile", max(1, per_file >> 2 * k)).text(path)
 
 
 def fields_of(raw: memoryview, at: int) -> tuple[dict[str, str], int] | None:
     """The named fields of a record and where its block begins; None if it has no proper fields."""
-    found = bytes(raw[at : at + MOST_FIELDS]).find(b"\r\n\r\n")
-    if found < 0:
+    found = BLANK.search(raw, at)
+    if found is None:
         return None
-    lines = bytes(raw[at : at + found]).decode("utf-8", "replace").split("\r\n")[1:]
+    lines = bytes(raw[at : found.start()]).decode("utf-8", "replace").split("\r\n")[1:]
     fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-    return (fields, at + found + 4) if fields.get("content-length", "").isascii() and fields.get("content-length", "").isdigit() else None
+    return (fields, found.end()) if fields.get("content-length", "").isascii() and fields.get("content-length", "").isdigit() else None
 
 
 def page_of(name: str | None) -> int | None:
@@ -114,14 +126,15 @@ def candidates(spark: SparkSession, path: str, range_bytes: int = RANGE, with_pa
                     rows = []
                     for m in MAGIC.finditer(raw[: min(len(raw), lo + range_bytes + 16)], lo):
                         at = m.start()
-                        if at >= lo + range_bytes or (got := fields_of(raw, at)) is None:
+                        # a record follows another's blank line, so no two candidates search the same bytes for their fields' end
+                        if at >= lo + range_bytes or (at and raw[max(0, at - 4) : at] != b"\r\n\r\n") or (got := fields_of(raw, at)) is None:
                             continue
                         fields, block = got
                         end = block + int(fields["content-length"])
                         if end + 4 > len(raw) or raw[end : end + 4] != b"\r\n\r\n":
                             continue
-                        http = bytes(raw[block : min(end, block + MOST_FIELDS)]).find(b"\r\n\r\n")
-                        start = block + http + 4 if http >= 0 else end
+                        http = BLANK.search(raw, block, end)
+                        start = http.end() if http else end
                         said = re.search(rb"(?i)content-length: *(\d{1,18})", bytes(raw[block:start]))
                         revisit = fields.get("warc-type") == "revisit"
                         digest = base64.b32encode(hashlib.sha1(raw[start:end]).digest()).decode()
@@ -181,10 +194,16 @@ def read_archives(spark: SparkSession, path: str, range_bytes: int = RANGE, with
     Only candidates on the chain of records that starts at a file's first byte are
     returned; magic inside payloads is rejected.  Columns: file, at, page_id, url,
     record_type, refers_to, payload_bytes, payload_digest, whole[, payload].  An
-    archive without files or records gives no rows.
+    archive without files or records gives no rows.  A chain that breaks off before its
+    file's end raises an error.
     """
     found = save(candidates(spark, path, range_bytes, with_payload), "candidates")
     entries = save(reachable(found), "entries").withColumn("entry", F.lit(True))
+    lengths = spark.read.format("binaryFile").load(path).where("length > 0").select(F.col("path").alias("file"), "length")
+    ends = entries.groupBy("file").agg(F.max("at").alias("end"))
+    broken = lengths.join(ends, "file", "left").where(~F.col("length").eqNullSafe(F.col("end"))).first()
+    if broken is not None:
+        raise ValueError(f"{broken.file}: records end at byte {broken.end or 0} of {broken.length}")
     steps = found.join(entries, ["file", "at"], "left").select("file", "part", "at", "next", F.coalesce("entry", F.lit(False)).alias("entry"))
     arrow_rows(spark)
     passed = save(steps.groupBy("file", "part").applyInPandas(follow, "file string, at long"), "passed")
