@@ -1,8 +1,9 @@
-"""Pairs in crowded buckets against brute force."""
+"""Pairs that share marks against brute force, in one group and in blocks of it."""
 
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,31 +34,29 @@ def sample(n, seed):
     return out
 
 
-@pytest.mark.parametrize("crowd", [0, 16])
-def test_one_crowded_bucket_loses_no_pair(spark, monkeypatch, crowd):
-    monkeypatch.setattr(common, "CROWD", crowd)
+@pytest.mark.parametrize(("meet", "side", "weight"), [(1024, 64, 1 << 21), (16, 5, 200), (1, 1, 1)])
+def test_one_crowded_group_loses_no_pair(spark, monkeypatch, meet, side, weight):
+    for name, value in (("MEET", meet), ("SIDE", side), ("WEIGHT", weight), ("AT_ONCE", 100)):
+        monkeypatch.setattr(common, name, value)
     truth = sample(90, 7)
     sets = spark.createDataFrame([(i, sorted(s)) for i, s in truth.items()], "node long, shingles array<long>").cache()
-
-    def verify(pairs):
-        both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
-        n = F.size(F.array_intersect("s", "t"))
-        return both.where(n >= 0.8 * (F.size("s") + F.size("t") - n) - 1e-9).select("a", "b")
-
-    marked = sets.select(F.lit(1).cast("long").alias("mark"), "node")
-    found = common.linked(marked, verify, lambda nodes: sets.join(nodes, "node", "left_semi"), 0.8)
+    sketches = sets.select("node", F.lit(b"12345678").alias("sketch"), F.size("shingles").cast("long").alias("size"))
+    everything = lambda a, b: np.ones(len(a), bool)
+    similar = lambda c, n, m: c >= 0.8 * (n + m - c) - 1e-9
+    marked = sets.select(F.explode(F.array(F.lit(1).cast("long"), F.col("node") % 4 + 10)).alias("mark"), "node")
+    found = common.linked(marked, sketches, lambda nodes: sets.join(nodes, "node", "left_semi"), everything, similar)
     got = {i: i for i in truth} | {r.node: r.component for r in found.collect()}
     assert got == roots_of(truth, 0.8)
-
-
-def test_rarest_marks_cover_all_similar_pairs(spark):
-    truth = sample(90, 11)
-    sets = spark.createDataFrame([(i, sorted(s)) for i, s in truth.items()], "node long, shingles array<long>")
-    marks = {}
-    for r in common.rarest_marks(sets, 0.8).collect():
-        marks.setdefault(r.node, set()).add(r.mark)
-    for a, b in combinations(truth, 2):
-        if jaccard(truth[a], truth[b]) >= 0.8:
-            assert marks.get(a, set()) & marks.get(b, set())
-    empty = sets.limit(0)
-    assert common.rarest_marks(empty, 0.8).count() == 0
+    assert common.linked(marked.limit(0), sketches, lambda nodes: sets, everything, similar).count() == 0
+
+
+def test_forest_is_components():
+    rng = random.Random(3)
+    for n in (1, 5, 40):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(n // 2)]
+        want = list(range(n))
+        for a, b in edges:
+            x, y = sorted((want[a], want[b]))
+            want = [x if v == y else v for v in want]
+        i, j = (np.array([e[k] for e in edges], np.int64) for k in (0, 1))
+        assert common.forest(n, i, j).tolist() == want

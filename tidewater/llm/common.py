@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
-import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that one Arrow batch may hold; documents are long, so batches stay small.
@@ -22,6 +21,9 @@ ARROW_BYTES = 4 << 20
 #: A-Z to a-z, all other bytes as they are.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
+#: Spark's setting that deletes the shuffles of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own: dict[str, str] = {}
 _tables: list[tuple[SparkSession, str]] = []
 _lasting: list[tuple[SparkSession, str]] = []
@@ -44,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
     """A new path in the shared folder; it is deleted when the process ends.
 
-    A ``lasting`` one outlives ``drop_scratch`` until then.
+    A ``lasting`` one outlives the ``tidy`` block that it is made in.
     """
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     (_lasting if lasting else _tables).append((spark, path))
@@ -55,21 +57,19 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage: later stages read files that outlive any executor, and
-    the shuffles behind the table are released.
+    the shuffles behind the table are deleted when it is written.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    release(spark)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the files of shuffles that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -102,12 +102,25 @@ def tidy() -> Iterator[Callable[[DataFrame], DataFrame]]:
             delete(spark, path)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete all tables that ``save`` has written so far: for jobs that have written what they made of them."""
-    for _, path in _tables:
+Scratch = list[tuple[SparkSession, str]]
+
+
+@contextlib.contextmanager
+def owned(owner: Scratch) -> Iterator[None]:
+    """Give ``owner`` the tables that ``save`` writes inside the block and leaves; it deletes them by ``drop``."""
+    before = len(_tables)
+    yield
+    owner.extend(_tables[before:])
+    _lasting.extend(_tables[before:])
+    del _tables[before:]
+
+
+def drop(owner: Scratch) -> None:
+    """Delete an owner's tables, for a job that has written what it made of them."""
+    for spark, path in owner:
         delete(spark, path)
-    _tables.clear()
-    release(spark)
+        _lasting.remove((spark, path))
+    owner.clear()
 
 
 @atexit.register
@@ -117,6 +130,14 @@ def _clear() -> None:
             delete(spark, path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Keep Arrow batches of whole documents small, in rows and in bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -177,94 +198,200 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(tops)
 
 
-#: Open pairs for each member of a bucket beyond which the bucket's members are compared by their rarest shingles.
-CROWD = 16
-
-
-def rarest_marks(sets: DataFrame, threshold: float) -> DataFrame:
-    """(mark, node): nodes of (node, shingles: distinct) that reach the Jaccard threshold have a mark in common.
-
-    Shingles are ordered by how many nodes have them.  Two similar sets share one of the first
-    n - ceil(threshold * n) + 1 of each, and the larger set's size is at most 1 / threshold of the smaller's.
-    So a mark is one of these shingles with one of two classes of sizes.  Shingles of one node only count
-    as the rarest, but make no marks.
-    """
-    each = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    often = each.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
-    own = each.join(often, "s").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("x"))
-    prefix = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    left = F.greatest(prefix - (F.col("n") - F.size("x")), F.lit(0)).cast("int")
-    level = F.floor(F.log(F.col("n").cast("double")) / (math.log(1 / threshold) + 1e-6))
-    rare = own.select("node", level.alias("level"), F.explode(F.slice("x", F.lit(1), left)).alias("r"))
-    return rare.select(F.explode(F.array(F.xxhash64("r.s", "level"), F.xxhash64("r.s", F.col("level") + 1))).alias("mark"), "node")
-
-
-def linked(marked: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
-    """(node, component) of nodes that ``verify`` links, among those that share a mark.
-
-    marked: (mark, node).  ``verify`` keeps those of the pairs (a, b) whose shingles are similar.  First each
-    sharer of a mark is tied to the least one, so that a group of similar nodes takes as many
-    comparisons as members.  Pairs that are in one component then need no more of them; what is
-    left are buckets whose members lie in several components, and there all pairs across the
-    components are compared.  Where those are more than CROWD for a member, ``sets`` gives the members'
-    (node, shingles), and the same is done with their ``rarest_marks``: no pair at the threshold is lost.
+#: Members of a group whose sketches one block holds.
+MEET = 1024
+#: Texts of a group, and distinct shingles of them, that one block of exact comparisons holds at most (a text of more is a block alone).
+SIDE, WEIGHT = 64, 1 << 21
+#: Pairs or counts that are worked out at once.
+AT_ONCE = 1 << 21
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The same rows in pieces that split no group; rows come sorted by their first column, the group's number."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        g = batch.column(0).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.r_[last is None or g[0] != last, g[1:] != g[:-1]])
+        last = g[-1]
+        if not len(starts):
+            held.append(batch)
+            continue
+        done = [*held, batch.slice(0, starts[-1])]
+        held = [batch.slice(starts[-1])]
+        if sum(b.num_rows for b in done):
+            yield pa.Table.from_batches(done).combine_chunks()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def in_groups(df: DataFrame, work: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Edges (a, b) that ``work`` finds in tables of whole groups of ``df``, whose first column is the group's number (g)."""
+    spark = df.sparkSession
+    arrow_rows(spark)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches):
+            a, b = work(table)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return df.repartition("g").sortWithinPartitions("g").mapInArrow(each, "a long, b long")
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least place among 0 to n - 1 that the edges (i, j) reach, for each place."""
+    label = np.arange(n)
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, label[i], low)
+        np.minimum.at(label, label[j], low)
+        label = label[label]
+        differ = label[i] != label[j]
+        i, j = i[differ], j[differ]
+    while (label != label[label]).any():
+        label = label[label]
+    return label
+
+
+def pairs_before(start: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places lo to hi - 1 with each place before them from start on."""
+    o = np.arange(lo, hi) - start[lo:hi]
+    i = np.repeat(np.arange(lo, hi), o)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(o) - o, o) + np.repeat(start[lo:hi], o)
+
+
+def sketched(table: pa.Table, name: str = "sketch") -> np.ndarray:
+    raw = table[name].to_pylist()
+    return np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+
+
+def met(close: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]:
+    """Ties of nodes (g, own, alone, node, sketch) whose sketches are close: as many as nodes at most, and they connect all close ones."""
+
+    def work(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        g, own, alone, node = (table[c].to_numpy() for c in ("g", "own", "alone", "node"))
+        sketch, n = sketched(table), len(g)
+        first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        start = np.repeat(first, np.diff(np.r_[first, n]))
+        until = np.cumsum(np.arange(n) - start)
+        found_i, found_j, lo = [], [], 0
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(until, (until[lo - 1] if lo else 0) + AT_ONCE, side="right")))
+            i, j = pairs_before(start, lo, hi)
+            ask = alone[i] | (own[i] != own[j])
+            i, j = i[ask], j[ask]
+            ok = close(sketch[i], sketch[j])
+            found_i.append(i[ok])
+            found_j.append(j[ok])
+            lo = hi
+        label = forest(n, np.concatenate(found_i), np.concatenate(found_j))
+        some = np.flatnonzero(label != np.arange(n))
+        return node[some], node[label[some]]
+
+    return work
+
+
+def common_counts(flat: np.ndarray, owner: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values the sets of ``left`` and of ``right`` have in common; value flat[i] is in set owner[i], once."""
+    values, at = np.unique(flat, return_inverse=True)
+    out = np.zeros((len(left), len(right)), np.float64)
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    width = max(1, AT_ONCE // max(n, 1))
+    for lo in range(0, len(values), width):
+        a, b = np.searchsorted(at, [lo, lo + width])
+        part = np.zeros((n, min(width, len(values) - lo)), np.float32)
+        part[owner[a:b], at[a:b] - lo] = 1
+        out += part[left] @ part[right].T
+    return out
+
+
+def compared(similar: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]:
+    """Ties of nodes (g, asks, root, node, shingles) with an asking one of another root, where they are similar; they connect all such."""
+
+    def work(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        g, asks, root, node = (table[c].to_numpy() for c in ("g", "asks", "root", "node"))
+        lists = table["shingles"].combine_chunks()
+        offsets = lists.offsets.to_numpy()
+        flat = lists.values.to_numpy()
+        starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for lo, hi in zip(starts, np.r_[starts[1:], len(g)], strict=True):
+            n, size = hi - lo, np.diff(offsets[lo : hi + 1])
+            left, right = np.flatnonzero(asks[lo:hi]), np.arange(n)
+            if not len(left) or n < 2:
+                continue
+            counts = common_counts(flat[offsets[lo] : offsets[hi]], np.repeat(right, size), n, left, right)
+            ok = similar(counts, size[left][:, None], size[right][None, :]) & (root[lo:hi][left][:, None] != root[lo:hi][None, :])
+            i, j = np.nonzero(ok)
+            label = forest(n, left[i], right[j])
+            some = np.flatnonzero(label != right)
+            found.append((node[lo:hi][some], node[lo:hi][label[some]]))
+        return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+    return work
+
+
+def block_of(node: str, n: Column) -> Column:
+    """A block's number below n for each node."""
+    return F.pmod(F.xxhash64(F.col(node), F.lit(7)), F.greatest(n.cast("long"), F.lit(1))).cast("int")
+
+
+def upto(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.greatest(n.cast("int"), F.lit(1)) - 1))
+
+
+def linked(
+    marked: DataFrame, sketches: DataFrame, sets: Callable[[DataFrame], DataFrame],
+    close: Callable[[np.ndarray, np.ndarray], np.ndarray], similar: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray],
+) -> DataFrame:
+    """(node, component) of nodes that links of similar nodes connect, among those that share a mark.
+
+    marked: (mark long, node long), sketches: (node, sketch binary of one length, size), each node once; ``sets`` gives the
+    (node, shingles array<long>, distinct ones) of some nodes.  Nodes that share a mark and whose sketches are ``close`` are
+    candidates, and candidates that connect make a cluster.  In a cluster every node is compared exactly with
+    the least one first; then all pairs of nodes that lie in different components still are, except those of the largest
+    component, in blocks: a node outside it meets everything of its cluster.  ``similar(common, n, m)`` decides by the
+    numbers of shingles.  So no link between candidates is lost; rows grow with the nodes and, for clusters
+    that stay apart, with the nodes outside the largest component times the cluster's blocks.  Pairs are no rows.
     """
     with tidy() as keep:
-        return keep(save(_linked(marked, verify, sets, threshold), "linked"))
-
-
-def shared_marks(marked: DataFrame) -> DataFrame:
-    """(mark, node, b) of marks that more than one node has; b is the least of them."""
-    least = save(marked.groupBy("mark").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("mark", "b"), "least")
-    return save(marked.join(least, "mark").select("mark", "node", "b"), "shared")
-
-
-def rooted(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """(mark, node, root) with the nodes' components so far."""
-    return save(shared.select("mark", "node").join(found, "node", "left").select("mark", "node", F.coalesce("component", "node").alias("root")), "named")
-
-
-def across(named: DataFrame, marks: DataFrame) -> DataFrame:
-    """All pairs (a, b) that share one of ``marks`` and lie in different components."""
-    some = named.join(marks, "mark")
-    other = some.select("mark", F.col("node").alias("b"), F.col("root").alias("other"))
-    return some.join(other, "mark").where("root != other and node > b").select(F.col("node").alias("a"), "b").distinct()
-
-
-def open_marks(named: DataFrame) -> DataFrame:
-    """(mark, n, open) of marks whose nodes lie in several components: nodes, and pairs across components."""
-    parts = named.groupBy("mark", "root").agg(F.count("*").alias("m"))
-    sizes = parts.groupBy("mark").agg(F.count("*").alias("parts"), F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("squares")).where("parts > 1")
-    return save(sizes.select("mark", "n", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("open")), "open")
-
-
-def _linked(marked: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
-    def checked(pairs: DataFrame) -> DataFrame:
-        with tidy() as keep:
-            return keep(save(verify(pairs), "verified"))
-
-    shared = shared_marks(marked)
-    ties = save(shared.where("node > b").select(F.col("node").alias("a"), "b").distinct(), "ties")
-    edges = checked(ties)
+        return keep(save(_linked(marked, sketches, sets, close, similar), "linked"))
+
+
+def _linked(marked, sketches, sets, close, similar) -> DataFrame:  # noqa: ANN001
+    often = save(marked.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    shared = marked.join(often, "mark").join(sketches.select("node", "sketch"), "node")
+    blocks = F.ceil(F.col("n") / MEET)
+    dealt = shared.withColumn("own", block_of("node", blocks)).select("mark", "node", "sketch", "own", upto(blocks).alias("other"))
+    met_in = F.xxhash64("mark", F.least("own", "other"), F.greatest("own", "other")).alias("g")
+    near = in_groups(dealt.select(met_in, "own", (F.col("own") == F.col("other")).alias("alone"), "node", "sketch"), met(close))
+    clusters = components(near.distinct())
+    clusters = save(clusters.withColumnRenamed("component", "cluster").join(sketches.select("node", "size"), "node"), "clusters")
+    texts = save(sets(clusters.select("node")), "sets")
+
+    def exact(dealt: DataFrame) -> DataFrame:
+        return in_groups(dealt.join(texts, "node").select("g", "asks", "root", "node", "shingles"), compared(similar))
+
+    side = F.greatest(F.lit(1), F.least(F.lit(SIDE), F.floor(F.lit(WEIGHT) / F.greatest("most", F.lit(1)))))
+    sized = clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.max("size").alias("most")).select("cluster", F.ceil(F.col("n") / side).alias("parts"), side.alias("side"))
+    sized = save(sized, "sized")
+    each = clusters.where("node != cluster").join(sized, "cluster").select("cluster", block_of("node", F.col("parts")).alias("part"), F.lit(False).alias("asks"), "node")
+    lead = sized.select("cluster", upto(F.col("parts")).alias("part"), F.lit(True).alias("asks"), F.col("cluster").alias("node"))
+    star = exact(each.union(lead).select(F.xxhash64("cluster", "part").alias("g"), "asks", F.col("node").alias("root"), "node"))
+    edges = save(star, "star")
     found = components(edges)
-    named = rooted(shared, found)
-    sizes = open_marks(named)
-    few = F.col("open") <= CROWD * F.col("n")
-    more = save(across(named, sizes.where(few).select("mark")).join(ties, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        edges = save(edges.union(checked(more)), "edges")
-        found = components(edges)
-    crowd = save(named.join(sizes.where(~few).select("mark"), "mark", "left_semi").select("node").distinct(), "crowd")
-    if crowd.isEmpty():
-        return found
-    shared = shared_marks(rarest_marks(sets(crowd), threshold).distinct())
-    named = rooted(shared, found)
-    lead = named.select("mark", F.col("node").alias("b"), F.col("root").alias("other"))
-    lead = lead.join(shared.where("node = b").select("mark", "b"), ["mark", "b"])
-    ties = save(named.join(lead, "mark").where("root != other and node > b").select(F.col("node").alias("a"), "b").distinct(), "ties")
-    if not ties.isEmpty():
-        edges = save(edges.union(checked(ties)), "edges")
-        found = components(edges)
-        named = rooted(shared, found)
-    more = save(across(named, open_marks(named).select("mark")).join(ties, ["a", "b"], "left_anti"), "pairs")
-    return found if more.isEmpty() else components(edges.union(checked(more)))
+
+    named = clusters.join(found, "node", "left").select("cluster", "node", F.coalesce("component", "node").alias("root"))
+    roots = save(named.groupBy("cluster", "root").agg(F.count("*").alias("m")), "roots")
+    apart = roots.groupBy("cluster").agg(F.max_by("root", F.struct("m", "root")).alias("main"), (F.sum("m") - F.max("m")).alias("out"), F.count("*").alias("k")).where("k > 1")
+    apart = save(apart.join(sized, "cluster").select("cluster", "main", "parts", F.ceil(F.col("out") / F.col("side")).alias("asking")), "apart")
+    rest = named.join(apart, "cluster")
+    part, ask = block_of("node", F.col("parts")), block_of("node", F.col("asking"))
+    told = rest.select("cluster", "root", "node", part.alias("part"), F.lit(False).alias("asks"), upto(F.col("asking")).alias("ask"))
+    asked = rest.where("root != main").select("cluster", "root", "node", upto(F.col("parts")).alias("part"), F.lit(True).alias("asks"), ask.alias("ask"))
+    more = exact(told.unionByName(asked).select(F.xxhash64("cluster", "part", "ask").alias("g"), "asks", "root", "node"))
+    more = save(more, "more")
+    return found if more.isEmpty() else components(edges.union(more))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, as_bytes
+from .common import arrow_rows, as_bytes, fresh
 
 #: Windows of so many consecutive words of an item.
 WINDOW = 10
@@ -238,5 +238,6 @@ def decontaminate(
         return pd.DataFrame(out, columns=["drop", "text"])
 
     cleaned = F.pandas_udf(clean, "drop boolean, text string")
-    made = docs.withColumn("_cleaned", cleaned(F.col(text_col).cast("string")))
-    return made.where("not _cleaned.drop").withColumn(text_col, F.col("_cleaned.text")).select(*docs.columns)
+    name = fresh(docs, "cleaned")
+    made = docs.withColumn(name, cleaned(F.col(text_col).cast("string")))
+    return made.where(~F.col(name)["drop"]).withColumn(text_col, F.col(name)["text"]).select(*[F.col(f"`{c}`") for c in docs.columns])

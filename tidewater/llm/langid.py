@@ -261,7 +261,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Model(langs, counts, {s: n >= SCRIPT_SHARE * np.maximum(letters, 1) for s, n in scripts.items()})
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH, with_spans: bool = True, keep_columns: bool = False) -> DataFrame:
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH, with_spans: bool = True, added: tuple[str, str] | None = None) -> DataFrame:
     """(doc_id, lang_pred, score[, spans]) of every row of ``docs``.
 
     Script ranges narrow each word to the languages written in its script, and
@@ -269,13 +269,13 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     lang_pred is the language of most letters, score its share of them (0 to 1), spans the runs of
     words of one language as (start, end, lang), in word numbers.  A null text or one without
     letters is ``und`` with score 0, and so is everything if the model has no language.
-    Null ids and repeated rows are returned as given; other columns are dropped, unless ``keep_columns`` leaves
-    all columns of ``docs`` as they are and adds ``_lang_pred`` and ``_lang_score``.
+    Null ids and repeated rows are returned as given; other columns are dropped, unless ``added`` names two columns (not among
+    those of ``docs``) that are then added for language and score, all columns of ``docs`` staying as they are.
     """
     spark = docs.sparkSession
     arrow_rows(spark)
     shipped = spark.sparkContext.broadcast(model)
-    text_at = docs.columns.index(text_col) if keep_columns else 1
+    text_at = docs.columns.index(text_col) if added else 1
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value  # a worker's tasks share it, and its words, until the broadcast goes
@@ -302,8 +302,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                     where = np.flatnonzero(keep)
                     ends = np.r_[at[1:], len(path)]
                     spans.append([{"start": int(where[a]), "end": int(where[b - 1]) + 1, "lang": own.langs[path[a]]} for a, b in zip(at, ends, strict=True)])
-            if keep_columns:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "_lang_pred", "_lang_score"])
+            if added:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, *added])
                 continue
             cols = [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             names = ["doc_id", "lang_pred", "score"]
@@ -312,8 +312,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 names.append("spans")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    if keep_columns:
-        schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())])
+    if added:
+        schema = T.StructType([*docs.schema.fields, T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType())])
         return docs.mapInArrow(each, schema)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(each, "doc_id long, lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * with_spans)

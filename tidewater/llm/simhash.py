@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_rows, as_bytes, components, linked, rarest_marks, save, tidy
+from .common import LOWER, arrow_rows, as_bytes, components, fresh, linked, save, tidy
 
 SEED = 42
 #: Rows of hashes whose bits are counted at once; bounds memory for very long texts.
@@ -131,23 +130,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # --- the pipeline's stage: copies by word similarity ---------------------------------
 
+#: Bits of the fingerprint that candidates are held against, as words of 64.
+WIDE = 4
+#: Differing bits of it up to which texts are candidates: 4.5 standard deviations over what a cosine of 0.8 gives.
+RADIUS = 81
+#: Texts of so many distinct shingles or fewer have each shingle as a block too.
+SHORT = 25
+
+
+def remixed(hashes: np.ndarray, salt: int) -> np.ndarray:
+    """Further hashes of the same shingles."""
+    mixed = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * salt % 2**64)) * np.uint64(0xD6E8FEB86659FD93)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return mixed ^ (mixed >> np.uint64(29))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """A SimHash of 64 * WIDE bits of distinct shingles."""
+    return np.array([simhash(hashes if not i else remixed(hashes, i)) for i in range(WIDE)], np.int64).tobytes()
+
+
+def close_fingerprints(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the Hamming distances of rows of bytes are at most RADIUS."""
+    return np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)).sum(axis=1) <= RADIUS
+
 
 def partition_blocks(hashes: np.ndarray, blocks: int, share: int) -> tuple[np.ndarray, np.ndarray]:
-    """Blocks of a partitioned fingerprint: (numbers, values).
+    """Blocks of a partitioned fingerprint of distinct shingles: (numbers, values).
 
-    The distinct shingles of a text are dealt into partitions by their hash, and the
+    The shingles are dealt into partitions by their hash, and the
     SimHash of a partition is one block of the fingerprint.  An edit touches few
-    partitions, so the other blocks stay equal.  There are so many partitions that
-    about ``share`` to twice as many shingles fall into each, and as a finer level
-    twice that number; the first ``blocks`` partitions of both levels are returned.  Texts whose
-    numbers of shingles differ by less than a factor of two have a level in common.
+    partitions, so the other blocks stay equal: where fewer shingles differ than there are partitions, one at least does.
+    About ``share`` to twice as many shingles fall into each partition, half as many on a second level, and a quarter on a
+    third level of texts that have fewer than ``blocks`` partitions on the second.  The fingerprint has ``blocks`` blocks of each level.
+    Texts whose numbers of shingles differ by less than a factor of two have a level in common.  Each
+    shingle of a short text is a block as well.
     """
-    hashes = np.unique(hashes)
     level = max(0, (len(hashes) // share).bit_length() - 1)
     # another mixture of the bits than those that the fingerprint counts
     deal = (hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
-    numbers, values = [], []
-    for lev in (level, level + 1):
+    numbers, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lev in range(level, level + (3 if 2 << level < blocks else 2)):
         part = (deal & np.uint64((1 << lev) - 1)).astype(np.int64)
         keep = part < blocks
         part, some = part[keep], hashes[keep]
@@ -161,61 +184,83 @@ def partition_blocks(hashes: np.ndarray, blocks: int, share: int) -> tuple[np.nd
         n = np.diff(np.r_[at, len(part)])
         values.append(np.packbits(sums * 2 > n[:, None], axis=1, bitorder="little").view(np.int64).ravel())
         numbers.append(part[at] + 64 * lev)
-    if not values:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(hashes) <= SHORT:
+        values.append(hashes.view(np.int64))
+        numbers.append(np.full(len(hashes), -1))
     return np.concatenate(numbers), np.concatenate(values)
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, blocks: int = 16, share: int = 6) -> DataFrame:
-    """(doc_id, component_id): groups of texts whose word shingles are similar.
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, blocks: int = 24, share: int = 4) -> DataFrame:
+    """(doc_id, digest, component_id, kept): groups of texts whose word shingles are similar.
 
-    Distinct texts join on the blocks of their partitioned fingerprints (see ``common.linked``), and
-    pairs whose exact Jaccard similarity of distinct ``size``-word shingles is below ``threshold`` are removed.
-    A text of few shingles has few blocks, so pairs with one of fewer than SHORT are found by their rarest
-    shingles as well, exactly.
-    Texts without words (null and empty included) form one group.  Rows with a
-    null doc_id are left out.
+    Similarity is what the SimHash estimates, the cosine of the sets of distinct ``size``-word shingles (their
+    common shingles by the root of the product of their numbers); a Jaccard similarity of 0.8 is a cosine of 0.89.
+    Distinct texts that share a block of their partitioned fingerprints are held
+    against each other by the Hamming distance of whole fingerprints, and those close enough exactly (see ``common.linked``).
+    Texts without words (null and empty included) form one group, whose least doc_id is component_id.  kept tells the one row
+    of a group that has the least doc_id and, of several texts with it, the least digest (``text_digest``).  Rows with a
+    null doc_id are left out; a row that is given again is returned again.
     """
     arrow_rows(docs.sparkSession)
     flat = lambda xs: pa.ListArray.from_arrays(np.cumsum([0, *map(len, xs)]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *xs]))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same, sizes, marks = [], [], []
-            for text in as_bytes(batch.column(1)):
+            same, sizes, marks, wide = [], [], [], []
+            for text in as_bytes(batch.column(2)):
                 hashes = np.unique(shingle_hashes(text, size))
                 same.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                 sizes.append(len(hashes))
                 number, value = partition_blocks(hashes, blocks, share)
-                marks.append(number * np.int64(-7046029254386353131) ^ value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), flat(marks)], names=["doc_id", "same", "size", "marks"])
+                marks.append(np.unique(number * np.int64(-7046029254386353131) ^ value))
+                wide.append(wide_fingerprint(hashes))
+            made = [pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(wide, pa.binary()), flat(marks)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "digest", "same", "size", "sketch", "marks"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, size)).view(np.int64) for t in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), flat(sets)], names=["doc_id", "shingles"])
+            made = [np.unique(shingle_hashes(t, size)).view(np.int64) for t in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), flat(made)], names=["node", "shingles"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(text_col).alias("digest"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     with tidy() as keep:
-        made = save(rows.mapInArrow(mark, "doc_id long, same binary, size long, marks array<long>"), "marked")
-        firsts = save(made.groupBy("same").agg(F.min(F.struct("doc_id", "size", "marks")).alias("f")).select("same", F.col("f.doc_id").alias("first"), "f.size", "f.marks"), "firsts")
+        made = save(rows.mapInArrow(mark, "doc_id long, digest long, same binary, size long, sketch binary, marks array<long>"), "marked")
+        firsts = made.groupBy("same").agg(F.min_by(F.struct("doc_id", "digest", "size", "sketch", "marks"), F.struct("doc_id", "digest")).alias("f"))
+        # a node is a distinct text; two texts of one doc_id stay two nodes
+        node = F.xxhash64("same")
+        firsts = save(firsts.select("same", node.alias("node"), F.struct("f.doc_id", "f.digest").alias("first"), "f.size", "f.sketch", "f.marks"), "firsts")
+
         def sets(nodes: DataFrame) -> DataFrame:
             """Only the texts of these nodes are cut into shingles again."""
-            asked = rows.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-            return save(asked.mapInArrow(cut, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node"), "sets")
-
-        # what a text of fewer than SHORT shingles is similar to has no more than 1 / threshold times as many
-        short = firsts.where(F.col("size").between(1, math.ceil(SHORT / threshold))).select(F.col("first").alias("node")).distinct()
-        by_block = firsts.dropDuplicates(["first"]).select(F.explode(F.array_distinct("marks")).alias("mark"), F.col("first").alias("node"))
-        blocked = save(by_block.union(rarest_marks(sets(short), threshold)).distinct(), "blocked")
-
-        def verify(pairs: DataFrame) -> DataFrame:
-            one = sets(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()).withColumnRenamed("node", "doc_id")
-            left = pairs.join(one.withColumnsRenamed({"doc_id": "a", "shingles": "s"}), "a")
-            both = left.join(one.withColumnsRenamed({"doc_id": "b", "shingles": "t"}), "b")
-            common = F.size(F.array_intersect("s", "t"))
-            return both.where(common >= threshold * (F.size("s") + F.size("t") - common) - 1e-9).select("a", "b")
-
-        found = linked(blocked, verify, sets, threshold)
-        rooted = firsts.join(found, firsts["first"] == found.node, "left").select("same", F.coalesce("component", "first").alias("component_id"))
-        return keep(save(made.select("doc_id", "same").join(rooted, "same").select("doc_id", "component_id"), "groups"))
+            asked = firsts.join(nodes, "node", "left_semi").select("node", "first.doc_id", "first.digest")
+            return rows.join(asked, ["doc_id", "digest"]).select("node", "text").mapInArrow(cut, "node long, shingles array<long>").dropDuplicates(["node"])
+
+        def similar(common, n, m):  # noqa: ANN001, ANN202
+            return common >= threshold * np.sqrt(n * m) - 1e-9
+
+        marks = firsts.select(F.explode("marks").alias("mark"), "node")
+        found = linked(marks, firsts.select("node", "sketch", "size"), sets, close_fingerprints, similar)
+        rooted = firsts.join(found, "node", "left").select("same", "first", F.coalesce("component", "node").alias("root"))
+        least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+        groups = made.select("doc_id", "digest", "same").join(rooted.join(least, "root").select("same", "least"), "same")
+        kept = (F.col("doc_id") == F.col("least.doc_id")) & (F.col("digest") == F.col("least.digest"))
+        return keep(save(groups.select("doc_id", "digest", F.col("least.doc_id").alias("component_id"), kept.alias("kept")), "groups"))
+
+
+def text_digest(text_col: str) -> Column:
+    """A hash of a text; null has its own."""
+    return F.coalesce(F.xxhash64(F.col(text_col).cast("string"), F.lit(SEED)), F.lit(0))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:  # noqa: ANN003
+    """One row of ``docs``, that of the least doc_id, for each group of ``similar_groups``, with all its columns.
+
+    Where the least id has several similar texts, the one of the least digest stays.  Rows whose id is null are never
+    compared and stay, each text once.
+    """
+    chosen = similar_groups(docs, id_col, text_col, **options).where("kept").select("doc_id", "digest").distinct()
+    digest, own, other = (fresh(docs, n) for n in ("digest_here", "id_of_group", "digest_of_group"))
+    named = docs.withColumn(digest, text_digest(text_col))
+    joined = named.join(chosen.toDF(own, other), (named[id_col].cast("long") == F.col(own)) & (named[digest] == F.col(other)), "left")
+    stay = joined.where(F.col(own).isNotNull() | F.col(id_col).isNull())
+    return stay.dropDuplicates([id_col, digest]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -10,13 +10,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_rows, as_bytes, linked, save, tidy
+from .common import LOWER, arrow_rows, as_bytes, fresh, linked, save, tidy
 
 SEED = 42
-#: Paragraphs of fewer words are compared as pieces of their surroundings only.
-LEAST_WORDS = 12
-#: A piece of a paragraph ends where a word's hash is the least within so many words on both sides.
-REACH = 5
+#: Paragraphs of fewer words are compared as parts of longer passages only.
+LEAST_WORDS = 20
+#: Words of a gram, the unit of exact passages.
+GRAM = 12
+#: Words whose hashes are made at once.
+SLICE = 1 << 16
 
 
 def bands_for(threshold: float, recall: float, most: int = 40) -> tuple[int, int]:
@@ -28,200 +30,272 @@ def bands_for(threshold: float, recall: float, most: int = 40) -> tuple[int, int
     return most, 1
 
 
-def word_spans(line: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The words of a line (separated by ASCII white space) with their byte offsets."""
-    words = line.split()
-    if not words:
-        return words, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    raw = np.frombuffer(line, np.uint8)
-    inside = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Byte offsets at which the words of a text (separated by ASCII white space) begin and end."""
+    code = np.frombuffer(raw, np.uint8)
+    inside = ~((code == 32) | ((code >= 9) & (code <= 13)))
     edge = np.diff(np.r_[False, inside, False].astype(np.int8))
-    return words, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def pieces(hashes: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """Starts of the content-defined pieces of a run of words.
+def word_hashes(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words, A-Z lower-cased."""
+    low, out = raw.translate(LOWER), np.zeros(len(start), np.uint64)
+    for a in range(0, len(start), SLICE):
+        b = min(a + SLICE, len(start))
+        out[a:b] = np.fromiter(map(xxhash.xxh3_64_intdigest, low[start[a] : end[b - 1]].split()), np.uint64, b - a)
+    return out
 
-    A piece ends after each word whose hash is the least of all words up to ``reach``
-    before and after it, so the same passage is cut alike wherever it stands.
+
+def gram_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words; run i begins at word i."""
+    n = len(hashes) - size + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    for i in range(size if n > 0 else 0):
+        out = (out ^ hashes[i : n + i]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
+    """The least or largest of each run of ``width`` values."""
+    pick, have = (np.minimum if least else np.maximum), 1
+    while have < width:
+        step = min(have, width - have)
+        values = pick(values[:-step], values[step:])
+        have += step
+    return values
+
+
+def anchors(grams: np.ndarray, text: np.ndarray, window: int) -> np.ndarray:
+    """Places of grams that are the least of any ``window`` adjoining grams of one text (text: the number of each gram's text).
+
+    The choice depends on the window's words alone, so two texts that share ``window`` grams share one of these.
     """
-    n = len(hashes)
-    if n <= 2 * reach:
-        return np.zeros(min(n, 1), np.int64)
-    around = np.lib.stride_tricks.sliding_window_view(np.pad(hashes, reach, constant_values=np.uint64(2**64 - 1)), 2 * reach + 1)
-    cut = np.flatnonzero(hashes <= around.min(axis=1)) + 1
-    return np.r_[0, cut[cut < n]]
+    if len(grams) < window:
+        return np.zeros(0, np.int64)
+    low = sliding(grams, window, True)
+    low[text[: len(low)] != text[window - 1 :]] = 0
+    around = np.r_[np.zeros(window - 1, np.uint64), low, np.zeros(window - 1, np.uint64)]
+    return np.flatnonzero((sliding(around, window, False) == grams) & (grams > 0))
 
 
-class Paragraphs:
-    """Cuts texts into paragraphs (lines) and the pieces of paragraphs, with their signatures."""
+class Cutter:
+    """Cuts texts into paragraphs (lines) with MinHash signatures, and into anchors of passages."""
 
-    def __init__(self, bands: int, rows: int, size: int) -> None:
+    def __init__(self, bands: int, rows: int, size: int, least_run: int) -> None:
         rng = np.random.default_rng(SEED)
         self.bands, self.rows, self.size = bands, rows, size
-        self.odd = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) | np.uint64(1)
-        self.add = rng.integers(1, 2**63, bands * rows, dtype=np.uint64)
-
-    def words(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Word hashes, byte starts and ends, and the line of each word of a text, with the lines' first words."""
-        words, start, end = word_spans(text)
-        low = text.translate(LOWER).split()
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, low), np.uint64, len(low))
-        breaks = np.flatnonzero(np.frombuffer(text, np.uint8) == 10)
-        line = np.searchsorted(breaks, start) if len(start) else start
-        first = np.flatnonzero(np.diff(np.r_[-1, line])) if len(line) else np.zeros(0, np.int64)
-        return hashes, start, end, line, first
-
-    def shingles(self, hashes: np.ndarray) -> np.ndarray:
-        """Hashes of the runs of ``size`` words; fewer words: of the whole run."""
-        k = min(self.size, len(hashes))
-        out = np.zeros(len(hashes) - k + 1, np.uint64)
-        for i in range(k):
-            out = (out ^ hashes[i : len(hashes) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
+        self.window = max(1, least_run - GRAM + 1)
+        self.odd = rng.integers(1, 2**31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        self.add = rng.integers(0, 2**32, bands * rows, dtype=np.uint32)
+
+    def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all words of some texts the hashes, texts and lines, and the number of each text's first word."""
+        raw = b"\n".join(texts)
+        start, end = word_bounds(raw)
+        offset = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        text = np.searchsorted(offset, start, side="right") - 1
+        line = np.searchsorted(np.flatnonzero(np.frombuffer(raw, np.uint8) == 10), start)
+        return word_hashes(raw, start, end), text, line, np.searchsorted(text, np.arange(len(texts)))
+
+    def signatures(self, hashes: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """MinHash values of the ``size``-word shingles of runs of words, a row for each run; all have ``size`` words or more."""
+        if not len(at):
+            return np.zeros((0, len(self.odd)), np.uint32)
+        kept = n - self.size + 1
+        first = np.cumsum(kept) - kept
+        place = np.repeat(at - first, kept) + np.arange(int(kept.sum()))
+        shingles = (gram_hashes(hashes, self.size)[place] >> np.uint64(32)).astype(np.uint32)
+        out = np.zeros((len(at), len(self.odd)), np.uint32)
+        for i, (odd, add) in enumerate(zip(self.odd, self.add, strict=True)):
+            mixed = shingles * odd + add
+            mixed ^= mixed >> np.uint32(15)
+            mixed *= np.uint32(0x2C1B3C6D)
+            mixed ^= mixed >> np.uint32(13)
+            out[:, i] = np.minimum.reduceat(mixed, first)
+        return out
+
+    def keys(self, least: np.ndarray) -> np.ndarray:
+        """A key for each band of the signatures."""
+        out = np.zeros((len(least), self.bands), np.uint64) + np.arange(1, self.bands + 1, dtype=np.uint64)
+        for row in range(self.rows):
+            out = (out ^ least[:, row :: self.rows].astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+            out ^= out >> np.uint64(32)
         return out
 
-    def signature(self, shingles: np.ndarray) -> np.ndarray:
-        """A key for each band of the MinHash signature."""
-        least = np.full(len(self.odd), np.uint64(2**64 - 1))
-        for at in range(0, len(shingles), 4096):
-            mixed = shingles[None, at : at + 4096] * self.odd[:, None] + self.add[:, None]
-            np.minimum(least, (mixed ^ (mixed >> np.uint64(31))).min(axis=1), out=least)
-        keys = np.zeros(self.bands, np.uint64)
-        for row in least.reshape(self.bands, self.rows).T:
-            keys = (keys ^ row) * np.uint64(0xC2B2AE3D27D4EB4F)
-            keys ^= keys >> np.uint64(32)
-        return keys ^ np.arange(self.bands, dtype=np.uint64)
-
-
-def run_hash(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One hash for each run of words; a run begins at each of ``at``."""
-    n = np.diff(np.r_[at, len(hashes)])
-    place = np.arange(len(hashes)) - np.repeat(at, n)
-    mixed = (hashes ^ (hashes >> np.uint64(32))) * (np.uint64(0x9E3779B97F4A7C15) * (2 * place + 1).astype(np.uint64))
+
+def close_signatures(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether MinHash signatures (a byte of each value) agree in 20 of 36 values: at a similarity of 0.8 all but one pair in 1,000 do."""
+    return (a == b).mean(axis=1) >= 20 / 36
+
+
+def run_hash(hashes: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """One hash for each run of n words that begins at word ``at``."""
+    first = np.cumsum(n) - n
+    place = np.arange(int(n.sum())) - np.repeat(first, n)
+    some = hashes[np.repeat(at, n) + place]
+    mixed = (some ^ (some >> np.uint64(32))) * (np.uint64(0x9E3779B97F4A7C15) * (2 * place + 1).astype(np.uint64))
     mixed ^= mixed >> np.uint64(29)
-    return np.add.reduceat(mixed, at) * np.uint64(0xC2B2AE3D27D4EB4F) + n.astype(np.uint64)
+    return (np.add.reduceat(mixed, first) if len(at) else np.zeros(0, np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F) + n.astype(np.uint64)
+
+
+def flat(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1]), pa.array(rows.ravel()))
+
 
+def named_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, tk, text): tk tells apart the texts of one id."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.where("doc_id is not null and text is not null").select("doc_id", F.hash("text").alias("tk"), "text")
 
-def units(docs: DataFrame, id_col: str, text_col: str, cutter: Paragraphs) -> DataFrame:
-    """(doc_id, kind, at, n, key) of every unit: kind 0 a paragraph, 1 a piece of one.
 
-    at is the first word's number in the document, n the number of words, key the
-    hash of the words.
+def units(texts: DataFrame, cutter: Cutter) -> DataFrame:
+    """(doc_id, tk, at, n, key, marks, sketch) of the paragraphs and, without marks, the anchors of all texts.
+
+    at is the first word's number in the document, n the number of words, key the hash of the words.
     """
-    arrow_rows(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, kinds, ats, ns, keys = [], [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                hashes, _, _, _, first = cutter.words(text or b"")
-                if not len(hashes):
-                    continue
-                fine = pieces(hashes)
-                for kind, at in ((0, first), (1, fine)):
-                    n = np.diff(np.r_[at, len(hashes)])
-                    key = run_hash(hashes, at).view(np.int64)
-                    keep = n >= LEAST_WORDS if kind == 0 else n > 0
-                    ids.append(np.full(int(keep.sum()), doc_id, np.int64))
-                    kinds.append(np.full(int(keep.sum()), kind, np.int8))
-                    ats.append(at[keep].astype(np.int32))
-                    ns.append(n[keep].astype(np.int32))
-                    keys.append(key[keep])
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, kinds, ats, ns, keys)], names=["doc_id", "kind", "at", "n", "key"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    return rows.mapInArrow(each, "doc_id long, kind byte, at int, n int, key long")
-
-
-def paragraph_bands(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, cutter: Paragraphs) -> DataFrame:
-    """(key, bands array, shingles array) of the paragraphs in ``wanted`` (doc_id, ats, keys: each distinct paragraph once)."""
+            hashes, text, line, first = cutter.texts(as_bytes(batch.column(2)))
+            if not len(hashes):
+                continue
+            at = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+            n = np.diff(np.r_[at, len(line)])
+            at, n = at[n >= LEAST_WORDS], n[n >= LEAST_WORDS]
+            least = cutter.signatures(hashes, at, n)
+            grams = gram_hashes(hashes, GRAM)
+            inside = text[: len(grams)] == text[GRAM - 1 :]
+            place = np.flatnonzero(inside)
+            place = place[anchors(grams[place], text[place], cutter.window)]
+            for where, size, key, signed in ((at, n, run_hash(hashes, at, n), True), (place, np.full(len(place), GRAM), grams[place], False)):
+                of = text[where]
+                marks = flat(cutter.keys(least).view(np.int64)) if signed else pa.nulls(len(where), pa.list_(pa.int64()))
+                sketch = pa.array([r.tobytes() for r in least.astype(np.uint8)], pa.binary()) if signed else pa.nulls(len(where), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array((where - first[of]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(key.view(np.int64)), marks, sketch],
+                    names=["doc_id", "tk", "at", "n", "key", "marks", "sketch"],
+                )
+
+    return texts.mapInArrow(each, "doc_id long, tk int, at int, n int, key long, marks array<long>, sketch binary")
+
+
+def paragraph_sets(texts: DataFrame, owners: DataFrame, cutter: Cutter) -> DataFrame:
+    """(node, shingles array) of the paragraphs in ``owners`` (node, doc_id, tk, at, n)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, marks, sets = [], [], []
-            for text, ats, own in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                hashes, _, _, _, first = cutter.words(text or b"")
-                ends = dict(zip(first.tolist(), [*first[1:].tolist(), len(hashes)], strict=True))
-                for at, key in zip(ats, own, strict=True):
-                    some = np.unique(cutter.shingles(hashes[at : ends[at]]))
-                    keys.append(key)
-                    marks.append(cutter.signature(some).view(np.int64))
-                    sets.append(some.view(np.int64))
-            if keys:
-                flat = lambda xs: pa.ListArray.from_arrays(np.cumsum([0, *map(len, xs)]).astype(np.int32), np.concatenate(xs))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), flat(marks), flat(sets)], names=["key", "bands", "shingles"])
+            hashes, _, _, first = cutter.texts(as_bytes(batch.column(0)))
+            grams, nodes, made = gram_hashes(hashes, cutter.size).view(np.int64), [], []
+            for base, some in zip(first.tolist(), batch.column(1).to_pylist(), strict=True):
+                for p in some:
+                    nodes.append(p["node"])
+                    made.append(np.unique(grams[base + p["at"] : base + p["at"] + p["n"] - cutter.size + 1]))
+            sets = pa.ListArray.from_arrays(np.cumsum([0, *map(len, made)]).astype(np.int32), pa.array(np.concatenate([np.zeros(0, np.int64), *made])))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), sets], names=["node", "shingles"])
+
+    by_text = owners.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("node", "at", "n")).alias("some"))
+    return texts.join(by_text, ["doc_id", "tk"]).select("text", "some").mapInArrow(each, "node long, shingles array<long>").dropDuplicates(["node"])
+
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(wanted, "doc_id")
-    return rows.select("text", "ats", "keys").mapInArrow(each, "key long, bands array<long>, shingles array<long>")
+def repeated_paragraphs(texts: DataFrame, found: DataFrame, cutter: Cutter, threshold: float) -> DataFrame:
+    """(doc_id, tk, at, end, keep, class) of paragraphs that are similar to one of a lesser document."""
+    whole = found.where("marks is not null")
+    place = F.struct("doc_id", "tk", "at")
+    owners = whole.groupBy("key").agg(F.min_by(F.struct("doc_id", "tk", "at", "n", "marks", "sketch"), place).alias("o"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    owners = save(owners.select(F.col("key").alias("node"), "lo", "hi", "o.*"), "owners")
 
+    def sets(nodes: DataFrame) -> DataFrame:
+        return paragraph_sets(texts, owners.join(nodes, "node", "left_semi"), cutter)
 
-def paragraph_classes(bands: DataFrame, threshold: float) -> DataFrame:
-    """(key, class): distinct paragraphs whose Jaccard similarity reaches the threshold, by components."""
-    sets = bands.select("key", "shingles")
+    def similar(common, n, m):  # noqa: ANN001, ANN202
+        return common >= threshold * (n + m - common) - 1e-9
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.withColumnsRenamed({"key": "a", "shingles": "s"}), "a").join(sets.withColumnsRenamed({"key": "b", "shingles": "t"}), "b")
-        common = F.size(F.array_intersect("s", "t"))
-        return both.where(common >= threshold * (F.size("s") + F.size("t") - common) - 1e-9).select("a", "b")
+    marked = owners.select(F.explode("marks").alias("mark"), "node").distinct()
+    classes = linked(marked, owners.select("node", "sketch", F.col("n").cast("long").alias("size")), sets, close_signatures, similar)
+    named = owners.join(classes, "node", "left").select("node", "lo", "hi", F.coalesce("component", "node").alias("class"))
+    by_class = named.groupBy("class").agg(F.min("lo").alias("keep"), F.max("hi").alias("last")).where("keep < last")
+    repeated = save(named.join(by_class, "class").select(F.col("node").alias("key"), "keep", "class"), "repeated")
+    hit = whole.select("doc_id", "tk", "at", "n", "key").join(repeated, "key").where("doc_id > keep")
+    return hit.select("doc_id", "tk", "at", (F.col("at") + F.col("n")).alias("end"), "keep", "class")
 
-    marks = save(bands.select(F.explode(F.array_distinct("bands")).alias("mark"), F.col("key").alias("node")), "bands")
-    shingles = lambda nodes: sets.join(nodes.withColumnRenamed("node", "key"), "key", "left_semi").withColumnRenamed("key", "node")
-    return linked(marks, verify, shingles, threshold).select(F.col("node").alias("key"), F.col("component").alias("class"))
+
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """(key, keep): keys of several documents, and the least of these."""
+    return rows.groupBy("key").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last")).where("keep < last").select("key", "keep")
+
+
+def repeated_passages(texts: DataFrame, found: DataFrame, cutter: Cutter) -> DataFrame:
+    """(doc_id, tk, at, end, keep, class) of stretches of words whose grams all stand in a lesser document.
+
+    Two documents that share a passage of ``least_run`` words share one of its anchors; all grams around shared
+    anchors, up to a window's width away, are then compared.
+    """
+    marks = found.where("marks is null").select("doc_id", "tk", "at", "key")
+    shared = save(shared_keys(marks).select("key"), "shared")
+    wanted = marks.join(shared, "key", "left_semi").groupBy("doc_id", "tk").agg(F.collect_set("at").alias("ats"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, text, _, first = cutter.texts(as_bytes(batch.column(2)))
+            grams = gram_hashes(hashes, GRAM)
+            near = np.zeros(len(grams) + 1, np.int64)
+            ends = np.r_[first[1:], len(hashes)] - GRAM + 1
+            for base, end, ats in zip(first.tolist(), ends.tolist(), batch.column(3), strict=True):
+                at = ats.values.to_numpy() + base
+                np.add.at(near, np.maximum(at - cutter.window + 1, base), 1)
+                np.add.at(near, np.minimum(at + cutter.window, end), -1)
+            place = np.flatnonzero(np.cumsum(near)[:-1] > 0)
+            of = text[place]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array((place - first[of]).astype(np.int32)), pa.array(grams[place].view(np.int64))], names=["doc_id", "tk", "at", "key"]
+            )
+
+    asked = texts.join(wanted, ["doc_id", "tk"]).select("doc_id", "tk", "text", "ats")
+    grams = save(asked.mapInArrow(each, "doc_id long, tk int, at int, key long"), "grams")
+    again = save(shared_keys(grams), "again")
+    hit = grams.join(again, "key").where("doc_id > keep")
+    return hit.select("doc_id", "tk", "at", (F.col("at") + GRAM).alias("end"), "keep", F.col("key").alias("class"))
 
 
 def repeated_spans(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, size: int = 5, recall: float = 0.99, least_run: int = 30
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, size: int = 5, recall: float = 0.99, least_run: int = 50
 ) -> DataFrame:
-    """Runs of words to remove: (doc_id, at, n, kept_doc_id, component_id).
+    """Runs of words to remove: (doc_id, tk, at, n, kept_doc_id, component_id).
 
-    Units are the paragraphs (lines of 12 words or more) and the content-defined
-    pieces of all text, so that passages inside long paragraphs are found too.
-    Distinct paragraphs collide by MinHash bands tuned for ``recall`` at the
+    Paragraphs are the lines of LEAST_WORDS words or more.  They
+    collide by MinHash bands tuned for ``recall`` at the
     Jaccard ``threshold`` (``size``-word shingles), are verified exactly and
-    clustered by components; pieces collide by their whole content.  The least doc_id of a
-    cluster keeps its units; in any other document they count as repeated.  A run
-    of adjoining repeated units is reported if it has ``least_run`` words or more,
-    so that common short lines stay.  kept_doc_id is the least document that keeps a unit of the
-    run, component_id the least cluster in it.  Null ids and texts are left out; a document is never compared with
-    itself; repeated rows are reported once.
+    clustered by components; the least doc_id of a
+    cluster keeps its paragraphs, in any other document they count as repeated.  So does every word of a run of GRAM
+    words that stands in a lesser document, where two documents share a passage of ``least_run`` words, whatever its lines.
+    A run of adjoining repeated words is reported if it has ``least_run`` words or more,
+    so that common short lines stay.  kept_doc_id is the least document that keeps a part of the
+    run, component_id the least cluster (or hash of a repeated gram) in it.  Null ids and texts are left out; a document is never compared with
+    itself; repeated rows are reported once, several texts of one id each by its tk.  Texts are compared without regard to A-Z's case and white space.
     """
+    if least_run < GRAM:
+        raise ValueError(f"least_run has to be {GRAM} or more")
+    arrow_rows(docs.sparkSession)
     with tidy() as keep:
-        return keep(_repeated_spans(docs, id_col, text_col, threshold, size, recall, least_run))
-
-
-def _repeated_spans(docs: DataFrame, id_col: str, text_col: str, threshold: float, size: int, recall: float, least_run: int) -> DataFrame:
-    bands, rows = bands_for(threshold, recall)
-    cutter = Paragraphs(bands, rows, size)
-    found = save(units(docs, id_col, text_col, cutter), "units")
-    whole = found.where("kind = 0")
-    owners = save(whole.groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("o")).select("key", "o.doc_id", "o.at"), "owners")
-    wanted = owners.groupBy("doc_id").agg(F.collect_list(F.struct("at", "key")).alias("x")).select("doc_id", F.col("x.at").alias("ats"), F.col("x.key").alias("keys"))
-    signed = save(paragraph_bands(docs, id_col, text_col, wanted, cutter), "signed")
-    classes = save(paragraph_classes(signed, threshold), "classes")
-    # repeated: distinct keys of paragraphs go by class, pieces by their own content
-    named = (
-        owners.select("key", F.col("doc_id").alias("first")).join(classes, "key", "left")
-        .select(F.lit(0).cast("byte").alias("kind"), "key", F.coalesce("class", "key").alias("class"))
-    )
-    span = lambda d, *by: d.groupBy(*by).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    by_key = save(span(found, "kind", "key"), "by_key")
-    paragraphs = by_key.where("kind = 0").join(named.drop("kind"), "key")
-    by_class = paragraphs.groupBy("class").agg(F.min("lo").alias("keep"), F.max("hi").alias("last")).where("keep < last")
-    repeated = (
-        paragraphs.join(by_class, "class").select("kind", "key", "keep", "class")
-        .union(by_key.where("kind = 1 and lo < hi").select("kind", "key", F.col("lo").alias("keep"), F.col("key").alias("class")))
-    )
-    hit = found.join(save(repeated, "repeated"), ["kind", "key"]).where("doc_id > keep")
-    hit = hit.select("doc_id", "at", (F.col("at") + F.col("n")).alias("end"), "keep", "class").distinct()
-    # adjoining units of a document make runs
-    w = Window.partitionBy("doc_id").orderBy("at", "end", "keep", "class")
+        bands, rows = bands_for(threshold, recall)
+        cutter = Cutter(bands, rows, size, least_run)
+        texts = named_texts(docs, id_col, text_col)
+        found = save(units(texts, cutter), "units")
+        paragraphs = save(repeated_paragraphs(texts, found, cutter, threshold), "paragraphs")
+        passages = save(repeated_passages(texts, found, cutter), "passages")
+        return keep(save(runs_of(paragraphs.union(passages), least_run), "spans"))
+
+
+def runs_of(hit: DataFrame, least_run: int) -> DataFrame:
+    """Runs of adjoining or overlapping stretches of a text."""
+    w = Window.partitionBy("doc_id", "tk").orderBy("at", "end", "keep", "class")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = hit.withColumn("new", (F.coalesce(before, F.lit(-1)) < F.col("at")).cast("int"))
     runs = marked.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = runs.groupBy("doc_id", "run").agg(F.min("at").alias("at"), (F.max("end") - F.min("at")).alias("n"), F.min("keep").alias("kept_doc_id"), F.min("class").alias("component_id"))
-    return save(out.where(F.col("n") >= least_run).select("doc_id", "at", "n", "kept_doc_id", "component_id"), "spans")
+    out = runs.groupBy("doc_id", "tk", "run").agg(F.min("at").alias("at"), (F.max("end") - F.min("at")).alias("n"), F.min("keep").alias("kept_doc_id"), F.min("class").alias("component_id"))
+    return out.where(F.col("n") >= least_run).select("doc_id", "tk", "at", "n", "kept_doc_id", "component_id")
 
 
 def removed(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,8 +304,8 @@ def removed(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
     A removed run takes the white space before it along; where text stands on both sides,
     the longest of the two gaps' separators stays.
     """
-    names = [F.struct("at", "n").alias("s")]
-    per = spans.select(F.col("doc_id").alias("_span_doc"), *names).groupBy("_span_doc").agg(F.sort_array(F.collect_list("s")).alias("_spans"))
+    of, tk, some = (fresh(docs, n) for n in ("span_doc", "span_text", "spans"))
+    per = spans.groupBy("doc_id", "tk").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias(some)).toDF(of, tk, some)
 
     @F.pandas_udf("string")
     def cut(texts, spans):  # noqa: ANN001, ANN202
@@ -239,16 +313,17 @@ def removed(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
 
         return pd.Series([cut_text(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    joined = docs.join(per, docs[id_col] == per["_span_doc"], "left")
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("_spans")))
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    text = F.col(f"`{text_col}`").cast("string")
+    joined = docs.join(per, (docs[id_col].cast("long") == F.col(of)) & (F.hash(docs[text_col].cast("string")) == F.col(tk)), "left")
+    made = F.when(F.col(some).isNull(), text).otherwise(cut(text, F.col(some))).alias(text_col)
+    return joined.select(*[made if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def cut_text(text: str | None, spans) -> str | None:  # noqa: ANN001
     if text is None or spans is None or not len(spans):
         return text
     raw = text.encode("utf-8", "surrogatepass")
-    _, start, end = word_spans(raw)
+    start, end = word_bounds(raw)
     kept, last = [], 0
     for s in spans:
         at, n = int(s["at"]), int(s["n"])
