@@ -83,7 +83,7 @@ def test_similar_paragraphs_are_found(spark):
         sets = [{tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (base, near)]
         if len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]):
             want.add((i + 1, 3, len(near)))
-        rows += [(i, f"a title here\n{' '.join(base)}\nthe end"), (i + 1, f"another title here\n{' '.join(near)}\nthe end")]
+        rows += [(k, "\n".join([f"{word()} {word()} {word()}", " ".join(words), word()])) for k, words in ((i, base), (i + 1, near))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.at, r.n) for r in substring.repeated_spans(df).collect()}
     assert len(want) > 15 and got <= want and len(got) >= 0.97 * len(want)
