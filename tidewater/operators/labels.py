@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import half_up
-
 LABELS = "map<string,struct<quality_score:double,blue_water_severity:double,feature_usefulness:double>>"
 
 
@@ -40,8 +38,8 @@ def training_labels(results: DataFrame, order: str = "path", feature: bool = Tru
     rows = results.where("error is null and overall_score is not null").withColumn("filename", basename(order))
     w = Window.partitionBy("filename").orderBy(F.desc(order))
     last = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    extra = [half_up("feature_usefulness_score", 2).alias("feature_usefulness")] if feature else []
-    return last.select("filename", half_up("overall_score", 2).alias("quality_score"), half_up(F.coalesce("blue_water_problem_severity", F.lit(5.0)), 2).alias("blue_water_severity"), *extra)
+    extra = [F.col("feature_usefulness_score").alias("feature_usefulness")] if feature else []
+    return last.select("filename", F.col("overall_score").alias("quality_score"), F.coalesce("blue_water_problem_severity", F.lit(5.0)).alias("blue_water_severity"), *extra)
 
 
 def label_lines(labels: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -78,18 +79,45 @@ def correlation(a: str, b: str) -> Column:
 
 
 def ranking(results: DataFrame, score: str = "overall_score", tie: str = "path") -> DataFrame:
-    """Successful rows (a score above zero) with their rank from 1, best first.
+    """Successful rows (a score above zero) with their rank from 1, best first; equal rows are ranked in any order.
 
-    The rank adds the number of better rows in earlier ranges of scores to the place within
-    the own range, so that no task sees all rows.
+    Rows are sorted in ranges of scores and written to the checkpoint folder once, so that the places in a range and the
+    number of rows in the ranges before it come from the same ranges.  No task sees all rows.
     """
-    from pyspark.sql import Window
-
-    dealt = results.where(F.col(score) > 0).repartitionByRange(F.desc(score), F.asc(tie)).withColumn("_part", F.spark_partition_id())
-    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    ahead = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(F.desc(score), tie))
-    return dealt.join(F.broadcast(ahead), "_part").withColumn("rank", (place + F.col("_ahead")).cast("long")).drop("_part", "_ahead")
+    place = fresh(results, "place")
+    rows = results.where(F.col(score) > 0).repartitionByRange(F.desc(score), F.asc(tie)).sortWithinPartitions(F.desc(score), F.asc(tie))
+    dealt = checkpointed(rows.withColumn(place, F.monotonically_increasing_id()))
+    part = F.shiftright(place, 33)
+    counts = {r["part"]: r["n"] for r in dealt.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # a row for each range
+    ahead, before = {}, 0
+    for p in sorted(counts):
+        ahead[p] = before
+        before += counts[p]
+    if not ahead:
+        return dealt.withColumn("rank", F.lit(0).cast("long")).drop(place)
+    offset = F.create_map(*[F.lit(x).cast("long") for p in ahead for x in (p, ahead[p])])
+    return dealt.withColumn("rank", F.col(place).bitwiseAND(F.lit((1 << 33) - 1)) + 1 + offset[part]).drop(place)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df``, written to the checkpoint folder that driver and executors share.
+
+    Where none is set, a temporary one is, in local sessions only.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewater-checkpoint-"))
+    return df.checkpoint()
 
 
 def web_summary(results: DataFrame, score: str = "overall_score") -> DataFrame:

@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import math
 
-from ..sources.tables import LINE_ORDER, METRIC_COLUMNS
+from ..sources.tables import LINE_ORDER, METRIC_COLUMNS, MOST_TILES
 
 EPS = "1e-6"
 GREY = "((r * 9798 + g * 19235 + b * 3735 + 16384) >> 15)"
 
 
-def tiles(side: int = 22, suppliers: int = 1) -> str:
+def tiles(side: int = 27, suppliers: int = 1) -> str:
     """CTEs px (image_id, y, x, b, g, r) and gp (image_id, y, x, v)."""
     order = ", ".join(("l_suppkey", *LINE_ORDER))
     return f"""numbered AS (SELECT *, l_suppkey // {suppliers} AS image_id FROM lineitem),
-    placed AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY {order}) - 1 AS n, count(*) OVER (PARTITION BY image_id) AS whole FROM numbered),
-    px AS (SELECT image_id, CAST(n // {side} AS INTEGER) AS y, CAST(n % {side} AS INTEGER) AS x, CAST(l_partkey % 256 AS INTEGER) AS b, CAST(l_orderkey * 7 % 256 AS INTEGER) AS g,
-      CAST(l_quantity * 5 AS INTEGER) AS r FROM placed WHERE n < {side * side} AND whole >= {side * side}),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY {order}) - 1 AS n FROM numbered),
+    wholes AS (SELECT image_id, count(*) AS whole FROM numbered GROUP BY image_id),
+    shown AS (SELECT image_id, n, l_partkey % 256 AS b, l_orderkey * 7 % 256 AS g, l_quantity * 5 AS r FROM placed UNION ALL
+      SELECT image_id, unnest(range(whole, CAST(ceil(whole / {side * side}.0) AS BIGINT) * {side * side})), 0, 0, 0 FROM wholes),
+    px AS (SELECT image_id * {MOST_TILES} + n // {side * side} AS image_id, CAST(n % {side * side} // {side} AS INTEGER) AS y, CAST(n % {side} AS INTEGER) AS x, CAST(b AS INTEGER) AS b, CAST(g AS INTEGER) AS g, CAST(r AS INTEGER) AS r FROM shown),
     gp AS (SELECT image_id, y, x, {GREY} AS v FROM px)"""
 
 
@@ -168,8 +170,8 @@ STABLE = "CASE WHEN count(*) < 2 THEN 1.0::DOUBLE ELSE 1 - least(0.5 * stddev_po
 KEEP = "coalesce(score, 50.0) >= 40"
 CATEGORY = "CASE WHEN score >= 80 THEN 'Excellent' WHEN score >= 60 THEN 'Good' WHEN score >= 40 THEN 'Fair' WHEN score >= 20 THEN 'Poor' ELSE 'Unusable' END"
 
-HYBRID = """own AS (SELECT doc_id AS path, quality * 60.0::DOUBLE + doc_id % 41 AS t, toxic * 5.0::DOUBLE + doc_id % 5 AS ts FROM documents JOIN labels USING (doc_id)),
-    model AS (SELECT doc_id AS path, least(100.0::DOUBLE, n_chars / 50.0::DOUBLE) AS d, CAST(n_chars % 11 AS DOUBLE) AS ds FROM documents WHERE doc_id % 7 <> 0),
+HYBRID = """own AS (SELECT doc_id AS path, least(100.0::DOUBLE, n_chars / 50.0::DOUBLE) AS t, CAST(n_chars % 11 AS DOUBLE) AS ts FROM documents),
+    model AS (SELECT doc_id AS path, quality * 60.0::DOUBLE + doc_id % 41 AS d, toxic * 5.0::DOUBLE + doc_id % 5 AS ds FROM labels),
     hy AS (SELECT path, t AS traditional_score, d AS dl_score, CASE WHEN d IS NULL THEN t ELSE 0.6 * d + 0.4 * t END AS hybrid_score, CASE WHEN ds IS NULL THEN ts ELSE 0.6 * ds + 0.4 * ts END AS hybrid_severity FROM own LEFT JOIN model USING (path))"""
 
 
@@ -194,7 +196,7 @@ CAST_OUT = f"""round(avg(b), 6) AS blue_channel_mean, round(avg(g), 6) AS green_
     round(sqrt((pow(avg(b) - (avg(b) + avg(g) + avg(r)) / 3, 2) + pow(avg(g) - (avg(b) + avg(g) + avg(r)) / 3, 2) + pow(avg(r) - (avg(b) + avg(g) + avg(r)) / 3, 2)) / 3), 6) AS color_channel_std"""
 GLOBAL_OUT = f"round(stddev_pop(v) / (avg(v) + {EPS}), 6) AS rms_contrast, round((max(v) - min(v)) / (max(v) + min(v) + {EPS}), 6) AS michelson_contrast"
 RANKED = "path, round(overall_score, 6) AS overall_score, round(blue_water_problem_severity, 6) AS blue_water_problem_severity"
-WEBER = f"""WITH {tiles(45, 4)}, patch AS (SELECT image_id, y // 32 AS i, x // 32 AS j, avg(CASE WHEN y % 32 BETWEEN 8 AND 23 AND x % 32 BETWEEN 8 AND 23 THEN v END) AS c,
+WEBER = f"""WITH {tiles(54, 4)}, patch AS (SELECT image_id, y // 32 AS i, x // 32 AS j, avg(CASE WHEN y % 32 BETWEEN 8 AND 23 AND x % 32 BETWEEN 8 AND 23 THEN v END) AS c,
       avg(CASE WHEN NOT (y % 32 BETWEEN 8 AND 23 AND x % 32 BETWEEN 8 AND 23) AND v > 0 THEN v END) AS s FROM gp WHERE y < 32 AND x < 32 GROUP BY ALL)
     SELECT image_id, round(coalesce(avg(CASE WHEN coalesce(s, c) > 1 THEN abs(c - coalesce(s, c)) / coalesce(s, c) END), 0.0), 6) AS weber_contrast FROM patch GROUP BY image_id"""
 ZERO = "coalesce(max(CASE WHEN q.y = p.y + {i} AND q.x = p.x + {j} THEN q.v END), 0) AS n{a}{b}"
@@ -214,7 +216,7 @@ SUMMARY = """SELECT split_part(path, '/', 1) AS survey, count(*) AS total_images
       round(avg(overall_score), 6) AS average_overall_score, round(avg(feature_usefulness_score), 6) AS average_feature_usefulness, round(avg(marine_science_value), 6) AS average_marine_value, round(avg(blue_water_problem_severity), 6) AS average_blue_water_severity FROM scored GROUP BY 1"""
 
 
-def edge_share(name: str, side: int = 22) -> str:
+def edge_share(name: str, side: int = 27) -> str:
     return f"SELECT image_id, count({name}edges.y) / {side * side}.0::DOUBLE AS d FROM (SELECT DISTINCT image_id FROM px) t LEFT JOIN {name}edges USING (image_id) GROUP BY image_id"
 
 
@@ -232,22 +234,22 @@ SQL: dict[str, str] = {
     "channel_entropy": f"WITH {tiles()}, {histogram({'b': 'b', 'g': 'g', 'r': 'r'})} SELECT image_id, round({ENTROPY} / 3, 6) AS entropy_color FROM hist GROUP BY image_id",
     "hue_diversity": f"WITH {tiles()}, {HUE}, {histogram({'h': 'h'}, 'hued')} SELECT image_id, round({ENTROPY}, 6) AS hue_diversity FROM hist GROUP BY image_id",
     "local_contrast": "WITH " + ", ".join([
-        tiles(45, 4), *[around(f"box{n}", "gp", BOX(n), 45, columns="avg(q.v) AS m, avg(q.v * q.v) AS s") for n in (15, 9)],
+        tiles(54, 4), *[around(f"box{n}", "gp", BOX(n), 54, columns="avg(q.v) AS m, avg(q.v * q.v) AS s") for n in (15, 9)],
         *[f"std{n} AS (SELECT image_id, avg(sqrt(greatest(s - m * m, 0))) AS v FROM box{n} GROUP BY image_id)" for n in (15, 9)],
     ]) + " SELECT image_id, round(a.v, 6) AS local_contrast, round(b.v, 6) AS texture_complexity FROM std15 a JOIN std9 b USING (image_id)",
-    "sharpness": f"WITH {tiles()}, {around('lap', 'gp', LAPLACE, 22)}, {gradient('gp', 22, 'mirror')}, l AS (SELECT image_id, var_pop(v) AS v FROM lap GROUP BY image_id), s AS (SELECT image_id, avg(sqrt(dx * dx + dy * dy)) AS v FROM sob GROUP BY image_id) SELECT image_id, round(l.v, 6) AS sharpness_laplacian, round(s.v, 6) AS sharpness_gradient FROM l JOIN s USING (image_id)",
-    "harris_corner_density": f"""WITH {tiles()}, {gradient('gp', 22, 'mirror')}, prod AS (SELECT image_id, y, x, dx * dx AS a, dx * dy AS b, dy * dy AS d FROM sob),
-      {around('box', 'prod', [(0, 0, 1.0), (0, -1, 1.0), (-1, 0, 1.0), (-1, -1, 1.0)], 22, columns='sum(q.a) AS a, sum(q.b) AS b, sum(q.d) AS d')},
+    "sharpness": f"WITH {tiles()}, {around('lap', 'gp', LAPLACE, 27)}, {gradient('gp', 27, 'mirror')}, l AS (SELECT image_id, var_pop(v) AS v FROM lap GROUP BY image_id), s AS (SELECT image_id, avg(sqrt(dx * dx + dy * dy)) AS v FROM sob GROUP BY image_id) SELECT image_id, round(l.v, 6) AS sharpness_laplacian, round(s.v, 6) AS sharpness_gradient FROM l JOIN s USING (image_id)",
+    "harris_corner_density": f"""WITH {tiles()}, {gradient('gp', 27, 'mirror')}, prod AS (SELECT image_id, y, x, dx * dx AS a, dx * dy AS b, dy * dy AS d FROM sob),
+      {around('box', 'prod', [(0, 0, 1.0), (0, -1, 1.0), (-1, 0, 1.0), (-1, -1, 1.0)], 27, columns='sum(q.a) AS a, sum(q.b) AS b, sum(q.d) AS d')},
       resp AS (SELECT image_id, a * d - b * b - 0.04::DOUBLE * (a + d) * (a + d) AS v FROM box), top AS (SELECT *, max(v) OVER (PARTITION BY image_id) AS m FROM resp)
       SELECT image_id, round(avg(CASE WHEN v > 0.01::DOUBLE * m THEN 1.0 ELSE 0.0 END), 6) AS corner_density FROM top GROUP BY image_id""",
-    "canny_edge_density": f"WITH RECURSIVE {tiles()}, {canny('gp', 22, 'c')} SELECT image_id, round(d, 6) AS edge_density FROM ({edge_share('c')})",
-    "multi_scale_edge_density": f"WITH RECURSIVE {tiles()}, " + ", ".join(f"{blurred(f'g{i}', s, 22)}, {canny(f'g{i}s', 22, f'e{i}')}" for i, s in enumerate((1.0, 2.0, 4.0))) + " SELECT image_id, round(avg(d), 6) AS multi_scale_edge_density FROM (" + " UNION ALL ".join(edge_share(f"e{i}") for i in range(3)) + ") GROUP BY image_id",
+    "canny_edge_density": f"WITH RECURSIVE {tiles()}, {canny('gp', 27, 'c')} SELECT image_id, round(d, 6) AS edge_density FROM ({edge_share('c')})",
+    "multi_scale_edge_density": f"WITH RECURSIVE {tiles()}, " + ", ".join(f"{blurred(f'g{i}', s, 27)}, {canny(f'g{i}s', 27, f'e{i}')}" for i, s in enumerate((1.0, 2.0, 4.0))) + " SELECT image_id, round(avg(d), 6) AS multi_scale_edge_density FROM (" + " UNION ALL ".join(edge_share(f"e{i}") for i in range(3)) + ") GROUP BY image_id",
     "fast_keypoints": f"""WITH {tiles()}, ring AS (SELECT p.image_id, p.y, p.x, list(q.v - p.v ORDER BY k.i) AS d FROM gp p, (VALUES {', '.join(f'({i}, {a}, {b})' for i, (a, b) in enumerate(RING))}) AS k(i, dy, dx), gp q
-        WHERE q.image_id = p.image_id AND q.y = p.y + k.dy AND q.x = p.x + k.dx AND p.y BETWEEN 3 AND 18 AND p.x BETWEEN 3 AND 18 GROUP BY p.image_id, p.y, p.x),
+        WHERE q.image_id = p.image_id AND q.y = p.y + k.dy AND q.x = p.x + k.dx AND p.y BETWEEN 3 AND 23 AND p.x BETWEEN 3 AND 23 GROUP BY p.image_id, p.y, p.x),
       best AS (SELECT image_id, y, x, list_max(list_transform(range(16), lambda s: greatest(list_min(list_transform(range(9), lambda i: d[(s + i) % 16 + 1])), list_min(list_transform(range(9), lambda i: -d[(s + i) % 16 + 1]))))) AS s FROM ring),
       sc AS (SELECT image_id, y, x, CASE WHEN s > 20 THEN s - 1 ELSE 0 END AS s FROM best),
       corner AS (SELECT a.image_id, a.y, a.x FROM sc a WHERE a.s > 0 AND NOT EXISTS (SELECT 1 FROM sc b WHERE b.image_id = a.image_id AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 AND (b.y <> a.y OR b.x <> a.x) AND b.s >= a.s))
-      SELECT image_id, round(count(corner.y) / 484.0::DOUBLE * 1000, 6) AS keypoint_density FROM (SELECT DISTINCT image_id FROM px) t LEFT JOIN corner USING (image_id) GROUP BY image_id""",
+      SELECT image_id, round(count(corner.y) / 729.0::DOUBLE * 1000, 6) AS keypoint_density FROM (SELECT DISTINCT image_id FROM px) t LEFT JOIN corner USING (image_id) GROUP BY image_id""",
     "relational_kernels": f"""WITH {tiles()}, {LAB}, {HUE}, g0 AS (SELECT image_id, {GLOBAL_OUT} FROM gp GROUP BY image_id), l0 AS (SELECT image_id, {LAB_OUT} FROM chroma GROUP BY image_id),
       vals AS (SELECT image_id, 'b' AS channel, b AS v FROM px UNION ALL SELECT image_id, 'g', g FROM px UNION ALL SELECT image_id, 'r', r FROM px UNION ALL SELECT image_id, 'v', v FROM gp UNION ALL SELECT image_id, 'h', h FROM hued),
       counted AS (SELECT image_id, channel, v, count(*) AS n FROM vals GROUP BY ALL), hist AS (SELECT *, n / (sum(n) OVER (PARTITION BY image_id, channel) + {EPS}) AS p FROM counted),
@@ -257,8 +259,8 @@ SQL: dict[str, str] = {
       f AS (SELECT image_id, u, w, sqrt(pow(sum(v * cos(2 * pi() * (u * y + w * x) / 8)), 2) + pow(sum(v * sin(2 * pi() * (u * y + w * x) / 8)), 2)) AS m FROM gp, uv GROUP BY image_id, u, w),
       bl AS (SELECT image_id, tanh(sum(CASE WHEN u = 0 AND w = 0 THEN m END) / (sum(CASE WHEN u <> 0 OR w <> 0 THEN m END) + {EPS}) / 100) AS v FROM f GROUP BY image_id), {around('lap', 'gp', LAPLACE, 8)},
       lv AS (SELECT image_id, var_pop(v) AS v FROM lap GROUP BY image_id) SELECT image_id, round(bl.v, 6) AS blur_estimate, round(lv.v, 6) AS sharpness_laplacian FROM bl JOIN lv USING (image_id)""",
-    "uiqm_parts": f"WITH {tiles()}, {gradient('gp', 22, 'mirror')}, mag AS (SELECT image_id, y, x, sqrt(dx * dx + dy * dy) AS v FROM sob), " + ", ".join(
-        f"c{c} AS (SELECT image_id, y, x, {c} AS v FROM px), {around(f'log{c}', f'c{c}', LOG, 22, 'symmetric', 'abs(sum(k.w * q.v)) AS v')}, eme{c} AS ({eme(f'log{c}')})" for c in "bgr"
+    "uiqm_parts": f"WITH {tiles()}, {gradient('gp', 27, 'mirror')}, mag AS (SELECT image_id, y, x, sqrt(dx * dx + dy * dy) AS v FROM sob), " + ", ".join(
+        f"c{c} AS (SELECT image_id, y, x, {c} AS v FROM px), {around(f'log{c}', f'c{c}', LOG, 27, 'symmetric', 'abs(sum(k.w * q.v)) AS v')}, eme{c} AS ({eme(f'log{c}')})" for c in "bgr"
     ) + f", em AS ({eme('mag')}) SELECT image_id, round(em.eme, 6) AS uism, round((emeb.eme + emeg.eme + emer.eme) / 3, 6) AS uiconm FROM em JOIN emeb USING (image_id) JOIN emeg USING (image_id) JOIN emer USING (image_id)",
     "custom_metric_udf": f"WITH {tiles()} SELECT image_id, round(CAST(sum(r) AS DOUBLE) / CAST(sum(b + g + r) AS DOUBLE), 6) AS red_share FROM px GROUP BY image_id",
     "visibility_turbidity": f"WITH {SCORED} SELECT path, {rounded('visibility_score', 'turbidity_score')} FROM ok",
@@ -322,9 +324,11 @@ SQL: dict[str, str] = {
     "select_first": "SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 20",
     "select_last": "SELECT doc_id, source FROM documents ORDER BY doc_id DESC LIMIT 20",
     "select_random": "SELECT doc_id, source FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 20",
-    "label_join": "SELECT doc_id, quality, toxic FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)",
-    "label_missing": "SELECT doc_id, quality, toxic FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)",
-    "training_labels": f"WITH {SCORED} SELECT split_part(path, '/', 2) AS filename, CAST(round(CAST(round(overall_score, 9) AS DECIMAL(20, 9)), 2) AS DOUBLE) AS quality_score, CAST(round(CAST(round(blue_water_problem_severity, 9) AS DECIMAL(20, 9)), 2) AS DOUBLE) AS blue_water_severity, CAST(round(CAST(round(feature_usefulness_score, 9) AS DECIMAL(20, 9)), 2) AS DOUBLE) AS feature_usefulness FROM ok",
+    "label_join": "SELECT doc_id, lang, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
+    "label_missing": "SELECT doc_id, lang, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
+    "training_labels": f"WITH {SCORED} SELECT split_part(path, '/', 2) AS filename, round(overall_score, 6) AS quality_score, round(blue_water_problem_severity, 6) AS blue_water_severity, round(feature_usefulness_score, 6) AS feature_usefulness FROM ok",
+    "hybrid_csv": f"""WITH {HYBRID} SELECT path AS filename, CAST(hybrid_score AS VARCHAR) IS NOT NULL AS scored, CASE WHEN hybrid_score >= 80 THEN 'Excellent' WHEN hybrid_score >= 60 THEN 'Good' WHEN hybrid_score >= 40 THEN 'Fair' ELSE 'Poor' END AS usability_category,
+      round(traditional_score, 6) AS traditional_score, round(dl_score, 6) AS deep_learning_score, round(hybrid_score, 6) AS hybrid_score, round(traditional_score / 2, 6) AS traditional_feature_usefulness, round(ts, 6) AS traditional_blue_water_severity FROM hy JOIN own USING (path)""",
     "csv_projection": f"WITH {SCORED} SELECT split_part(path, '/', 2) AS filename, CASE WHEN error IS NULL THEN printf('%.4f', CAST(round(CAST(round(overall_score, 9) AS DECIMAL(20, 9)), 4) AS DOUBLE)) ELSE 'ERROR' END AS overall_score, usability_category, round(feature_usefulness_score, 6) AS feature_usefulness, {rounded('marine_science_value', 'blue_water_problem_severity', 'blue_water_severity', 'turbidity_score', 'visibility_score', 'rms_contrast', 'sharpness_gradient', 'edge_density', 'uciqe_score', 'uiqm_score')} FROM scored",
     "web_csv": f"WITH {SCORED} SELECT split_part(path, '/', 2) AS filename, printf('%.2f', CAST(round(CAST(round(overall_score, 9) AS DECIMAL(20, 9)), 2) AS DOUBLE)) AS overall_score, usability_category, printf('%.2f', CAST(round(CAST(round(feature_usefulness_score, 9) AS DECIMAL(20, 9)), 2) AS DOUBLE)) AS feature_usefulness, printf('%.2f', CAST(round(CAST(round(marine_science_value, 9) AS DECIMAL(20, 9)), 2) AS DOUBLE)) AS marine_science_value, printf('%.2f', CAST(round(CAST(round(blue_water_problem_severity, 9) AS DECIMAL(20, 9)), 2) AS DOUBLE)) AS blue_water_severity, printf('%.3f', CAST(round(CAST(round(visibility_score, 9) AS DECIMAL(20, 9)), 3) AS DOUBLE)) AS visibility_score FROM ok",
     "panel_histogram": f"WITH {tiles()}, {histogram({'b': 'b', 'g': 'g', 'r': 'r'})} SELECT image_id, channel, v, n, round(n / max(n) OVER (PARTITION BY image_id, channel), 6) AS height FROM hist",

@@ -20,7 +20,7 @@ def r6(*names: str) -> list:
     return [F.round(n, 6).alias(n) for n in names]
 
 
-def tile_images(spark: SparkSession, sf_dir: str, side: int = 22, suppliers: int = 1) -> DataFrame:
+def tile_images(spark: SparkSession, sf_dir: str, side: int = 27, suppliers: int = 1) -> DataFrame:
     return images.from_pixels(tables.tiles(spark, sf_dir, side, suppliers))
 
 
@@ -31,7 +31,7 @@ def grey_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.from_arrays(rows, "vec_id", "v", "v", "v")
 
 
-def kernel(*names: str, side: int = 22, suppliers: int = 1) -> Query:
+def kernel(*names: str, side: int = 27, suppliers: int = 1) -> Query:
     """Metrics by kernels over tiles."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def kernel(*names: str, side: int = 22, suppliers: int = 1) -> Query:
     return run
 
 
-def on_pixels(fn: Callable[[DataFrame], DataFrame], *keys: str, side: int = 22, suppliers: int = 1) -> Query:
+def on_pixels(fn: Callable[[DataFrame], DataFrame], *keys: str, side: int = 27, suppliers: int = 1) -> Query:
     """An aggregate over pixel rows, its numbers rounded."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,10 +179,10 @@ def temporal_query(fn: Callable[[DataFrame], DataFrame], *names: str) -> Query:
 
 
 def model_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Documents as images: their labels give one method's score, their lengths the model's."""
+    """Documents as images: their lengths give one method's score, their labels, which some have, the model's."""
     docs, marks = tables.table(spark, sf_dir, "documents"), tables.table(spark, sf_dir, "labels")
-    own = docs.join(marks, "doc_id").select(F.col("doc_id").alias("path"), (F.col("quality") * 60.0 + F.col("doc_id") % 41).alias("overall_score"), (F.col("toxic") * 5.0 + F.col("doc_id") % 5).alias("blue_water_problem_severity"))
-    model = docs.where(F.col("doc_id") % 7 != 0).select(F.col("doc_id").alias("path"), F.least(F.lit(100.0), F.col("n_chars") / 50.0).alias("dl_score"), (F.col("n_chars") % 11).cast("double").alias("dl_severity"))
+    own = docs.select(F.col("doc_id").alias("path"), F.least(F.lit(100.0), F.col("n_chars") / 50.0).alias("overall_score"), (F.col("n_chars") % 11).cast("double").alias("blue_water_problem_severity"))
+    model = marks.select(F.col("doc_id").alias("path"), (F.col("quality") * 60.0 + F.col("doc_id") % 41).alias("dl_score"), (F.col("toxic") * 5.0 + F.col("doc_id") % 5).alias("dl_severity"))
     return own, model
 
 
@@ -212,14 +212,23 @@ def frame_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_join(which: Callable[..., DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        files = tables.table(spark, sf_dir, "documents").where("doc_id % 3 != 0").select("doc_id")
-        return which(tables.table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), files, "doc_id")
+        files = tables.table(spark, sf_dir, "labels").select("doc_id")
+        return which(tables.table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), files, "doc_id")
 
     return run
 
 
 def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.training_labels(scored(spark, sf_dir))
+    found = labels.training_labels(scored(spark, sf_dir))
+    return found.select("filename", *r6("quality_score", "blue_water_severity", "feature_usefulness"))
+
+
+def hybrid_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detailed hybrid file: half of an image's own score stands for its feature usefulness."""
+    rows = hybrid.blended(*model_scores(spark, sf_dir)).withColumns({"feature_usefulness_score": F.col("traditional_score") / 2, "error": F.lit(None).cast("string")})
+    found = sinks.hybrid_csv_rows(rows.withColumn("path", F.col("path").cast("string")), detailed=True)
+    numbers = [c for c in found.columns if c not in ("filename", "overall_score", "usability_category")]
+    return found.select(F.col("filename").cast("long").alias("filename"), (F.col("overall_score") != "ERROR").alias("scored"), "usability_category", *r6(*numbers))
 
 
 def csv_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,14 +275,14 @@ QUERIES: dict[str, Query] = {
     "global_contrast": on_pixels(pixels.global_contrast),
     "lab_uciqe": on_pixels(pixels.lab_metrics),
     "uicm": on_pixels(pixels.uicm),
-    "weber_contrast": on_pixels(pixels.weber, side=45, suppliers=4),
-    "weber_kernel": kernel("weber_contrast", side=45, suppliers=4),
+    "weber_contrast": on_pixels(pixels.weber, side=54, suppliers=4),
+    "weber_kernel": kernel("weber_contrast", side=54, suppliers=4),
     "fast_metrics": on_pixels(pixels.fast_metrics),
     "histogram_distribution": on_pixels(pixels.distribution),
     "gray_entropy": gray_entropy,
     "channel_entropy": channel_entropy,
     "hue_diversity": hue_diversity,
-    "local_contrast": kernel("local_contrast", "texture_complexity", side=45, suppliers=4),
+    "local_contrast": kernel("local_contrast", "texture_complexity", side=54, suppliers=4),
     "sharpness": kernel("sharpness_laplacian", "sharpness_gradient"),
     "harris_corner_density": kernel("corner_density"),
     "canny_edge_density": kernel("edge_density"),
@@ -322,6 +331,7 @@ QUERIES: dict[str, Query] = {
     "label_join": label_join(labels.labelled),
     "label_missing": label_join(labels.missing),
     "training_labels": training_labels,
+    "hybrid_csv": hybrid_csv,
     "csv_projection": csv_projection,
     "web_csv": web_csv,
     "panel_histogram": panel_histogram,

@@ -33,8 +33,17 @@ def model_csv_rows(results: DataFrame) -> DataFrame:
 
 
 def hybrid_csv_rows(rows: DataFrame, detailed: bool = False) -> DataFrame:
-    more = ["traditional_severity", "dl_severity"] if detailed else []
-    return rows.select(_name().alias("filename"), F.when(F.col("error").isNull(), F.col("hybrid_score").cast("string")).otherwise("ERROR").alias("overall_score"), F.col("hybrid_category").alias("usability_category"), "traditional_score", "dl_score", "hybrid_score", *more)
+    """Name, score, category and the scores of the three methods; detailed: the own feature usefulness and severity as well.
+
+    A failed image has its name, ERROR and nothing else.
+    """
+    ok = F.col("error").isNull()
+    value = lambda c, name: F.when(ok, F.col(c)).alias(name)
+    more = [value("feature_usefulness_score", "traditional_feature_usefulness"), value("traditional_severity", "traditional_blue_water_severity")] if detailed else []
+    return rows.select(
+        _name().alias("filename"), F.when(ok, F.col("hybrid_score").cast("string")).otherwise("ERROR").alias("overall_score"), value("hybrid_category", "usability_category"),
+        value("traditional_score", "traditional_score"), value("dl_score", "deep_learning_score"), value("hybrid_score", "hybrid_score"), *more,
+    )
 
 
 def web_csv_rows(assessed: DataFrame) -> DataFrame:
@@ -90,9 +99,16 @@ def video_report(summary: DataFrame) -> DataFrame:
     ).alias("report"))
 
 
-def filter_report(summary: DataFrame) -> DataFrame:
-    """(video_id, json): the filter's summary; the frames' records stay a table of their own."""
-    return summary.select("video_id", F.to_json(F.struct(*[c for c in summary.columns])).alias("json"))
+def filter_report(summary: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """(video_id, json): the filter's summary and, where the judged frames are given, a record of each in order.
+
+    A video's report is one document, so its frames' records meet in one row.
+    """
+    if frames is None:
+        return summary.select("video_id", F.to_json(F.struct(*summary.columns)).alias("json"))
+    own = [c for c in frames.columns if c != "video_id"]
+    records = frames.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct(*own))).alias("frames"))
+    return summary.join(records, "video_id", "left").select("video_id", F.to_json(F.struct(*summary.columns, "frames")).alias("json"))
 
 
 def pending(images: DataFrame, done: DataFrame, on: str = "path") -> DataFrame:

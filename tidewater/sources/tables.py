@@ -12,18 +12,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tiles(spark: SparkSession, sf_dir: str, side: int = 22, suppliers: int = 1) -> DataFrame:
-    """Pixel rows (image_id, y, x, b, g, r): each group of suppliers is a tile of its first line items.
+#: Tiles that one group of suppliers may fill; it keeps the tiles' numbers apart.
+MOST_TILES = 1_000_000
 
-    The tile is the unit of the window; one has side * side pixels of at most some hundred line
-    items a supplier.  Incomplete tiles are left out.
+
+def tiles(spark: SparkSession, sf_dir: str, side: int = 27, suppliers: int = 1) -> DataFrame:
+    """Pixel rows (image_id, y, x, b, g, r): the line items of each group of suppliers fill tiles of side * side pixels.
+
+    Every line item is a pixel; the rest of a group's last tile is black.
     """
-    rows = table(spark, sf_dir, "lineitem").withColumn("image_id", F.floor(F.col("l_suppkey") / suppliers).cast("long"))
-    w = Window.partitionBy("image_id")
-    rows = rows.withColumns({"n": F.row_number().over(w.orderBy("l_suppkey", *LINE_ORDER)) - 1, "all": F.count("*").over(w)}).where((F.col("n") < side * side) & (F.col("all") >= side * side))
-    return rows.select(
-        "image_id", F.floor(F.col("n") / side).cast("int").alias("y"), (F.col("n") % side).cast("int").alias("x"),
-        (F.col("l_partkey") % 256).cast("int").alias("b"), (F.col("l_orderkey") * 7 % 256).cast("int").alias("g"), (F.col("l_quantity") * 5).cast("int").alias("r"),
+    size = side * side
+    rows = table(spark, sf_dir, "lineitem").withColumn("group", F.floor(F.col("l_suppkey") / suppliers).cast("long"))
+    placed = rows.withColumn("n", (F.row_number().over(Window.partitionBy("group").orderBy("l_suppkey", *LINE_ORDER)) - 1).cast("long"))
+    shown = placed.select("group", "n", (F.col("l_partkey") % 256).cast("int").alias("b"), (F.col("l_orderkey") * 7 % 256).cast("int").alias("g"), (F.col("l_quantity") * 5).cast("int").alias("r"))
+    counts = rows.groupBy("group").agg(F.count("*").alias("whole")).where(F.col("whole") % size != 0)
+    last = (F.floor(F.col("whole") / size) + 1) * size - 1
+    black = counts.select("group", F.explode(F.sequence("whole", last)).alias("n"), *[F.lit(0).alias(c) for c in "bgr"])
+    return shown.unionByName(black).select(
+        (F.col("group") * MOST_TILES + F.floor(F.col("n") / size)).alias("image_id"), F.floor(F.col("n") % size / side).cast("int").alias("y"), (F.col("n") % side).cast("int").alias("x"), "b", "g", "r",
     )
 
 
