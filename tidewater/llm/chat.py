@@ -26,7 +26,7 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
     segment is the turn in the template, start its place in the text of the whole
     conversation (code points), seq its number from 0.  For a turn of the role
-    ``target`` loss_start and loss_end bound its text in the conversation: that row stands for
+    ``target`` loss_start and loss_end bound its text in the conversation: ``examples`` expands that row to
     the training example of the conversation's text up to loss_end and the end mark, in
     which only this reply is trainable.  Contexts are kept once and shared by
     the examples, so that rows and bytes grow with the turns and not with their square.
@@ -59,13 +59,18 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
 
 def read_turns(formatted: DataFrame) -> DataFrame:
-    """(conv_id, seq, role, text, loss, n): what the template and the loss mask say, unescaped."""
+    """(conv_id, seq, role, text, loss, n): what the template and the masks of the ``examples`` say, unescaped.
+
+    The examples are expanded from the turns and joined back to the segment that each of them trains on.
+    """
+    mask = examples(formatted).select(F.col("conv_id").alias("_conv"), "target_seq", F.col("context_end").alias("_from"), F.col("loss_start").alias("_lo"), F.col("loss_end").alias("_hi"))
+    masked = formatted.join(mask, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("seq") == F.col("target_seq")), "left")
     mark = F.instr("segment", TEXT)
     role = F.substring("segment", F.lit(len(TURN) + 1), mark - 1 - len(TURN))
     at = mark + len(TEXT)
     text = F.substring("segment", at, F.length("segment") - len(END) - at + 1)
-    lost = F.substring("segment", (F.col("loss_start") - F.col("start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int"))
-    return formatted.select("conv_id", "seq", unescape(role).alias("role"), unescape(text).alias("text"), unescape(lost).alias("loss"), F.length("segment").cast("long").alias("n"))
+    lost = F.substring("segment", (F.col("_lo") - F.col("_from") + 1).cast("int"), (F.col("_hi") - F.col("_lo")).cast("int"))
+    return masked.select("conv_id", "seq", unescape(role).alias("role"), unescape(text).alias("text"), unescape(lost).alias("loss"), F.length("segment").cast("long").alias("n"))
 
 
 def examples(formatted: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, decontaminate, descent, langid, simhash, substring, suffix_lm, urls, warc
 from .common import save
+from .oracle import SQL as ORACLE_SQL  # noqa: F401
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -85,5 +86,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring": op9_substring,
     "op10_langid": op10_langid,
 }
-
-ORACLE_SQL: dict[str, str] = {}
