@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from .common import LOWER, arrow_rows, as_bytes, forget, save, tidy
 
 #: Longest contexts, in words.
-DEPTH = 4
+DEPTH = 3
 #: Occurrences in the training texts that make a run of words a context.
-LEAST_CONTEXT = 8
+LEAST_CONTEXT = 16
 #: Occurrences of a context with a symbol behind it that make the symbol one of the context's own.
-LEAST_SYMBOL = 2
+LEAST_SYMBOL = 4
 #: Natural-log divergence of a context's next symbols from its suffix's below which it is pruned.
 DIVERGENCE = 0.05
 #: Weight, in tokens, of the suffix's distribution in a context's own.
@@ -34,9 +34,9 @@ END = b""
 #: Distinct keys that a task adds up before it hands them on.
 HELD = 500_000
 #: Bits of a sieve (2 to this power). It only spares the joins keys that no table has; a fuller one lets more of them through.
-SIEVE = 24
-#: The commonest words and runs of words that every task looks up for itself; the others are joined.
-CACHED = 200_000
+SIEVE = 26
+#: The commonest words, and runs of words, that every task looks up for itself; the others are joined.
+CACHED_WORDS, CACHED_RUNS = 200_000, 1_000_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -239,7 +239,7 @@ def _values(texts: DataFrame, tree: Tree, depth: int, divergence: float) -> Data
     return save(every.groupBy("key").agg(F.sum("value").alias("value"), F.max("n").alias("n")), "values")
 
 
-def commonest(df: DataFrame, of: str, most: int = CACHED) -> DataFrame:
+def commonest(df: DataFrame, of: str, most: int) -> DataFrame:
     """The rows of the largest counts, ``most`` of them or fewer; all of one magnitude or none."""
     size = F.floor(F.log2(of) * 4)
     held, least = 0, None
@@ -262,11 +262,11 @@ class Cache:
 
 
 def cache_of(tree: Tree) -> Cache:
-    words = commonest(tree.counts, "c").toArrow()
+    words = commonest(tree.counts, "c", CACHED_WORDS).toArrow()
     found = dict(zip(words["word"].to_pylist(), words["c"].to_pylist(), strict=True))
     if tree.values is None:
         return Cache(found, np.zeros(0, np.int64), np.zeros(0), np.zeros(1 << (SIEVE - 6), np.uint64))
-    top = commonest(tree.values, "n").select("key", "value").toArrow().sort_by("key")
+    top = commonest(tree.values, "n", CACHED_RUNS).select("key", "value").toArrow().sort_by("key")
     return Cache(found, top["key"].to_numpy(), top["value"].to_numpy(), sieve(tree.values.select("key")))
 
 
