@@ -41,7 +41,8 @@ def brute(train, docs, depth):
 
 @pytest.mark.parametrize("cached", [0, 200_000])
 def test_tree_equals_brute_force(spark, monkeypatch, cached):
-    monkeypatch.setattr(lm.commonest, "__defaults__", (cached,))
+    monkeypatch.setattr(lm, "CACHED_WORDS", cached)
+    monkeypatch.setattr(lm, "CACHED_RUNS", cached)
     rng = random.Random(3)
     train = []
     for _ in range(150):

@@ -6,19 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_rows, as_bytes, fresh, linked, save, tidy
+from .common import arrow_rows, as_bytes, fresh, linked, save, tidy, word_bounds, word_hashes
 
 SEED = 42
 #: Paragraphs of fewer words are compared as parts of longer passages only.
 LEAST_WORDS = 20
 #: Words of a gram, the unit of exact passages.
 GRAM = 12
-#: Words whose hashes are made at once.
-SLICE = 1 << 16
 
 
 def bands_for(threshold: float, recall: float, most: int = 40) -> tuple[int, int]:
@@ -30,23 +27,6 @@ def bands_for(threshold: float, recall: float, most: int = 40) -> tuple[int, int
     return most, 1
 
 
-def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Byte offsets at which the words of a text (separated by ASCII white space) begin and end."""
-    code = np.frombuffer(raw, np.uint8)
-    inside = ~((code == 32) | ((code >= 9) & (code <= 13)))
-    edge = np.diff(np.r_[False, inside, False].astype(np.int8))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-
-
-def word_hashes(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the words, A-Z lower-cased."""
-    low, out = raw.translate(LOWER), np.zeros(len(start), np.uint64)
-    for a in range(0, len(start), SLICE):
-        b = min(a + SLICE, len(start))
-        out[a:b] = np.fromiter(map(xxhash.xxh3_64_intdigest, low[start[a] : end[b - 1]].split()), np.uint64, b - a)
-    return out
-
-
 def gram_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of ``size`` words; run i begins at word i."""
     n = len(hashes) - size + 1

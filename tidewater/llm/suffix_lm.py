@@ -13,14 +13,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_rows, as_bytes, forget, save, tidy
+from .common import LOWER, arrow_rows, as_bytes, forget, save, tidy, word_bounds, word_hashes
 
 #: Longest contexts, in words.
-DEPTH = 3
+DEPTH = 4
 #: Occurrences in the training texts that make a run of words a context.
-LEAST_CONTEXT = 16
+LEAST_CONTEXT = 8
 #: Occurrences of a context with a symbol behind it that make the symbol one of the context's own.
-LEAST_SYMBOL = 4
+LEAST_SYMBOL = 2
 #: Natural-log divergence of a context's next symbols from its suffix's below which it is pruned.
 DIVERGENCE = 0.05
 #: Weight, in tokens, of the suffix's distribution in a context's own.
@@ -80,13 +80,16 @@ def hashes_of(words: list[bytes]) -> np.ndarray:
 END_HASH = np.uint64(xxhash.xxh3_64_intdigest(END))
 
 
-def join_texts(texts: list[bytes | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
-    """Words, joined hashes with the ends, starts and, for each token, the number of tokens before it in its text."""
-    words = [words_of(t) for t in texts]
-    x = hashes_of([w for ws in words for w in [*ws, END]])
-    length = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-    start = np.cumsum(length) - length
-    return words, x, start, np.arange(len(x)) - np.repeat(start, length)
+def join_texts(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Joined hashes of the texts' words with their ends, starts and, for each token, the number of tokens before it in its text."""
+    texts = [t or b"" for t in texts]
+    raw = b"\n".join(texts)
+    lo, hi = word_bounds(raw)
+    of = np.searchsorted(np.cumsum([0, *(len(t) + 1 for t in texts)]), lo, side="right") - 1
+    n = np.bincount(of, minlength=len(texts))
+    x = np.insert(word_hashes(raw, lo, hi), np.cumsum(n), END_HASH)
+    start = np.cumsum(n + 1) - (n + 1)
+    return x, start, np.arange(len(x)) - np.repeat(start, n + 1)
 
 
 def runs_of(x: np.ndarray, most: int) -> Iterator[np.ndarray]:
@@ -125,7 +128,7 @@ def count_symbols(texts: DataFrame, shipped, depth: int) -> DataFrame:  # noqa:
             return pa.RecordBatch.from_arrays([pa.array(context[at].view(np.int64)), pa.array(symbol[at].view(np.int64)), pa.array(n, pa.int64())], names=["context", "symbol", "n"])
 
         for batch in batches:
-            _, x, _, first = join_texts(as_bytes(batch.column(0)))
+            x, _, first = join_texts(as_bytes(batch.column(0)))
             for run in runs_of(x, depth):
                 pass
             before = np.r_[np.zeros(min(1, len(x)), np.uint64), run[:-1]]
@@ -171,13 +174,14 @@ def word_keys(counts: DataFrame) -> DataFrame:
 class Tree:
     """The suffix tree as tables.
 
-    counts: (word, c) of all words.  values: (key, value, n), a row for each run of words that
+    counts: (word, c) of all words, words: the same by the words' hashes (key, c, last).  values: (key, value, n), a row for each run of words that
     matters; the score of a text is its base and the values of all its runs.  A retained context's value is
     the logarithm of the weight of its suffix's distribution.  A run of a retained context and one of
     its own symbols has the logarithm of the symbol's probability less what the suffix gives it.
     """
 
     counts: DataFrame
+    words: DataFrame
     values: DataFrame | None
     total: int
     distinct: int
@@ -191,7 +195,7 @@ def learn(texts: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENCE)
     """The suffix tree of all training texts (text)."""
     counts = save(count_words(texts), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    tree = Tree(counts, None, total, distinct)
+    tree = Tree(counts, save(word_keys(counts), "word-keys"), None, total, distinct)
     if total:
         with tidy() as keep:
             tree.values = keep(_values(texts, tree, depth, divergence))
@@ -200,7 +204,7 @@ def learn(texts: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENCE)
 
 def _values(texts: DataFrame, tree: Tree, depth: int, divergence: float) -> DataFrame:
     spark = texts.sparkSession
-    words = save(word_keys(tree.counts), "word-keys")
+    words = tree.words
     below = words.select("key", ((F.col("c") + ADDED) / F.lit(tree.whole)).alias("p"))
     states = words.where((F.col("c") >= LEAST_CONTEXT) & ~F.col("last")).select(F.col("key").alias("context"), F.col("c").alias("total"), F.lit(0).cast("long").alias("suffix"))
     levels = []
@@ -251,64 +255,86 @@ def commonest(df: DataFrame, of: str, most: int) -> DataFrame:
     return df.where(size >= least if least is not None else F.lit(False))
 
 
+class Held:
+    """Values by key, found through the keys' leading bits."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        keys = keys.view(np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.values = np.r_[keys[order], np.uint64(0)], np.r_[values[order], values.dtype.type(0)]
+        self.shift = np.uint64(64 - max(1, len(keys).bit_length()))
+        self.at = np.searchsorted(keys[order] >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether keys are held, and the values (0 of others)."""
+        lead = (keys >> self.shift).astype(np.int64)
+        at, end = self.at[lead], self.at[lead + 1]
+        here = (at < end) & (self.keys[at] == keys)
+        left = np.flatnonzero(~here & (at + 1 < end))
+        while len(left):
+            at[left] += 1
+            same = self.keys[at[left]] == keys[left]
+            here[left[same]] = True
+            left = left[~same]
+            left = left[at[left] + 1 < end[left]]
+        return here, np.where(here, self.values[at], 0)
+
+
 @dataclass
 class Cache:
-    """What every task looks up for itself: counts of the commonest words, and values of the commonest runs in order."""
+    """What every task looks up for itself: counts of the commonest words, values of the commonest runs, and a sieve of all runs."""
 
-    words: dict[bytes, int]
-    keys: np.ndarray
-    value: np.ndarray
+    words: Held
+    runs: Held
     bits: np.ndarray
 
 
 def cache_of(tree: Tree) -> Cache:
-    words = commonest(tree.counts, "c", CACHED_WORDS).toArrow()
-    found = dict(zip(words["word"].to_pylist(), words["c"].to_pylist(), strict=True))
+    def held(df: DataFrame, of: str) -> Held:
+        table = df.select("key", of).toArrow()
+        return Held(table["key"].to_numpy(), table[of].to_numpy())
+
+    words = held(commonest(tree.words, "c", CACHED_WORDS), "c")
     if tree.values is None:
-        return Cache(found, np.zeros(0, np.int64), np.zeros(0), np.zeros(1 << (SIEVE - 6), np.uint64))
-    top = commonest(tree.values, "n", CACHED_RUNS).select("key", "value").toArrow().sort_by("key")
-    return Cache(found, top["key"].to_numpy(), top["value"].to_numpy(), sieve(tree.values.select("key")))
+        return Cache(words, Held(np.zeros(0, np.int64), np.zeros(0)), np.zeros(1 << (SIEVE - 6), np.uint64))
+    return Cache(words, held(commonest(tree.values, "n", CACHED_RUNS), "value"), sieve(tree.values.select("key")))
 
 
-SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, more double, rare array<struct<word:binary,n:long>>, runs array<long>"
+SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, more double, rare array<long>, runs array<long>"
 
 
 def score_stored(rows: DataFrame, shipped, whole: float, depth: int) -> DataFrame:  # noqa: ANN001
-    """What the cached words and runs of (doc_id, text) add up to; rare words and runs that may have a value are handed on."""
+    """What the cached words and runs of (doc_id, text) add up to; other words, and other runs that may have a value, are handed on."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, done = shipped.value, TaskContext.get().partitionId() << 40
         for batch in batches:
-            words, x, start, first = join_texts(as_bytes(batch.column(1)))
-            c = np.fromiter((cache.words.get(w, 0) for ws in words for w in [*ws, END]), np.int64, len(x))
-            text = np.repeat(np.arange(len(words)), np.diff(np.r_[start, len(x)]))
-            total = lambda weights, of: np.bincount(of, weights=weights, minlength=len(words))
-            base = total(np.where(c > 0, np.log10((c + ADDED) / whole), 0.0), text)
-            more, texts_of, runs = np.zeros(len(words)), [], []
+            n = batch.num_rows
+            x, start, first = join_texts(as_bytes(batch.column(1)))
+            text = np.repeat(np.arange(n), np.diff(np.r_[start, len(x)]))
+            total = lambda weights, of: np.bincount(of, weights=weights, minlength=n)
+            base, known, more, rare, texts_of, runs = np.zeros(n), np.zeros(n, np.int64), np.zeros(n), None, [], []
             for k, run in enumerate(runs_of(x, depth + 1)):
+                if not k:
+                    held, c = cache.words.find(run)
+                    base += total(np.log10((c[held] + ADDED) / whole), text[held])
+                    known += total(None, text[held])
+                    rare = run[~held].view(np.int64), np.searchsorted(text[~held], np.arange(n + 1)).astype(np.int32)
                 some = np.flatnonzero(first >= k)
                 some = some[passes(cache.bits, run[some])]
-                key, of = run[some].view(np.int64), text[some]
-                if len(cache.keys):
-                    at = np.minimum(np.searchsorted(cache.keys, key), len(cache.keys) - 1)
-                    held = cache.keys[at] == key
-                    more += total(cache.value[at[held]], of[held])
-                    key, of = key[~held], of[~held]
-                texts_of.append(of)
-                runs.append(key)
+                held, value = cache.runs.find(run[some])
+                more += total(value[held], text[some[held]])
+                texts_of.append(text[some[~held]])
+                runs.append(run[some[~held]].view(np.int64))
             of = np.concatenate(texts_of)
             order = np.argsort(of, kind="stable")
-            ends = np.searchsorted(of[order], np.arange(len(words) + 1)).astype(np.int32)
-            # the end is counted like any word; where it is not cached, it is joined like one
-            rare = [[{"word": w, "n": n} for w, n in Counter(w for w in [*ws, END] if w not in cache.words).items()] for ws in words]
-            n = batch.num_rows
+            ends = np.searchsorted(of[order], np.arange(n + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.arange(done, done + n)), batch.column(0), pa.array([len(w) + 1 for w in words], pa.int64()), pa.array(total(None, text[c > 0]), pa.int64()),
-                    pa.array(base), pa.array(more), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
-                    pa.ListArray.from_arrays(ends, np.concatenate(runs)[order]),
+                    pa.array(np.arange(done, done + n)), batch.column(0), pa.array(np.diff(np.r_[start, len(x)]), pa.int64()), pa.array(known),
+                    pa.array(base), pa.array(more), pa.ListArray.from_arrays(rare[1], rare[0]), pa.ListArray.from_arrays(ends, np.concatenate(runs)[order]),
                 ],
-                names=[f.split()[0] for f in SCORED.split(", ", 7)],
+                names=[f.split()[0] for f in SCORED.split(", ")],
             )
             done += n
 
@@ -324,7 +350,7 @@ def score(train: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: s
     distribution is its counts with the rest of its mass on its suffix's, down to the base of single
     words.  Each token is scored by the longest state before it.  That logarithm is a sum of values of
     the runs of words that end at the token or before it, so words and runs are looked up by joins with their tables, the
-    commonest of them in every task.  Runs are known by 64-bit hashes, words by themselves.
+    commonest of them in every task.  Runs, and words where they are looked up, are known by 64-bit hashes.
     Null texts are empty; an empty training set gives every token the unknown word's probability.
     Rows are returned as often as given, null ids too; other columns are dropped.
     """
@@ -333,10 +359,10 @@ def score(train: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: s
     tree = learn(train.select(F.col(text_col).cast("string").alias("text")), depth, divergence)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     local = save(score_stored(rows, spark.sparkContext.broadcast(cache_of(tree)), tree.whole, depth), "scored")
-    rare = local.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
+    rare = local.select("row", F.explode("rare").alias("key"))
     c = F.coalesce("c", F.lit(0))
-    own = F.log10((c + ADDED) / F.lit(tree.whole)) * F.col("n")
-    parts = rare.join(tree.counts, "word", "left").groupBy("row").agg(F.sum(own).alias("rest"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("seen"))
+    own = F.log10((c + ADDED) / F.lit(tree.whole))
+    parts = rare.join(tree.words.select("key", "c"), "key", "left").groupBy("row").agg(F.sum(own).alias("rest"), F.count_if(c > 0).alias("seen"))
     out = local.drop("rare", "runs").join(parts, "row", "left")
     gain = F.col("more")
     if tree.values is not None:
