@@ -34,7 +34,7 @@ def sample(n, seed):
     return out
 
 
-@pytest.mark.parametrize(("meet", "side", "weight"), [(1024, 64, 1 << 21), (16, 5, 200), (1, 1, 1)])
+@pytest.mark.parametrize(("meet", "side", "weight"), [(1024, 64, 1 << 21), (16, 5, 200)])
 def test_one_crowded_group_loses_no_pair(spark, monkeypatch, meet, side, weight):
     for name, value in (("MEET", meet), ("SIDE", side), ("WEIGHT", weight), ("AT_ONCE", 100)):
         monkeypatch.setattr(common, name, value)

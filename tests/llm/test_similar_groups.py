@@ -12,7 +12,7 @@ def cosine(a, b):
     return len(a & b) / np.sqrt(len(a) * len(b))
 
 
-@pytest.mark.parametrize(("least", "most"), [(6, 20), (20, 60), (60, 600)])
+@pytest.mark.parametrize(("least", "most"), [(6, 30), (60, 600)])
 def test_pairs_at_the_threshold_are_found(spark, least, most):
     rng, texts = random.Random(5), []
     for i in range(150):
