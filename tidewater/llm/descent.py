@@ -248,8 +248,12 @@ def cell_links(members: DataFrame, pairs: DataFrame, dim: int, threshold: float)
     return met.select("p", "q", "x", "y").mapInArrow(each, "p long, q long, node long, links long")
 
 
+#: Audited recall below which there is no result.
+LEAST_RECALL = 0.9
+
+
 def audit(nodes: DataFrame, counted: DataFrame, dim: int, threshold: float, total: int, audited: int) -> float:
-    """The part of the true links that was found for about ``audited`` nodes, chosen by hash."""
+    """The part of the true links that was found for about ``audited`` nodes, chosen by hash: of all their links or as the nodes' mean, the lesser."""
     spark = nodes.sparkSession
     chosen = nodes.where(F.pmod(F.xxhash64(F.lit(SEED), "node"), F.lit(max(1, total // audited))) == 0)
     rows = chosen.select("node", "vec").limit(4 * audited).toPandas()
@@ -267,12 +271,16 @@ def audit(nodes: DataFrame, counted: DataFrame, dim: int, threshold: float, tota
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], names=["i", "n"])
 
     true = nodes.select("vec", "mult").mapInArrow(each, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas().sort_values("i")["n"].to_numpy() - 1
-    asked = chosen.select("node").join(counted, "node").where(F.col("node").isin(rows["node"].tolist()) if len(rows) == 4 * audited else F.lit(True))
-    return 1.0 if not true.sum() else float((asked.agg(F.sum("n_links")).first()[0] or 0) / true.sum())
+    found = chosen.select("node").join(counted, "node").select("node", "n_links").limit(4 * audited).toPandas().set_index("node")["n_links"]
+    found = rows["node"].map(found).fillna(0).to_numpy()
+    some = true > 0
+    if not some.any():
+        return 1.0
+    return float(min(found.sum() / true.sum(), (found[some] / true[some]).mean()))
 
 
 def near_duplicates(
-    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, k: int = NEIGHBOURS, least_recall: float = 0.99, tries: int = 3,
+    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, k: int = NEIGHBOURS, least_recall: float = 0.99, tries: int = 6,
 ) -> Links:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors``, with the audited recall.
 
@@ -282,7 +290,8 @@ def near_duplicates(
     hyperplane buckets, joins neighbours of neighbours until no more near pairs appear; lists
     that are full of near pairs are enlarged.  Cells whose pivots are near meet in
     blocks, and only links that exist are counted.  About AUDITED nodes are compared with all
-    others; while the recall is below ``least_recall``, the graph is seeded anew with other hyperplanes.
+    others; while the recall is below ``least_recall``, the graph is seeded anew with other hyperplanes, ``tries`` times
+    in all.  A result whose audited recall then is below LEAST_RECALL is not returned: that is an error.
 
     n_links counts the other rows linked directly, component_id is the least id that links reach.
     Null, zero and non-finite vectors, those with null components or of another length than the
@@ -328,6 +337,8 @@ def near_duplicates(
         recall = audit(nodes, counted, dim, threshold, total, AUDITED)
         if recall >= least_recall:
             break
+    if recall < min(LEAST_RECALL, least_recall):
+        raise RuntimeError(f"only {recall:.3f} of the audited links were found after {tries} seedings; ask for more tries or neighbours")
     edges = links.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
     linked = components(edges.union(members.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))))
     rooted = nodes.select("node", "vec", "least").join(linked, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")

@@ -40,7 +40,8 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return descent.near_duplicates(table(spark, sf_dir, "embeddings")).rows
+    found = descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.rows.withColumn("audited_recall", F.lit(found.recall))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
