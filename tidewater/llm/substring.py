@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, as_bytes, fresh, linked, save, tidy, word_bounds, word_hashes
+from .common import arrow_rows, as_bytes, forget, fresh, linked, save, tidy, word_bounds, word_hashes
 
 SEED = 42
 #: Paragraphs of fewer words are compared as parts of longer passages only.
@@ -207,7 +207,7 @@ def shared_keys(rows: DataFrame) -> DataFrame:
 
 
 def repeated_passages(texts: DataFrame, found: DataFrame, cutter: Cutter) -> DataFrame:
-    """(doc_id, tk, at, end, keep, class) of stretches of words whose grams all stand in a lesser document.
+    """(doc_id, tk, at, end, keep, class: null) of stretches of words whose grams all stand in a lesser document; deletes ``found``.
 
     Two documents that share a passage of ``least_run`` words share one of its anchors; all grams around shared
     anchors, up to a window's width away, are then compared.
@@ -234,9 +234,10 @@ def repeated_passages(texts: DataFrame, found: DataFrame, cutter: Cutter) -> Dat
 
     asked = texts.join(wanted, ["doc_id", "tk"]).select("doc_id", "tk", "text", "ats")
     grams = save(asked.mapInArrow(each, "doc_id long, tk int, at int, key long"), "grams")
+    forget(found)  # nothing reads the units any more
     again = save(shared_keys(grams), "again")
     hit = grams.join(again, "key").where("doc_id > keep")
-    return hit.select("doc_id", "tk", "at", (F.col("at") + GRAM).alias("end"), "keep", F.col("key").alias("class"))
+    return hit.select("doc_id", "tk", "at", (F.col("at") + GRAM).alias("end"), "keep", F.lit(None).cast("long").alias("class"))
 
 
 def repeated_spans(
@@ -252,7 +253,7 @@ def repeated_spans(
     words that stands in a lesser document, where two documents share a passage of ``least_run`` words, whatever its lines.
     A run of adjoining repeated words is reported if it has ``least_run`` words or more,
     so that common short lines stay.  kept_doc_id is the least document that keeps a part of the
-    run, component_id the least cluster (or hash of a repeated gram) in it.  Null ids and texts are left out; a document is never compared with
+    run, component_id the least cluster of similar paragraphs in it, null if it has none.  Null ids and texts are left out; a document is never compared with
     itself; repeated rows are reported once, several texts of one id each by its tk.  Texts are compared without regard to A-Z's case and white space.
     """
     if least_run < GRAM:
