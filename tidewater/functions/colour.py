@@ -44,17 +44,20 @@ def lab(b: Column, g: Column, r: Column) -> tuple[Column, Column, Column]:
 
 
 def np_grey(bgr: np.ndarray) -> np.ndarray:
-    x = bgr.astype(np.int64)
+    x = bgr.astype(np.int32)
     return ((x[..., 2] * GREY[0] + x[..., 1] * GREY[1] + x[..., 0] * GREY[2] + 16384) >> 15).astype(np.uint8)
 
 
+#: Step of the hue by the difference of the largest and the least channel.
+_STEPS = np.rint(122880.0 / np.maximum(np.arange(256), 1)).astype(np.int32)
+
+
 def np_hue(bgr: np.ndarray) -> np.ndarray:
-    b, g, r = (bgr[..., i].astype(np.int64) for i in range(3))
-    v = bgr.max(axis=-1).astype(np.int64)
-    diff = v - bgr.min(axis=-1)
+    b, g, r = (bgr[..., i].astype(np.int32) for i in range(3))
+    v = np.maximum(np.maximum(b, g), r)
+    diff = v - np.minimum(np.minimum(b, g), r)
     raw = np.where(v == r, g - b, np.where(v == g, b - r + 2 * diff, r - g + 4 * diff))
-    step = np.rint(122880.0 / np.maximum(diff, 1)).astype(np.int64)
-    h = np.where(diff == 0, 0, (raw * step + 2048) // 4096)
+    h = (raw * _STEPS[diff] + 2048) >> 12  # no difference: raw is 0, and so is the hue
     return np.where(h < 0, h + 180, h).astype(np.uint8)
 
 
@@ -62,12 +65,17 @@ _POWERS = np.where(np.arange(256) / 255.0 <= 0.04045, np.arange(256) / 255.0 / 1
 
 
 def np_lab(bgr: np.ndarray) -> np.ndarray:
-    lb, lg, lr = (_POWERS[bgr[..., i]] for i in range(3))
+    out = np.empty(bgr.shape, np.uint8)
 
-    def f(m: tuple[float, float, float], w: float) -> np.ndarray:
-        x = (m[0] * lr + m[1] * lg + m[2] * lb) / w
+    def f(x: np.ndarray) -> np.ndarray:
         return np.where(x > 0.008856, np.cbrt(x), 7.787 * x + 16.0 / 116.0)
 
-    fx, fy, fz = (f(m, w) for m, w in zip(XYZ, WHITE, strict=True))
-    out = np.stack([(116 * fy - 16) * 2.55, 500 * (fx - fy) + 128, 200 * (fy - fz) + 128], axis=-1)
-    return np.clip(np.floor(out + 0.5), 0, 255).astype(np.uint8)
+    def byte(x: np.ndarray) -> np.ndarray:
+        return np.clip(np.floor(x + 0.5), 0, 255)
+
+    for row in range(0, len(bgr), 32):  # bands of rows stay in the processor's cache
+        lb, lg, lr = (_POWERS[bgr[row : row + 32, :, i]] for i in range(3))
+        fx, fy, fz = (f((m[0] * lr + m[1] * lg + m[2] * lb) / w) for m, w in zip(XYZ, WHITE, strict=True))
+        part = out[row : row + 32]
+        part[..., 0], part[..., 1], part[..., 2] = byte((116 * fy - 16) * 2.55), byte(500 * (fx - fy) + 128), byte(200 * (fy - fz) + 128)
+    return out

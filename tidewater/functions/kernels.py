@@ -14,6 +14,8 @@ import numpy as np
 from .colour import np_grey, np_hue, np_lab
 
 EPS = 1e-6
+#: Rows of a band: the planes of a band stay in the processor's cache.
+BAND = 32
 #: Offsets of the 16 pixels around a FAST centre, clockwise from the top (fixed values).
 CIRCLE = ((-3, 0), (-3, 1), (-2, 2), (-1, 3), (0, 3), (1, 3), (2, 2), (3, 1), (3, 0), (3, -1), (2, -2), (1, -3), (0, -3), (-1, -3), (-2, -2), (-3, -1))
 
@@ -31,9 +33,14 @@ def along(x: np.ndarray, taps: np.ndarray, axis: int) -> np.ndarray:
     """Correlation of padded data with taps along one axis; the result is shorter by len(taps) - 1."""
     n = x.shape[axis] - len(taps) + 1
     out = np.zeros([n if i == axis else s for i, s in enumerate(x.shape)])
-    for i, tap in enumerate(taps):
-        if tap:
-            out += tap * (x[i : i + n] if axis == 0 else x[:, i : i + n])
+    part = np.empty((BAND, out.shape[1]))
+    for start in range(0, out.shape[0], BAND):
+        band = out[start : start + BAND]
+        rows, product = len(band), part[: len(band)]
+        for i, tap in enumerate(taps):
+            if tap:
+                np.multiply(x[start + i : start + i + rows] if axis == 0 else x[start : start + rows, i : i + n], tap, out=product)
+                band += product
     return out
 
 
@@ -49,15 +56,16 @@ def box_std(grey: np.ndarray, size: int) -> float:
 
 
 def sobel(grey: np.ndarray, edge: str = "reflect") -> tuple[np.ndarray, np.ndarray]:
-    x = grey.astype(float)
+    """Derivatives of 8-bit data along the row and the column, as 16-bit integers."""
+    x = grey.astype(np.int16)
     x = mirror(x, 1) if edge == "reflect" else np.pad(x, 1, mode=edge)
-    smooth, step = np.array([1.0, 2.0, 1.0]), np.array([-1.0, 0.0, 1.0])
-    return along(along(x, step, 1), smooth, 0), along(along(x, step, 0), smooth, 1)
+    across, down = x[:, 2:] - x[:, :-2], x[2:] - x[:-2]
+    return across[:-2] + 2 * across[1:-1] + across[2:], down[:, :-2] + 2 * down[:, 1:-1] + down[:, 2:]
 
 
 def laplacian_variance(grey: np.ndarray) -> float:
-    x = mirror(grey.astype(float), 1)
-    return float((x[:-2, 1:-1] + x[2:, 1:-1] + x[1:-1, :-2] + x[1:-1, 2:] - 4 * x[1:-1, 1:-1]).var())
+    x = mirror(grey.astype(np.int16), 1)
+    return float((x[:-2, 1:-1] + x[2:, 1:-1] + x[1:-1, :-2] + x[1:-1, 2:] - 4 * x[1:-1, 1:-1]).var(dtype=float))
 
 
 def blur_estimate(grey: np.ndarray) -> float:
@@ -74,7 +82,7 @@ def canny(grey: np.ndarray, low: int = 50, high: int = 150) -> np.ndarray:
     size = np.abs(dx) + np.abs(dy)
     pad = np.pad(size, 1)
     at = lambda i, j: pad[1 + i : 1 + i + size.shape[0], 1 + j : 1 + j + size.shape[1]]
-    ax, ay = np.abs(dx), np.abs(dy) * 32768
+    ax, ay = np.abs(dx).astype(np.int32), np.abs(dy).astype(np.int32) * 32768
     flat = ay < ax * 13573
     steep = ay > ax * 13573 + ax * 65536
     falls = (dx < 0) != (dy < 0)
@@ -83,12 +91,16 @@ def canny(grey: np.ndarray, low: int = 50, high: int = 150) -> np.ndarray:
     weak = thin & (size > low)
     edges = np.pad(weak & (size > high), 1)
     weak = np.pad(weak, 1)
-    fresh = np.flatnonzero(edges)
-    flat_edges, flat_weak, width = edges.ravel(), weak.ravel(), edges.shape[1]
-    steps = np.array([-width - 1, -width, -width + 1, -1, 1, width - 1, width, width + 1])
+    fresh, width = np.flatnonzero(edges), edges.shape[1]
+    flat_edges, waiting = edges.ravel(), (weak & ~edges).ravel()
     while len(fresh):
-        around = np.unique((fresh[:, None] + steps).ravel())
-        fresh = around[flat_weak[around] & ~flat_edges[around]]
+        found = []
+        for step in (-width - 1, -width, -width + 1, -1, 1, width - 1, width, width + 1):
+            near = fresh + step
+            near = near[waiting[near]]
+            waiting[near] = False
+            found.append(near)
+        fresh = np.concatenate(found)
         flat_edges[fresh] = True
     return edges[1:-1, 1:-1]
 
@@ -107,7 +119,7 @@ def gaussian_blur(grey: np.ndarray, sigma: float) -> np.ndarray:
 
 def corner_density(grey: np.ndarray) -> float:
     """Share of pixels whose Harris response (2x2 sums, k = 0.04) exceeds a hundredth of the largest."""
-    dx, dy = sobel(grey)
+    dx, dy = (d.astype(float) for d in sobel(grey))
 
     def box(p: np.ndarray) -> np.ndarray:
         q = mirror(p, 1)[:-1, :-1]
@@ -124,15 +136,18 @@ def keypoints(grey: np.ndarray, threshold: int = 20) -> int:
     if h < 7 or w < 7:
         return 0
     x = grey.astype(np.int16)
-    centre = x[3:-3, 3:-3]
-    ring = np.stack([x[3 + i : h - 3 + i, 3 + j : w - 3 + j] - centre for i, j in CIRCLE])
-    score = np.zeros(centre.shape, np.int16)
-    for sign in (1, -1):
-        d = sign * ring
-        two = np.minimum(d, np.roll(d, -1, axis=0))
-        four = np.minimum(two, np.roll(two, -2, axis=0))
-        nine = np.minimum(np.minimum(four, np.roll(four, -4, axis=0)), np.roll(d, -8, axis=0))
-        score = np.maximum(score, nine.max(axis=0))
+    score = np.empty((h - 6, w - 6), np.int16)
+    for start in range(3, h - 3, BAND // 2):
+        stop = min(start + BAND // 2, h - 3)
+        centre = x[start:stop, 3:-3]
+        ring = np.stack([x[start + i : stop + i, 3 + j : w - 3 + j] - centre for i, j in (*CIRCLE, *CIRCLE[:8])])
+        runs = []  # the weakest of 9 in a row, for brighter and darker pixels
+        for weakest in (np.minimum, np.maximum):
+            two = weakest(ring[:-1], ring[1:])
+            four = weakest(two[:-2], two[2:])
+            runs.append(weakest(weakest(four[:-4], four[4:])[:16], ring[8:]))
+        score[start - 3 : stop - 3] = np.maximum(runs[0].max(axis=0), -runs[1].min(axis=0))
+    score = np.maximum(score, 0)
     score = np.where(score > threshold, score - 1, 0)
     pad = np.pad(score, 1)
     best = score > 0
@@ -152,8 +167,9 @@ def blocks(x: np.ndarray, size: int, fill: float) -> np.ndarray:
 
 def eme(x: np.ndarray, size: int = 8) -> float:
     """Mean log ratio of the largest to the least value of blocks without zeros."""
-    top = blocks(x, size, -np.inf).max(axis=(2, 3))
-    low = blocks(x, size, np.inf).min(axis=(2, 3))
+    starts = [np.arange(0, n, size) for n in x.shape]
+    top = np.maximum.reduceat(np.maximum.reduceat(x, starts[0], axis=0), starts[1], axis=1)
+    low = np.minimum.reduceat(np.minimum.reduceat(x, starts[0], axis=0), starts[1], axis=1)
     some = low > 0
     return float(np.log(top[some] / low[some] + EPS).sum() / (some.sum() + EPS))
 
@@ -214,7 +230,7 @@ class Image:
 
     @cached_property
     def gradient(self) -> np.ndarray:
-        dx, dy = sobel(self.grey)
+        dx, dy = (d.astype(np.int32) for d in sobel(self.grey))
         return np.sqrt(dx * dx + dy * dy)
 
     @cached_property
@@ -227,8 +243,9 @@ class Image:
 
     def uciqe(self) -> float:
         lab = self.lab / 255.0
-        chroma = np.hypot(lab[..., 1] - 128 / 255, lab[..., 2] - 128 / 255)
-        return float(0.4680 * chroma.std() + 0.2745 * lab[..., 0].std() + 0.2576 * (chroma / (lab[..., 0] + EPS)).mean())
+        light, a, b = lab[..., 0], lab[..., 1] - 128 / 255, lab[..., 2] - 128 / 255
+        chroma = np.sqrt(a * a + b * b)
+        return float(0.4680 * chroma.std() + 0.2745 * light.std() + 0.2576 * (chroma / (light + EPS)).mean())
 
     def uiqm(self) -> float:
         b, g, r = (self.bgr[..., i].astype(float) for i in range(3))
