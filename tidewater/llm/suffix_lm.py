@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_rows, as_bytes, forget, save, tidy, word_bounds, word_hashes
+from .common import LOWER, SLICE, arrow_rows, as_bytes, forget, save, tidy, word_bounds
 
 #: Longest contexts, in words.
 DEPTH = 4
@@ -29,42 +28,20 @@ SMOOTHING = 5.0
 DISCOUNT = 0.75
 #: The base's additive constant.
 ADDED = 0.1
-#: The end of a text; no word is empty.
-END = b""
-#: Distinct keys that a task adds up before it hands them on.
-HELD = 500_000
+#: Tokens that a task adds up before it hands their counts on.
+HELD = 2_000_000
 #: Bits of a sieve (2 to this power). It only spares the joins keys that no table has; a fuller one lets more of them through.
 SIEVE = 26
 #: The commonest words, and runs of words, that every task looks up for itself; the others are joined.
 CACHED_WORDS, CACHED_RUNS = 200_000, 1_000_000
+#: Words of more bytes are hashed one by one.
+SHORT = 64
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(LOWER).split()
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """(word binary, c): occurrences of each word, and of the end, in (text)."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "c"])
-
-        for batch in batches:
-            for text in as_bytes(batch.column(0)):
-                counts.update(words_of(text))
-            counts[END] += batch.num_rows
-            if len(counts) > HELD:
-                yield out()
-                counts.clear()
-        if counts:
-            yield out()
-
-    return texts.mapInArrow(each, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
 def mix(run: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Hashes of runs of words that are each a run (0: the empty one) and a further word."""
     h = (run ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -73,11 +50,33 @@ def mix(run: np.ndarray, word: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def hashes_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-
-END_HASH = np.uint64(xxhash.xxh3_64_intdigest(END))
+#: The empty run.
+EMPTY = np.zeros(1, np.uint64)
+#: Flipped in the key of a word that is looked up for its count, not as a context.
+COUNTED = np.uint64(0x5851F42D4C957F2D)
+#: The end of a text, as the hash of a word.
+END_HASH = np.uint64(xxhash.xxh3_64_intdigest(b""))
+#: A random number for each value of a byte.
+BYTES = np.random.default_rng(8).integers(0, 1 << 64, 256, np.uint64)
+
+
+def hash_words(raw: bytes, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hashes of the words of ``raw``, A-Z lower-cased: a byte of all words at a time, longest words first."""
+    low = raw.translate(LOWER)
+    code, out = np.frombuffer(low, np.uint8), np.empty(len(lo), np.uint64)
+    for a in range(0, len(lo), SLICE):
+        size = hi[a : a + SLICE] - lo[a : a + SLICE]
+        short = np.where(size > SHORT, 0, size).astype(np.int16)
+        order = np.argsort(-short, kind="stable")
+        at, h = lo[a : a + SLICE][order], short[order].astype(np.uint64)
+        left = np.searchsorted(-short[order], -np.arange(short.max(initial=0)), side="left")
+        for k, m in enumerate(left):
+            some = (h[:m] ^ BYTES[code[at[:m] + k]]) * np.uint64(0x9FB21C651E98DF25)
+            h[:m] = some ^ (some >> np.uint64(32))
+        out[a + order] = h
+        for i in a + np.flatnonzero(size > SHORT):
+            out[i] = xxhash.xxh3_64_intdigest(low[lo[i] : hi[i]])
+    return out
 
 
 def join_texts(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,20 +86,46 @@ def join_texts(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.nd
     lo, hi = word_bounds(raw)
     of = np.searchsorted(np.cumsum([0, *(len(t) + 1 for t in texts)]), lo, side="right") - 1
     n = np.bincount(of, minlength=len(texts))
-    x = np.insert(word_hashes(raw, lo, hi), np.cumsum(n), END_HASH)
+    x = np.insert(hash_words(raw, lo, hi), np.cumsum(n), END_HASH)
     start = np.cumsum(n + 1) - (n + 1)
     return x, start, np.arange(len(x)) - np.repeat(start, n + 1)
 
 
 def runs_of(x: np.ndarray, most: int) -> Iterator[np.ndarray]:
     """For 1 to ``most`` words the hashes of the runs that end at each place; those that begin before their text mean nothing."""
-    run = mix(np.zeros(len(x), np.uint64), x)
+    run = mix(EMPTY, x)
     yield run
     for _ in range(1, most):
-        run = mix(np.r_[np.zeros(min(1, len(x)), np.uint64), run[:-1]], x)
+        run = mix(shifted(run), x)
         yield run
 
 
+def shifted(run: np.ndarray) -> np.ndarray:
+    """The run that ends one place before."""
+    return np.r_[np.zeros(min(1, len(run)), np.uint64), run[:-1]]
+
+
+def count_words(texts: DataFrame) -> DataFrame:
+    """(key, c): occurrences of each word, and of the end, in (text)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            key, c = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(mix(EMPTY, key).view(np.int64)), pa.array(c, pa.int64())], names=["key", "c"])
+
+        for batch in batches:
+            held.append(join_texts(as_bytes(batch.column(0)))[0])
+            if sum(map(len, held)) > HELD:
+                yield out()
+        if held:
+            yield out()
+
+    return texts.mapInArrow(each, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+
+
 def sieve(keys: DataFrame) -> np.ndarray:
     """Bits of the leading parts of all (key): a bounded filter that passes every key of the table."""
     at = F.shiftrightunsigned("key", 64 - SIEVE)
@@ -117,70 +142,50 @@ def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def count_symbols(texts: DataFrame, shipped, depth: int) -> DataFrame:  # noqa: ANN001
-    """(context, symbol, n): symbols after the contexts of ``depth`` words that pass the sieve, where they are a context's own."""
+    """(context, key, low, n): runs (key) of a context of ``depth`` words and a symbol, without those that occur too seldom.
+
+    ``low`` is the run without its first word.  What has no such run below it, or no such context, has no place in the tree.
+    Two sieves spare most of these the shuffle; joins find the others.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, contexts, symbols = shipped.value, [], []
+        contexts, lower = shipped.value
+        held: list[tuple[np.ndarray, ...]] = []
 
         def out() -> pa.RecordBatch:
-            context, symbol = np.concatenate(contexts), np.concatenate(symbols)
-            _, at, n = np.unique(mix(context, symbol), return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(context[at].view(np.int64)), pa.array(symbol[at].view(np.int64)), pa.array(n, pa.int64())], names=["context", "symbol", "n"])
+            key, context, low = map(np.concatenate, zip(*held, strict=True))
+            held.clear()
+            key, at, n = np.unique(key, return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)) for v in (context[at], key, low[at])] + [pa.array(n, pa.int64())], names=["context", "key", "low", "n"])
 
         for batch in batches:
             x, _, first = join_texts(as_bytes(batch.column(0)))
             for run in runs_of(x, depth):
                 pass
-            before = np.r_[np.zeros(min(1, len(x)), np.uint64), run[:-1]]
+            before = shifted(run)
             some = np.flatnonzero(first >= depth)
-            some = some[passes(bits, before[some])]
-            contexts.append(before[some])
-            symbols.append(x[some])
-            if sum(map(len, contexts)) > 4 * HELD:
+            some = some[passes(contexts, before[some])]
+            some = some[passes(lower, run[some])]
+            held.append((mix(before[some], x[some]), before[some], run[some]))
+            if sum(len(h[0]) for h in held) > HELD:
                 yield out()
-                contexts.clear()
-                symbols.clear()
-        if contexts:
+        if held:
             yield out()
 
-    found = texts.mapInArrow(each, "context long, symbol long, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
+    found = texts.mapInArrow(each, "context long, key long, low long, n long").groupBy("context", "key", "low").agg(F.sum("n").alias("n"))
     return found.where(F.col("n") >= LEAST_SYMBOL)
 
 
-def keyed(df: DataFrame) -> DataFrame:
-    """(context, symbol, n, total, suffix) with the hashes of context and symbol (key), and of suffix and symbol (low)."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            context, symbol, suffix = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1, 4))
-            more = [pa.array(mix(context, symbol).view(np.int64)), pa.array(mix(suffix, symbol).view(np.int64)), pa.array(symbol == END_HASH)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i) for i in (2, 3, 4)), *more], names=["context", "n", "total", "suffix", "key", "low", "last"])
-
-    return df.select("context", "symbol", "n", "total", "suffix").mapInArrow(each, "context long, n long, total long, suffix long, key long, low long, last boolean")
-
-
-def word_keys(counts: DataFrame) -> DataFrame:
-    """(key, c, last) of (word, c): the hash of each word as a run, and whether it is the end."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = hashes_of(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(mix(np.zeros(len(h), np.uint64), h).view(np.int64)), batch.column(1), pa.array(h == END_HASH)], names=["key", "c", "last"])
-
-    return counts.select("word", "c").mapInArrow(each, "key long, c long, last boolean").groupBy("key", "last").agg(F.sum("c").alias("c"))
-
-
 @dataclass
 class Tree:
     """The suffix tree as tables.
 
-    counts: (word, c) of all words, words: the same by the words' hashes (key, c, last).  values: (key, value, n), a row for each run of words that
+    words: (key, c) of all words and the end.  values: (key, value, n), one or two rows for each run of words that
     matters; the score of a text is its base and the values of all its runs.  A retained context's value is
     the logarithm of the weight of its suffix's distribution.  A run of a retained context and one of
     its own symbols has the logarithm of the symbol's probability less what the suffix gives it.
     """
 
-    counts: DataFrame
     words: DataFrame
     values: DataFrame | None
     total: int
@@ -193,9 +198,9 @@ class Tree:
 
 def learn(texts: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENCE) -> Tree:
     """The suffix tree of all training texts (text)."""
-    counts = save(count_words(texts), "words")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    tree = Tree(counts, save(word_keys(counts), "word-keys"), None, total, distinct)
+    words = save(count_words(texts), "words")
+    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    tree = Tree(words, None, total, distinct)
     if total:
         with tidy() as keep:
             tree.values = keep(_values(texts, tree, depth, divergence))
@@ -204,15 +209,16 @@ def learn(texts: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENCE)
 
 def _values(texts: DataFrame, tree: Tree, depth: int, divergence: float) -> DataFrame:
     spark = texts.sparkSession
-    words = tree.words
+    end = int(mix(EMPTY, END_HASH).view(np.int64)[0])
+    words = tree.words.where(F.col("c") >= LEAST_SYMBOL)
     below = words.select("key", ((F.col("c") + ADDED) / F.lit(tree.whole)).alias("p"))
-    states = words.where((F.col("c") >= LEAST_CONTEXT) & ~F.col("last")).select(F.col("key").alias("context"), F.col("c").alias("total"), F.lit(0).cast("long").alias("suffix"))
+    states = words.where((F.col("c") >= LEAST_CONTEXT) & (F.col("key") != end)).select(F.col("key").alias("context"), F.col("c").alias("total"), F.lit(0).cast("long").alias("suffix"))
     levels = []
     for d in range(1, depth + 1):
-        shipped = spark.sparkContext.broadcast(sieve(states.select(F.col("context").alias("key"))))
-        grams = save(keyed(count_symbols(texts, shipped, d).join(states, "context")), "grams")
-        shipped.destroy()
+        shipped = spark.sparkContext.broadcast((sieve(states.select(F.col("context").alias("key"))), sieve(below.select("key"))))
+        grams = count_symbols(texts, shipped, d).join(states, "context")
         joined = save(grams.join(below.withColumnsRenamed({"key": "low", "p": "q"}), "low"), "joined")
+        shipped.destroy()
         own = F.col("n") / F.col("total")
         judged = joined.groupBy("context", "suffix", "total").agg(F.sum(own * F.log(own / F.col("q"))).alias("apart"), F.sum(F.col("n") - DISCOUNT).alias("stored"))
         judged = save(
@@ -221,12 +227,11 @@ def _values(texts: DataFrame, tree: Tree, depth: int, divergence: float) -> Data
         )
         p = (F.col("n") - DISCOUNT) / (F.col("total") + SMOOTHING) + F.col("back") * F.col("q")
         symbols = joined.join(judged.select("context", "back"), "context").withColumn("p", p)
-        symbols = save(symbols.select("context", "key", "n", "p", (F.log10("p") - F.log10("q") - F.log10("back")).alias("value")), "symbols")
-        states = save(grams.where((F.col("n") >= LEAST_CONTEXT) & ~F.col("last")).select(F.col("key").alias("context"), F.col("n").alias("total"), F.col("low").alias("suffix")), "states")
-        forget(grams)
+        symbols = save(symbols.select("context", "key", "low", "n", "p", (F.log10("p") - F.log10("q") - F.log10("back")).alias("value")), "symbols")
         forget(joined)
         levels.append((judged, symbols))
         below = symbols.select("key", "p")
+        states = symbols.where(F.col("n") >= LEAST_CONTEXT).select(F.col("key").alias("context"), F.col("n").alias("total"), F.col("low").alias("suffix"))
         if states.isEmpty():
             break
     parts, needed = [], None
@@ -240,7 +245,7 @@ def _values(texts: DataFrame, tree: Tree, depth: int, divergence: float) -> Data
     every = parts[0]
     for part in parts[1:]:
         every = every.union(part)
-    return save(every.groupBy("key").agg(F.sum("value").alias("value"), F.max("n").alias("n")), "values")
+    return save(every, "values")
 
 
 def commonest(df: DataFrame, of: str, most: int) -> DataFrame:
@@ -290,9 +295,9 @@ class Cache:
 
 
 def cache_of(tree: Tree) -> Cache:
-    def held(df: DataFrame, of: str) -> Held:
-        table = df.select("key", of).toArrow()
-        return Held(table["key"].to_numpy(), table[of].to_numpy())
+    def held(df: DataFrame, value: str) -> Held:
+        table = df.groupBy("key").agg(F.sum(value).alias("value")).toArrow()
+        return Held(table["key"].to_numpy(), table["value"].to_numpy())
 
     words = held(commonest(tree.words, "c", CACHED_WORDS), "c")
     if tree.values is None:
@@ -300,39 +305,44 @@ def cache_of(tree: Tree) -> Cache:
     return Cache(words, held(commonest(tree.values, "n", CACHED_RUNS), "value"), sieve(tree.values.select("key")))
 
 
-SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, more double, rare array<long>, runs array<long>"
+SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, more double, keys array<long>"
 
 
 def score_stored(rows: DataFrame, shipped, whole: float, depth: int) -> DataFrame:  # noqa: ANN001
-    """What the cached words and runs of (doc_id, text) add up to; other words, and other runs that may have a value, are handed on."""
+    """What the cached words and runs of (doc_id, text) add up to; other words, and other runs that may have a value, are handed on.
+
+    Words handed on count as unknown here.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, done = shipped.value, TaskContext.get().partitionId() << 40
         for batch in batches:
             n = batch.num_rows
             x, start, first = join_texts(as_bytes(batch.column(1)))
-            text = np.repeat(np.arange(n), np.diff(np.r_[start, len(x)]))
+            tokens = np.diff(np.r_[start, len(x)])
+            text = np.repeat(np.arange(n), tokens)
             total = lambda weights, of: np.bincount(of, weights=weights, minlength=n)
-            base, known, more, rare, texts_of, runs = np.zeros(n), np.zeros(n, np.int64), np.zeros(n), None, [], []
+            more, keys, texts_of, some = np.zeros(n), [], [], np.arange(len(x))
             for k, run in enumerate(runs_of(x, depth + 1)):
                 if not k:
                     held, c = cache.words.find(run)
-                    base += total(np.log10((c[held] + ADDED) / whole), text[held])
-                    known += total(None, text[held])
-                    rare = run[~held].view(np.int64), np.searchsorted(text[~held], np.arange(n + 1)).astype(np.int32)
-                some = np.flatnonzero(first >= k)
+                    base, known = total(np.log10((c + ADDED) / whole), text), total(None, text[held])
+                    keys.append((run[~held] ^ COUNTED).view(np.int64))
+                    texts_of.append(text[~held])
+                # a run of three words or more has a value only where the run without its first word has one
+                some = np.flatnonzero(first >= 1) if k == 1 else some[first[some] >= k]
                 some = some[passes(cache.bits, run[some])]
                 held, value = cache.runs.find(run[some])
                 more += total(value[held], text[some[held]])
+                keys.append(run[some[~held]].view(np.int64))
                 texts_of.append(text[some[~held]])
-                runs.append(run[some[~held]].view(np.int64))
             of = np.concatenate(texts_of)
             order = np.argsort(of, kind="stable")
             ends = np.searchsorted(of[order], np.arange(n + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.arange(done, done + n)), batch.column(0), pa.array(np.diff(np.r_[start, len(x)]), pa.int64()), pa.array(known),
-                    pa.array(base), pa.array(more), pa.ListArray.from_arrays(rare[1], rare[0]), pa.ListArray.from_arrays(ends, np.concatenate(runs)[order]),
+                    pa.array(np.arange(done, done + n)), batch.column(0), pa.array(tokens, pa.int64()), pa.array(known),
+                    pa.array(base), pa.array(more), pa.ListArray.from_arrays(ends, np.concatenate(keys)[order]),
                 ],
                 names=[f.split()[0] for f in SCORED.split(", ")],
             )
@@ -350,7 +360,7 @@ def score(train: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: s
     distribution is its counts with the rest of its mass on its suffix's, down to the base of single
     words.  Each token is scored by the longest state before it.  That logarithm is a sum of values of
     the runs of words that end at the token or before it, so words and runs are looked up by joins with their tables, the
-    commonest of them in every task.  Runs, and words where they are looked up, are known by 64-bit hashes.
+    commonest of them in every task.  Runs and words are known by 64-bit hashes.
     Null texts are empty; an empty training set gives every token the unknown word's probability.
     Rows are returned as often as given, null ids too; other columns are dropped.
     """
@@ -359,16 +369,14 @@ def score(train: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: s
     tree = learn(train.select(F.col(text_col).cast("string").alias("text")), depth, divergence)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     local = save(score_stored(rows, spark.sparkContext.broadcast(cache_of(tree)), tree.whole, depth), "scored")
-    rare = local.select("row", F.explode("rare").alias("key"))
-    c = F.coalesce("c", F.lit(0))
-    own = F.log10((c + ADDED) / F.lit(tree.whole))
-    parts = rare.join(tree.words.select("key", "c"), "key", "left").groupBy("row").agg(F.sum(own).alias("rest"), F.count_if(c > 0).alias("seen"))
-    out = local.drop("rare", "runs").join(parts, "row", "left")
-    gain = F.col("more")
-    if tree.values is not None:
-        runs = local.select("row", F.explode("runs").alias("key")).join(tree.values.select("key", "value"), "key").groupBy("row").agg(F.sum("value").alias("gain"))
-        out, gain = out.join(runs, "row", "left"), gain + F.coalesce("gain", F.lit(0.0))
+    counted = tree.words.select(
+        F.col("key").bitwiseXOR(F.lit(int(COUNTED.view(np.int64)))).alias("key"), F.log10((F.col("c") + ADDED) / ADDED).alias("value"), F.lit(True).alias("word"))
+    lookup = counted if tree.values is None else counted.union(tree.values.select("key", "value", F.lit(False)))
+    found = local.select("row", F.explode("keys").alias("key")).join(lookup, "key").groupBy("row").agg(
+        F.sum(F.when(F.col("word"), F.col("value"))).alias("rest"), F.count_if("word").alias("seen"), F.sum(F.when(~F.col("word"), F.col("value"))).alias("gain"))
+    out = local.drop("keys").join(found, "row", "left")
     base = F.col("base") + F.coalesce("rest", F.lit(0.0))
+    gain = F.col("more") + F.coalesce("gain", F.lit(0.0))
     return out.select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"),
         base.alias("base_score"), (base + gain).alias("score"),
