@@ -34,6 +34,8 @@ HELD = 2_000_000
 SIEVE = 26
 #: The commonest words, and runs of words, that every task looks up for itself; the others are joined.
 CACHED_WORDS, CACHED_RUNS = 200_000, 1_000_000
+#: Parts, by key, in which words and runs are looked up.
+PARTS = 4
 #: Words of more bytes are hashed one by one.
 SHORT = 64
 
@@ -43,7 +45,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def mix(run: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Hashes of runs of words that are each a run (0: the empty one) and a further word."""
+    """Hashes of runs of words: of the run without its last word and the run without its first one."""
     h = (run ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
     h = (h ^ (h >> np.uint64(29))) + word * np.uint64(0x165667B19E3779F9)
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -96,7 +98,7 @@ def runs_of(x: np.ndarray, most: int) -> Iterator[np.ndarray]:
     run = mix(EMPTY, x)
     yield run
     for _ in range(1, most):
-        run = mix(shifted(run), x)
+        run = mix(shifted(run), run)
         yield run
 
 
@@ -153,10 +155,10 @@ def count_symbols(texts: DataFrame, shipped, depth: int) -> DataFrame:  # noqa:
         held: list[tuple[np.ndarray, ...]] = []
 
         def out() -> pa.RecordBatch:
-            key, context, low = map(np.concatenate, zip(*held, strict=True))
+            context, low = map(np.concatenate, zip(*held, strict=True))
             held.clear()
-            key, at, n = np.unique(key, return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)) for v in (context[at], key, low[at])] + [pa.array(n, pa.int64())], names=["context", "key", "low", "n"])
+            _, at, n = np.unique(mix(context, low), return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(context[at].view(np.int64)), pa.array(low[at].view(np.int64)), pa.array(n, pa.int64())], names=["context", "low", "n"])
 
         for batch in batches:
             x, _, first = join_texts(as_bytes(batch.column(0)))
@@ -166,14 +168,19 @@ def count_symbols(texts: DataFrame, shipped, depth: int) -> DataFrame:  # noqa:
             some = np.flatnonzero(first >= depth)
             some = some[passes(contexts, before[some])]
             some = some[passes(lower, run[some])]
-            held.append((mix(before[some], x[some]), before[some], run[some]))
+            held.append((before[some], run[some]))
             if sum(len(h[0]) for h in held) > HELD:
                 yield out()
         if held:
             yield out()
 
-    found = texts.mapInArrow(each, "context long, key long, low long, n long").groupBy("context", "key", "low").agg(F.sum("n").alias("n"))
-    return found.where(F.col("n") >= LEAST_SYMBOL)
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            context, low = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mix(context, low).view(np.int64))], names=["context", "low", "n", "key"])
+
+    found = texts.mapInArrow(each, "context long, low long, n long").groupBy("context", "low").agg(F.sum("n").alias("n"))
+    return found.where(F.col("n") >= LEAST_SYMBOL).mapInArrow(keyed, "context long, low long, n long, key long")
 
 
 @dataclass
@@ -209,16 +216,17 @@ def learn(texts: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENCE)
 
 def _values(texts: DataFrame, tree: Tree, depth: int, divergence: float) -> DataFrame:
     spark = texts.sparkSession
-    end = int(mix(EMPTY, END_HASH).view(np.int64)[0])
+    end = int(mix(EMPTY, np.array([END_HASH])).view(np.int64)[0])
     words = tree.words.where(F.col("c") >= LEAST_SYMBOL)
     below = words.select("key", ((F.col("c") + ADDED) / F.lit(tree.whole)).alias("p"))
     states = words.where((F.col("c") >= LEAST_CONTEXT) & (F.col("key") != end)).select(F.col("key").alias("context"), F.col("c").alias("total"), F.lit(0).cast("long").alias("suffix"))
     levels = []
     for d in range(1, depth + 1):
         shipped = spark.sparkContext.broadcast((sieve(states.select(F.col("context").alias("key"))), sieve(below.select("key"))))
-        grams = count_symbols(texts, shipped, d).join(states, "context")
-        joined = save(grams.join(below.withColumnsRenamed({"key": "low", "p": "q"}), "low"), "joined")
+        grams = save(count_symbols(texts, shipped, d), "grams")  # its shuffle is the largest; it ends before the joins begin
         shipped.destroy()
+        joined = save(grams.join(states, "context").join(below.withColumnsRenamed({"key": "low", "p": "q"}), "low"), "joined")
+        forget(grams)
         own = F.col("n") / F.col("total")
         judged = joined.groupBy("context", "suffix", "total").agg(F.sum(own * F.log(own / F.col("q"))).alias("apart"), F.sum(F.col("n") - DISCOUNT).alias("stored"))
         judged = save(
@@ -372,8 +380,14 @@ def score(train: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: s
     counted = tree.words.select(
         F.col("key").bitwiseXOR(F.lit(int(COUNTED.view(np.int64)))).alias("key"), F.log10((F.col("c") + ADDED) / ADDED).alias("value"), F.lit(True).alias("word"))
     lookup = counted if tree.values is None else counted.union(tree.values.select("key", "value", F.lit(False)))
-    found = local.select("row", F.explode("keys").alias("key")).join(lookup, "key").groupBy("row").agg(
-        F.sum(F.when(F.col("word"), F.col("value"))).alias("rest"), F.count_if("word").alias("seen"), F.sum(F.when(~F.col("word"), F.col("value"))).alias("gain"))
+    keys = local.select("row", F.explode("keys").alias("key"))
+    found = None
+    for i in range(PARTS):  # one after the other, so that their shuffles don't lie on the disks together
+        mine = F.pmod("key", F.lit(PARTS)) == i
+        part = save(keys.where(mine).join(lookup.where(mine), "key").groupBy("row", "word").agg(F.sum("value").alias("value"), F.count("*").alias("n")), "found")
+        found = part if found is None else found.union(part)
+    found = found.groupBy("row").agg(
+        F.sum(F.when(F.col("word"), F.col("value"))).alias("rest"), F.sum(F.when(F.col("word"), F.col("n"))).alias("seen"), F.sum(F.when(~F.col("word"), F.col("value"))).alias("gain"))
     out = local.drop("keys").join(found, "row", "left")
     base = F.col("base") + F.coalesce("rest", F.lit(0.0))
     gain = F.col("more") + F.coalesce("gain", F.lit(0.0))
