@@ -129,10 +129,22 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 def sieve(keys: DataFrame) -> np.ndarray:
-    """Bits of the leading parts of all (key): a bounded filter that passes every key of the table."""
-    at = F.shiftrightunsigned("key", 64 - SIEVE)
-    bits = keys.select(F.shiftright(at, 6).alias("w"), at.bitwiseAND(63).cast("int").alias("i")).select("w", F.expr("shiftleft(1L, i)").alias("b"))
-    rows = bits.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    """Bits of the leading parts of all (key): a bounded filter that passes every key of the table.
+
+    Keys are dealt by their first byte, so no two tasks set bits of one word.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = None
+        for batch in batches:
+            flags = np.zeros(1 << SIEVE, np.uint8) if flags is None else flags
+            flags[batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - SIEVE)] = 1
+        if flags is not None:
+            bits = np.packbits(flags, bitorder="little").view(np.int64)
+            at = np.flatnonzero(bits)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(bits[at])], names=["w", "b"])
+
+    rows = save(keys.select("key").repartition(F.shiftrightunsigned("key", 56)).mapInArrow(each, "w long, b long"), "sieve").toArrow()
     out = np.zeros(1 << (SIEVE - 6), np.int64)
     out[rows["w"].to_numpy()] = rows["b"].to_numpy()
     return out.view(np.uint64)
@@ -304,7 +316,7 @@ class Cache:
 
 def cache_of(tree: Tree) -> Cache:
     def held(df: DataFrame, value: str) -> Held:
-        table = df.groupBy("key").agg(F.sum(value).alias("value")).toArrow()
+        table = save(df.groupBy("key").agg(F.sum(value).alias("value")), "held").toArrow()
         return Held(table["key"].to_numpy(), table["value"].to_numpy())
 
     words = held(commonest(tree.words, "c", CACHED_WORDS), "c")
