@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, descent, langid, simhash, substring, suffix_lm, urls, warc
+from . import bpe, chat, decontaminate, descent, langid, repair, secrets, simhash, substring, suffix_lm, urls, vectors, warc
 from .common import save
 from .oracle import SQL as ORACLE_SQL  # noqa: F401
 
@@ -75,6 +75,23 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents"))
+    base = [r.kind for r in secrets.BASE]
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, base), F.sha2(said(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.digests(turns.select("conv_id").distinct(), repair.repair(repair.damaged(turns)))
+
+
+def op13_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_chat": op2_chat,
@@ -86,4 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm": op8_lm,
     "op9_substring": op9_substring,
     "op10_langid": op10_langid,
+    "op11_secrets": op11_secrets,
+    "op12_repair": op12_repair,
+    "op13_vectors": op13_vectors,
 }
