@@ -331,6 +331,12 @@ SQL: dict[str, str] = {
       round(traditional_score, 6) AS traditional_score, round(dl_score, 6) AS deep_learning_score, round(hybrid_score, 6) AS hybrid_score, round(traditional_score / 2, 6) AS traditional_feature_usefulness, round(ts, 6) AS traditional_blue_water_severity FROM hy JOIN own USING (path)""",
     "csv_projection": f"WITH {SCORED} SELECT split_part(path, '/', 2) AS filename, CASE WHEN error IS NULL THEN printf('%.4f', CAST(round(CAST(round(overall_score, 9) AS DECIMAL(20, 9)), 4) AS DOUBLE)) ELSE 'ERROR' END AS overall_score, usability_category, round(feature_usefulness_score, 6) AS feature_usefulness, {rounded('marine_science_value', 'blue_water_problem_severity', 'blue_water_severity', 'turbidity_score', 'visibility_score', 'rms_contrast', 'sharpness_gradient', 'edge_density', 'uciqe_score', 'uiqm_score')} FROM scored",
     "web_csv": f"WITH {SCORED} SELECT split_part(path, '/', 2) AS filename, printf('%.2f', CAST(round(CAST(round(overall_score, 9) AS DECIMAL(20, 9)), 2) AS DOUBLE)) AS overall_score, usability_category, printf('%.2f', CAST(round(CAST(round(feature_usefulness_score, 9) AS DECIMAL(20, 9)), 2) AS DOUBLE)) AS feature_usefulness, printf('%.2f', CAST(round(CAST(round(marine_science_value, 9) AS DECIMAL(20, 9)), 2) AS DOUBLE)) AS marine_science_value, printf('%.2f', CAST(round(CAST(round(blue_water_problem_severity, 9) AS DECIMAL(20, 9)), 2) AS DOUBLE)) AS blue_water_severity, printf('%.3f', CAST(round(CAST(round(visibility_score, 9) AS DECIMAL(20, 9)), 3) AS DOUBLE)) AS visibility_score FROM ok",
+    "video_scan": f"""WITH {tiles(8)}, f AS (SELECT image_id // {MOST_TILES} AS video_id, image_id % {MOST_TILES} AS frame_idx, avg(b) AS b, avg(g) AS g, avg(r) AS r FROM px GROUP BY image_id)
+      SELECT video_id, frame_idx, total_frames, round(frame_idx / 25.0, 6)::DOUBLE AS t, round(b, 6) AS blue_channel_mean, round(g, 6) AS green_channel_mean, round(r, 6) AS red_channel_mean
+      FROM (SELECT *, count(*) OVER (PARTITION BY video_id) AS total_frames FROM f) WHERE frame_idx % 2 = 0 AND frame_idx < 8""",
+    "edge_overlay": f"""WITH RECURSIVE {tiles()}, {canny('gp', 27, 'c')} SELECT p.image_id, count(e.y) AS edge_pixels, round(avg(CASE WHEN e.y IS NULL THEN b ELSE 0 END), 6) AS mean_b,
+      round(avg(CASE WHEN e.y IS NULL THEN g ELSE 255 END), 6) AS mean_g, round(avg(CASE WHEN e.y IS NULL THEN r ELSE 255 END), 6) AS mean_r
+      FROM px p LEFT JOIN cedges e ON e.image_id = p.image_id AND e.y = p.y AND e.x = p.x GROUP BY p.image_id""",
     "panel_histogram": f"WITH {tiles()}, {histogram({'b': 'b', 'g': 'g', 'r': 'r'})} SELECT image_id, channel, v, n, round(n / max(n) OVER (PARTITION BY image_id, channel), 6) AS height FROM hist",
     "panel_indicators": bars({"severity": "blue_water_severity * 100", "turbidity": "turbidity_score * 100", "temperature": f"{share('color_temperature', 3)} * 100", "dominance": "(blue_dominance + 0.5) * 100"}),
     "panel_contrast": bars({"rms": "rms_contrast * 100", "michelson": "michelson_contrast * 100", "local": f"{share('local_contrast', 50)} * 100", "gradient": f"{share('sharpness_gradient', 30)} * 100"}),

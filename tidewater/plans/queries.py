@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import colour, scores
 from ..functions.names import METRIC_NAMES
-from ..operators import assess, hybrid, labels, panels, pixels, select, stats, temporal
-from ..sources import images, sinks, tables
+from ..operators import assess, hybrid, labels, panels, pictures, pixels, select, stats, temporal
+from ..sources import images, sinks, tables, video
+from ..sources.files import shared_path
 from . import oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,6 +169,25 @@ def batch_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("batches", F.round("value", 6).alias("value"))
 
 
+def video_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Videos of tiles, one of each supplier, written as files and read again: every second frame, four of each."""
+    whole = tile_images(spark, sf_dir, side=8)
+    key = F.col("path").cast("long")
+    path = shared_path(spark, "videos")
+    video.write_clips(whole.select(F.floor(key / tables.MOST_TILES).alias("video_id"), (key % tables.MOST_TILES).alias("frame_idx"), "height", "width", "data"), path, fps=25.0)
+    seen = video.read_clips(spark, path, every=2, max_frames=4)
+    found = assess.measure(seen, ["blue_channel_mean", "green_channel_mean", "red_channel_mean"])
+    return found.select(F.col("video_id").cast("long").alias("video_id"), "frame_idx", "total_frames", *r6("t", "blue_channel_mean", "green_channel_mean", "red_channel_mean"))
+
+
+def edge_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pictures with yellow edges show: their mean colours, and the pixels of the edge maps."""
+    whole = tile_images(spark, sf_dir)
+    shown = images.to_pixels(pictures.overlays(whole)).groupBy("image_id").agg(*[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in "bgr"])
+    edges = pictures.edge_maps(whole).select(F.col("path").alias("image_id"), F.length(F.replace(F.hex("data"), F.lit("00"), F.lit(""))).alias("n"))
+    return shown.join(edges, "image_id").select(F.col("image_id").cast("long").alias("image_id"), (F.col("n") / 2).cast("long").alias("edge_pixels"), "mean_b", "mean_g", "mean_r")
+
+
 def temporal_query(fn: Callable[[DataFrame], DataFrame], *names: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = fn(frames(spark, sf_dir))
@@ -317,6 +337,8 @@ QUERIES: dict[str, Query] = {
     "temporal_metrics": temporal_query(temporal.temporal_metrics),
     "temporal_diffs": temporal_query(temporal.with_diffs, "frame_idx", "quality_diff", "blue_water_diff", "visibility_diff"),
     "video_summary": temporal_query(temporal.video_summary),
+    "video_scan": video_scan,
+    "edge_overlay": edge_overlay,
     "best_frames": temporal_query(lambda f: temporal.best_frames(f, 10).withColumn("name", temporal.frame_name()), "frame_idx", "rank", "overall_score", "name"),
     "timeline": temporal_query(temporal.timeline),
     "frame_sampling": frame_sampling,
