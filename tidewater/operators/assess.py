@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules, scores
@@ -117,9 +117,21 @@ def measure(images: DataFrame, metrics: Sequence[str] = METRIC_NAMES, **options)
     return found.select(*rest, *[n for n in closure(list(metrics))], "custom", "error")
 
 
+def fixed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with columns that are worked out once for each row, whatever filters or sorts by them later.
+
+    A filter moves below plain columns and brings their whole expressions with it, each as often as
+    another needs it; it stays above columns that are generated.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    made = df.withColumns(columns).select(*kept, F.inline(F.array(F.struct(*columns))))
+    return made.select(*df.columns, *[c for c in columns if c not in df.columns])
+
+
 def with_scores(metrics: DataFrame) -> DataFrame:
-    """Add the composite scores, the category and the texts to metric columns."""
+    """Add the composite scores, the category and the texts to metric columns; the scores and derived metrics are fixed."""
     found = metrics.withColumns({"overall_score": scores.overall_score(), "blue_water_problem_severity": scores.blue_water_problem_severity()})
+    found = fixed(found, {c: F.col(c) for c in (*DERIVED, "overall_score", "blue_water_problem_severity") if c in found.columns})
     whole = F.col("overall_score").isNotNull()
     return found.withColumns({
         "usability_category": scores.usability_category(),

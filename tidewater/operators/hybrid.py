@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from .stats import correlation
+from .stats import correlation, spread
 
 
 def blended(own: DataFrame, model: DataFrame, on: str = "path", weight: float = 0.6, score: str = "overall_score", severity: str = "blue_water_problem_severity") -> DataFrame:
@@ -24,10 +24,9 @@ def blended(own: DataFrame, model: DataFrame, on: str = "path", weight: float =
 
 def hybrid_stats(rows: DataFrame) -> DataFrame:
     """Mean, median and population deviation of the three methods."""
-    parts = []
-    for c in ("traditional_score", "dl_score", "hybrid_score"):
-        parts += [F.avg(c).alias(f"{c}_mean"), F.median(c).alias(f"{c}_median"), F.stddev_pop(c).alias(f"{c}_std")]
-    return rows.agg(F.count("*").alias("n"), *parts)
+    methods = ("traditional_score", "dl_score", "hybrid_score")
+    found = spread(rows, methods)
+    return found.select("n", *[f"{c}_{what}" for c in methods for what in ("mean", "median", "std")])
 
 
 def method_correlation(rows: DataFrame) -> DataFrame:

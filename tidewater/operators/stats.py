@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_path
+from .quantiles import with_medians
+
 
 def distribution(results: DataFrame, category: str = "usability_category", by: Sequence[str] = ()) -> DataFrame:
     """(by..., category, n, percentage): count and share of each category that occurs."""
@@ -41,11 +43,18 @@ def summary(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def spread(results: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Mean, median, population deviation, least and largest value of columns."""
-    parts = []
-    for c in columns:
-        parts += [F.avg(c).alias(f"{c}_mean"), F.median(c).alias(f"{c}_median"), F.stddev_pop(c).alias(f"{c}_std"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
-    return results.groupBy(*by).agg(F.count("*").alias("n"), *parts)
+    """Mean, median, population deviation, least and largest value of columns.
+
+    Without ``by`` medians of many values are found by histograms (``quantiles``), for which the columns are written once;
+    with it, the distinct values of one group meet in one task.
+    """
+    parts = lambda median: [x for c in columns for x in (F.avg(c).alias(f"{c}_mean"), *median(c), F.stddev_pop(c).alias(f"{c}_std"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"))]
+    if by:
+        return results.groupBy(*by).agg(F.count("*").alias("n"), *parts(lambda c: [F.median(c).alias(f"{c}_median")]))
+    rows = written(results.select(*[F.col(c).cast("double").alias(c) for c in columns]), "spread")
+    told = rows.agg(F.count("*").alias("n"), *parts(lambda c: []), *[F.count(c).alias(f"{c}_count") for c in columns])
+    found = with_medians(rows, columns, told, {c: f"{c}_count" for c in columns}, {c: f"{c}_median" for c in columns})
+    return found.select("n", *[f"{c}_{what}" for c in columns for what in ("mean", "median", "std", "min", "max")])
 
 
 def top(results: DataFrame, n: int = 10, score: str = "overall_score", tie: str = "path") -> DataFrame:
@@ -81,12 +90,14 @@ def correlation(a: str, b: str) -> Column:
 def ranking(results: DataFrame, score: str = "overall_score", tie: str = "path") -> DataFrame:
     """Successful rows (a score above zero) with their rank from 1, best first; equal rows are ranked in any order.
 
-    Rows are sorted in ranges of scores and written to the checkpoint folder once, so that the places in a range and the
-    number of rows in the ranges before it come from the same ranges.  No task sees all rows.
+    The rows are written once, in the order that they come in; only their scores and ties are sorted, in ranges, and
+    written so that the places in a range and the number of rows in the ranges before it come from
+    the same ranges.  No task sees all rows.
     """
-    place = fresh(results, "place")
-    rows = results.where(F.col(score) > 0).repartitionByRange(F.desc(score), F.asc(tie)).sortWithinPartitions(F.desc(score), F.asc(tie))
-    dealt = checkpointed(rows.withColumn(place, F.monotonically_increasing_id()))
+    row, place = fresh(results, "row"), fresh(results, "place")
+    rows = written(results.where(F.col(score) > 0).withColumn(row, F.monotonically_increasing_id()), "ranked")
+    best = (F.desc(score), F.asc(tie))
+    dealt = written(rows.select(row, score, tie).repartitionByRange(*best).sortWithinPartitions(*best).select(row, F.monotonically_increasing_id().alias(place)), "places")
     part = F.shiftright(place, 33)
     counts = {r["part"]: r["n"] for r in dealt.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # a row for each range
     ahead, before = {}, 0
@@ -94,9 +105,10 @@ def ranking(results: DataFrame, score: str = "overall_score", tie: str = "path")
         ahead[p] = before
         before += counts[p]
     if not ahead:
-        return dealt.withColumn("rank", F.lit(0).cast("long")).drop(place)
+        return rows.withColumn("rank", F.lit(0).cast("long")).drop(row)
     offset = F.create_map(*[F.lit(x).cast("long") for p in ahead for x in (p, ahead[p])])
-    return dealt.withColumn("rank", F.col(place).bitwiseAND(F.lit((1 << 33) - 1)) + 1 + offset[part]).drop(place)
+    ranks = dealt.select(row, (F.col(place).bitwiseAND(F.lit((1 << 33) - 1)) + 1 + offset[part]).alias("rank"))
+    return rows.join(ranks, row).drop(row)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -106,26 +118,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df``, written to the checkpoint folder that driver and executors share.
-
-    Where none is set, a temporary one is, in local sessions only.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewater-checkpoint-"))
-    return df.checkpoint()
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written as a table in the folder that driver and executors share and read again."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def web_summary(results: DataFrame, score: str = "overall_score") -> DataFrame:
-    """Counts and spread of the rows with a score above zero."""
-    x = F.when(F.col(score) > 0, F.col(score))
-    return results.agg(
-        F.count("*").alias("total"), F.count(x).alias("successful"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.min(x).alias("least"), F.max(x).alias("largest"), F.stddev_pop(x).alias("std"),
-    )
+    """Counts and spread of the rows with a score above zero; the scores are written once."""
+    rows = written(results.select(F.when(F.col(score) > 0, F.col(score).cast("double")).alias("x")), "scores")
+    told = rows.agg(F.count("*").alias("total"), F.count("x").alias("successful"), F.avg("x").alias("mean"), F.min("x").alias("least"), F.max("x").alias("largest"), F.stddev_pop("x").alias("std"))
+    return with_medians(rows, ["x"], told, {"x": "successful"}, {"x": "median"}).select("total", "successful", "mean", "median", "least", "largest", "std")
 
 
 def batch_means(rows: DataFrame, batch: str, columns: Sequence[str]) -> DataFrame:

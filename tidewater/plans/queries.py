@@ -155,7 +155,7 @@ def ranked(which: Callable[..., DataFrame]) -> Query:
 
 
 def ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.ranking(scored(spark, sf_dir)).select("path", F.round("overall_score", 6).alias("overall_score"), "rank")
+    return stats.ranking(scored(spark, sf_dir).select("path", "overall_score")).select("path", F.round("overall_score", 6).alias("overall_score"), "rank")
 
 
 def web_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
