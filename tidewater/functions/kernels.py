@@ -49,10 +49,14 @@ def box_mean(x: np.ndarray, size: int) -> np.ndarray:
     return (total[size:, size:] - total[:-size, size:] - total[size:, :-size] + total[:-size, :-size]) / (size * size)
 
 
-def box_std(grey: np.ndarray, size: int) -> float:
+def box_stds(grey: np.ndarray, size: int) -> np.ndarray:
     x = grey.astype(float)
     mean = box_mean(x, size)
-    return float(np.sqrt(np.maximum(box_mean(x * x, size) - mean * mean, 0)).mean())
+    return np.sqrt(np.maximum(box_mean(x * x, size) - mean * mean, 0))
+
+
+def box_std(grey: np.ndarray, size: int) -> float:
+    return float(box_stds(grey, size).mean())
 
 
 def sobel(grey: np.ndarray, edge: str = "reflect") -> tuple[np.ndarray, np.ndarray]:
@@ -63,9 +67,13 @@ def sobel(grey: np.ndarray, edge: str = "reflect") -> tuple[np.ndarray, np.ndarr
     return across[:-2] + 2 * across[1:-1] + across[2:], down[:, :-2] + 2 * down[:, 1:-1] + down[:, 2:]
 
 
-def laplacian_variance(grey: np.ndarray) -> float:
+def laplacian(grey: np.ndarray) -> np.ndarray:
     x = mirror(grey.astype(np.int16), 1)
-    return float((x[:-2, 1:-1] + x[2:, 1:-1] + x[1:-1, :-2] + x[1:-1, 2:] - 4 * x[1:-1, 1:-1]).var(dtype=float))
+    return x[:-2, 1:-1] + x[2:, 1:-1] + x[1:-1, :-2] + x[1:-1, 2:] - 4 * x[1:-1, 1:-1]
+
+
+def laplacian_variance(grey: np.ndarray) -> float:
+    return float(laplacian(grey).var(dtype=float))
 
 
 def blur_estimate(grey: np.ndarray) -> float:
@@ -76,8 +84,8 @@ def blur_estimate(grey: np.ndarray) -> float:
     return float(np.tanh(size[low].sum() / (size[~low].sum() + EPS) / 100))
 
 
-def canny(grey: np.ndarray, low: int = 50, high: int = 150) -> np.ndarray:
-    """Edge mask: Sobel with repeated edges, sums of absolute values, thinning, 8-connected hysteresis."""
+def thin_edges(grey: np.ndarray, low: int = 50, high: int = 150) -> tuple[np.ndarray, np.ndarray]:
+    """Masks of weak and of strong edges: Sobel with repeated edges, sums of absolute values, thinning."""
     dx, dy = sobel(grey, "edge")
     size = np.abs(dx) + np.abs(dy)
     pad = np.pad(size, 1)
@@ -89,8 +97,12 @@ def canny(grey: np.ndarray, low: int = 50, high: int = 150) -> np.ndarray:
     slant = np.where(falls, (size > at(-1, 1)) & (size > at(1, -1)), (size > at(-1, -1)) & (size > at(1, 1)))
     thin = np.where(flat, (size > at(0, -1)) & (size >= at(0, 1)), np.where(steep, (size > at(-1, 0)) & (size >= at(1, 0)), slant))
     weak = thin & (size > low)
-    edges = np.pad(weak & (size > high), 1)
-    weak = np.pad(weak, 1)
+    return weak, weak & (size > high)
+
+
+def canny(grey: np.ndarray, low: int = 50, high: int = 150) -> np.ndarray:
+    """Edge mask: the weak edges that strong ones reach, 8-connected."""
+    weak, edges = (np.pad(mask, 1) for mask in thin_edges(grey, low, high))
     fresh, width = np.flatnonzero(edges), edges.shape[1]
     flat_edges, waiting = edges.ravel(), (weak & ~edges).ravel()
     while len(fresh):
@@ -117,8 +129,8 @@ def gaussian_blur(grey: np.ndarray, sigma: float) -> np.ndarray:
     return np.clip(np.rint(padded), 0, 255).astype(np.uint8)
 
 
-def corner_density(grey: np.ndarray) -> float:
-    """Share of pixels whose Harris response (2x2 sums, k = 0.04) exceeds a hundredth of the largest."""
+def harris(grey: np.ndarray) -> np.ndarray:
+    """The Harris response (2x2 sums, k = 0.04)."""
     dx, dy = (d.astype(float) for d in sobel(grey))
 
     def box(p: np.ndarray) -> np.ndarray:
@@ -126,15 +138,20 @@ def corner_density(grey: np.ndarray) -> float:
         return q[:-1, :-1] + q[:-1, 1:] + q[1:, :-1] + q[1:, 1:]
 
     a, b, d = box(dx * dx), box(dx * dy), box(dy * dy)
-    response = a * d - b * b - 0.04 * (a + d) ** 2
+    return a * d - b * b - 0.04 * (a + d) ** 2
+
+
+def corner_density(grey: np.ndarray) -> float:
+    """Share of pixels whose Harris response exceeds a hundredth of the largest."""
+    response = harris(grey)
     return float((response > 0.01 * response.max()).mean())
 
 
-def keypoints(grey: np.ndarray, threshold: int = 20) -> int:
-    """Number of FAST corners: 9 of 16 in a row all brighter or all darker, strongest of their neighbours."""
+def keypoints(grey: np.ndarray, threshold: int = 20) -> np.ndarray:
+    """FAST corners, without the outer three rows and columns: 9 of 16 in a row all brighter or all darker, strongest of their neighbours."""
     h, w = grey.shape
     if h < 7 or w < 7:
-        return 0
+        return np.zeros((max(h - 6, 0), max(w - 6, 0)), bool)
     x = grey.astype(np.int16)
     score = np.empty((h - 6, w - 6), np.int16)
     for start in range(3, h - 3, BAND // 2):
@@ -155,7 +172,7 @@ def keypoints(grey: np.ndarray, threshold: int = 20) -> int:
         for j in range(3):
             if (i, j) != (1, 1):
                 best &= score > pad[i : i + score.shape[0], j : j + score.shape[1]]
-    return int(best.sum())
+    return best
 
 
 def blocks(x: np.ndarray, size: int, fill: float) -> np.ndarray:
@@ -165,13 +182,19 @@ def blocks(x: np.ndarray, size: int, fill: float) -> np.ndarray:
     return x.reshape(x.shape[0] // size, size, x.shape[1] // size, size).swapaxes(1, 2)
 
 
-def eme(x: np.ndarray, size: int = 8) -> float:
-    """Mean log ratio of the largest to the least value of blocks without zeros."""
+def eme_parts(x: np.ndarray, size: int = 8) -> tuple[float, int]:
+    """Sum of the log ratios of the largest to the least value of blocks without zeros, and the number of these."""
     starts = [np.arange(0, n, size) for n in x.shape]
     top = np.maximum.reduceat(np.maximum.reduceat(x, starts[0], axis=0), starts[1], axis=1)
     low = np.minimum.reduceat(np.minimum.reduceat(x, starts[0], axis=0), starts[1], axis=1)
     some = low > 0
-    return float(np.log(top[some] / low[some] + EPS).sum() / (some.sum() + EPS))
+    return float(np.log(top[some] / low[some] + EPS).sum()), int(some.sum())
+
+
+def eme(x: np.ndarray, size: int = 8) -> float:
+    """Mean log ratio of the largest to the least value of blocks without zeros."""
+    total, n = eme_parts(x, size)
+    return total / (n + EPS)
 
 
 def laplacian_of_gaussian(x: np.ndarray) -> np.ndarray:
@@ -184,11 +207,10 @@ def laplacian_of_gaussian(x: np.ndarray) -> np.ndarray:
     return along(along(pad, bend, 0), smooth, 1) + along(along(pad, smooth, 0), bend, 1)
 
 
-def weber_contrast(grey: np.ndarray, size: int = 32) -> float:
-    """Centre against surround of the patches that end before the last row and column."""
-    rows, cols = max(0, (grey.shape[0] - 1) // size), max(0, (grey.shape[1] - 1) // size)
+def weber_parts(grey: np.ndarray, rows: int, cols: int, size: int = 32) -> tuple[float, int]:
+    """Sum of the contrasts of centre and surround over so many rows and columns of patches, and the number of those that count."""
     if not rows or not cols:
-        return 0.0
+        return 0.0, 0
     patch = blocks(grey[: rows * size, : cols * size].astype(float), size, 0)
     lo, hi = size // 4, 3 * size // 4
     centre = patch[:, :, lo:hi, lo:hi].mean(axis=(2, 3))
@@ -197,7 +219,13 @@ def weber_contrast(grey: np.ndarray, size: int = 32) -> float:
     n = (rest > 0).sum(axis=(2, 3))
     around = np.where(n > 0, rest.sum(axis=(2, 3)) / np.maximum(n, 1), centre)
     some = around > 1
-    return float((np.abs(centre - around)[some] / around[some]).mean()) if some.any() else 0.0
+    return float((np.abs(centre - around)[some] / around[some]).sum()), int(some.sum())
+
+
+def weber_contrast(grey: np.ndarray, size: int = 32) -> float:
+    """Centre against surround of the patches that end before the last row and column."""
+    total, n = weber_parts(grey, max(0, (grey.shape[0] - 1) // size), max(0, (grey.shape[1] - 1) // size), size)
+    return total / n if n else 0.0
 
 
 def entropy(histogram: np.ndarray) -> float:
@@ -281,7 +309,7 @@ KERNELS: dict[str, Callable[[Image], float]] = {
     "edge_density": lambda m: float(canny(m.grey).mean()),
     "multi_scale_edge_density": lambda m: float(np.mean([canny(gaussian_blur(m.grey, s)).mean() for s in (1.0, 2.0, 4.0)])),
     "corner_density": lambda m: corner_density(m.grey),
-    "keypoint_density": lambda m: keypoints(m.grey) / m.area * 1000,
+    "keypoint_density": lambda m: int(keypoints(m.grey).sum()) / m.area * 1000,
     "texture_complexity": lambda m: box_std(m.grey, 9),
     "uciqe_score": Image.uciqe,
     "uiqm_score": Image.uiqm,
