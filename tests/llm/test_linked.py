@@ -60,3 +60,21 @@ def test_forest_is_components():
             want = [x if v == y else v for v in want]
         i, j = (np.array([e[k] for e in edges], np.int64) for k in (0, 1))
         assert common.forest(n, i, j).tolist() == want
+
+
+def test_forest_equals_union_find():
+    for seed in range(300):
+        rng = np.random.default_rng(seed)
+        n = int(rng.integers(2, 400))
+        i, j = rng.integers(0, n, (2, int(rng.integers(1, 2 * n))))
+        root = list(range(n))
+
+        def top(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            lo, hi = sorted((top(a), top(b)))
+            root[hi] = lo
+        assert common.forest(n, i, j).tolist() == [top(x) for x in range(n)], seed

@@ -269,11 +269,10 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         low = np.minimum(label[i], label[j])
         np.minimum.at(label, label[i], low)
         np.minimum.at(label, label[j], low)
-        label = label[label]
+        while (label != label[label]).any():  # all the way: a place that isn't a root must not be tied anew
+            label = label[label]
         differ = label[i] != label[j]
         i, j = i[differ], j[differ]
-    while (label != label[label]).any():
-        label = label[label]
     return label
 
 

@@ -251,8 +251,8 @@ def repeated_spans(
     clustered by components; the least doc_id of a
     cluster keeps its paragraphs, in any other document they count as repeated.  So does every word of a run of GRAM
     words that stands in a lesser document, where two documents share a passage of ``least_run`` words, whatever its lines.
-    A run of adjoining repeated words is reported if it has ``least_run`` words or more,
-    so that common short lines stay.  kept_doc_id is the least document that keeps a part of the
+    A run of adjoining repeated words is reported if it has ``least_run`` words or more; of shorter
+    ones the similar paragraphs are, so that only lines of fewer than LEAST_WORDS words, and short passages inside other lines, stay.  kept_doc_id is the least document that keeps a part of the
     run, component_id the least cluster of similar paragraphs in it, null if it has none.  Null ids and texts are left out; a document is never compared with
     itself; repeated rows are reported once, several texts of one id each by its tk.  Texts are compared without regard to A-Z's case and white space.
     """
@@ -270,13 +270,21 @@ def repeated_spans(
 
 
 def runs_of(hit: DataFrame, least_run: int) -> DataFrame:
-    """Runs of adjoining or overlapping stretches of a text."""
+    """Runs of adjoining or overlapping stretches of a text: those of ``least_run`` words or more, and of others what is similar paragraphs."""
+    long = (F.col("upto") - F.col("from") >= least_run) | F.col("class").isNotNull()
+    out = in_runs(in_runs(hit).where(long).drop("run", "from", "upto"))
+    runs = out.groupBy("doc_id", "tk", "run").agg(F.min("at").alias("at"), (F.max("end") - F.min("at")).alias("n"), F.min("keep").alias("kept_doc_id"), F.min("class").alias("component_id"))
+    return runs.select("doc_id", "tk", "at", "n", "kept_doc_id", "component_id")
+
+
+def in_runs(hit: DataFrame) -> DataFrame:
+    """The stretches with the number (run) and the words (from, upto) of the run that each is in."""
     w = Window.partitionBy("doc_id", "tk").orderBy("at", "end", "keep", "class")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = hit.withColumn("new", (F.coalesce(before, F.lit(-1)) < F.col("at")).cast("int"))
-    runs = marked.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = runs.groupBy("doc_id", "tk", "run").agg(F.min("at").alias("at"), (F.max("end") - F.min("at")).alias("n"), F.min("keep").alias("kept_doc_id"), F.min("class").alias("component_id"))
-    return out.where(F.col("n") >= least_run).select("doc_id", "tk", "at", "n", "kept_doc_id", "component_id")
+    runs = marked.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+    one = Window.partitionBy("doc_id", "tk", "run")
+    return runs.withColumns({"from": F.min("at").over(one), "upto": F.max("end").over(one)})
 
 
 def removed(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
