@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from ..functions.names import METRIC_NAMES
 from ..sources.tables import LINE_ORDER, METRIC_COLUMNS, MOST_TILES
 
 EPS = "1e-6"
@@ -18,8 +19,8 @@ def tiles(side: int = 27, suppliers: int = 1) -> str:
     wholes AS (SELECT image_id, count(*) AS whole FROM numbered GROUP BY image_id),
     shown AS (SELECT image_id, n, l_partkey % 256 AS b, l_orderkey * 7 % 256 AS g, l_quantity * 5 AS r FROM placed UNION ALL
       SELECT image_id, unnest(range(whole, CAST(ceil(whole / {side * side}.0) AS BIGINT) * {side * side})), 0, 0, 0 FROM wholes),
-    px AS (SELECT image_id * {MOST_TILES} + n // {side * side} AS image_id, CAST(n % {side * side} // {side} AS INTEGER) AS y, CAST(n % {side} AS INTEGER) AS x, CAST(b AS INTEGER) AS b, CAST(g AS INTEGER) AS g, CAST(r AS INTEGER) AS r FROM shown),
-    gp AS (SELECT image_id, y, x, {GREY} AS v FROM px)"""
+    px AS MATERIALIZED (SELECT image_id * {MOST_TILES} + n // {side * side} AS image_id, CAST(n % {side * side} // {side} AS INTEGER) AS y, CAST(n % {side} AS INTEGER) AS x, CAST(b AS INTEGER) AS b, CAST(g AS INTEGER) AS g, CAST(r AS INTEGER) AS r FROM shown),
+    gp AS MATERIALIZED (SELECT image_id, y, x, {GREY} AS v FROM px)"""
 
 
 GREY_TILES = """cells AS (SELECT vec_id AS image_id, generate_subscripts(embedding, 1) - 1 AS p, unnest(embedding) AS e FROM embeddings),
@@ -35,8 +36,18 @@ def around(name: str, of: str, taps: list[tuple[int, int, float]], side: int, ru
         "edge": lambda t: f"least({last}, greatest(0, {t}))",
     }[rule]
     rows = ", ".join(f"({dy}, {dx}, {w!r}::DOUBLE)" for dy, dx, w in taps)
-    return f"""{name} AS (SELECT p.image_id, p.y, p.x, {columns} FROM {of} p, (VALUES {rows}) AS k(dy, dx, w), {of} q
-      WHERE q.image_id = p.image_id AND q.y = {fold('p.y + k.dy')} AND q.x = {fold('p.x + k.dx')} GROUP BY p.image_id, p.y, p.x)"""
+    return f"""{name}_to AS MATERIALIZED (SELECT p.image_id, p.y, p.x, {fold('p.y + k.dy')} AS ty, {fold('p.x + k.dx')} AS tx, k.w FROM {of} p, (VALUES {rows}) AS k(dy, dx, w)),
+    {name} AS MATERIALIZED (SELECT k.image_id, k.y, k.x, {columns} FROM {name}_to k JOIN {of} q ON q.image_id = k.image_id AND q.y = k.ty AND q.x = k.tx GROUP BY k.image_id, k.y, k.x)"""
+
+
+def box_std(name: str, of: str, size: int, side: int) -> str:
+    """CTEs that end in {name} (image_id, v): the mean deviation in boxes, by sums in window frames along rows and then columns of mirrored images."""
+    half, last = size // 2, side - 1
+    fold = f"CASE WHEN e < 0 THEN -e WHEN e > {last} THEN {2 * last} - e ELSE e END"
+    return f"""{name}m AS (SELECT e, {fold} AS s FROM range({-half}, {side + half}) t(e)),
+    {name}x AS (SELECT image_id, y, e AS x, sum(v) OVER w AS v, sum(v * v) OVER w AS q FROM {of} JOIN {name}m ON s = x WINDOW w AS (PARTITION BY image_id, y ORDER BY e ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING)),
+    {name}y AS (SELECT image_id, e AS y, x, sum(v) OVER w / {size * size}.0::DOUBLE AS m, sum(q) OVER w / {size * size}.0::DOUBLE AS q FROM {name}x JOIN {name}m ON s = y WHERE x BETWEEN 0 AND {last} WINDOW w AS (PARTITION BY image_id, x ORDER BY e ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING)),
+    {name} AS (SELECT image_id, avg(sqrt(greatest(q - m * m, 0))) AS v FROM {name}y WHERE y BETWEEN 0 AND {last} GROUP BY image_id)"""
 
 
 SOBEL_X = [(i, j, float(j * (2 - abs(i)))) for i in (-1, 0, 1) for j in (-1, 1)]
@@ -52,18 +63,19 @@ def gradient(of: str, side: int, rule: str, name: str = "sob") -> str:
 def canny(of: str, side: int, name: str) -> str:
     """CTEs that end in {name}edges (image_id, y, x)."""
     near = {(i, j): f"n{i + 1}{j + 1}" for i in (-1, 0, 1) for j in (-1, 0, 1)}
-    pivot = ", ".join(f"coalesce(max(CASE WHEN q.y = p.y + {i} AND q.x = p.x + {j} THEN q.s END), 0) AS {n}" for (i, j), n in near.items())
+    pivot = ", ".join(f"coalesce(max(CASE WHEN k.i = {i} AND k.j = {j} THEN q.s END), 0) AS {n}" for (i, j), n in near.items())
+    steps = f"(VALUES {', '.join(map(str, near))}) AS k(i, j)"
     return f"""{gradient(of, side, 'edge', name)},
-    {name}mag AS (SELECT *, abs(dx) + abs(dy) AS s FROM {name}),
-    {name}nb AS (SELECT p.image_id, p.y, p.x, any_value(p.dx) AS dx, any_value(p.dy) AS dy, any_value(p.s) AS s, {pivot} FROM {name}mag p JOIN {name}mag q
-      ON q.image_id = p.image_id AND q.y BETWEEN p.y - 1 AND p.y + 1 AND q.x BETWEEN p.x - 1 AND p.x + 1 GROUP BY p.image_id, p.y, p.x),
-    {name}thin AS (SELECT image_id, y, x, s FROM {name}nb WHERE s > 50 AND CASE
+    {name}mag AS MATERIALIZED (SELECT *, abs(dx) + abs(dy) AS s FROM {name}),
+    {name}to AS MATERIALIZED (SELECT p.*, k.i, k.j, p.y + k.i AS ty, p.x + k.j AS tx FROM {name}mag p, {steps}),
+    {name}nb AS (SELECT k.image_id, k.y, k.x, any_value(k.dx) AS dx, any_value(k.dy) AS dy, any_value(k.s) AS s, {pivot} FROM {name}to k JOIN {name}mag q ON q.image_id = k.image_id AND q.y = k.ty AND q.x = k.tx GROUP BY k.image_id, k.y, k.x),
+    {name}thin AS MATERIALIZED (SELECT image_id, y, x, s FROM {name}nb WHERE s > 50 AND CASE
       WHEN abs(dy) * 32768 < abs(dx) * 13573 THEN s > n10 AND s >= n12
       WHEN abs(dy) * 32768 > abs(dx) * 13573 + abs(dx) * 65536 THEN s > n01 AND s >= n21
       WHEN (dx < 0) <> (dy < 0) THEN s > n02 AND s > n20
       ELSE s > n00 AND s > n22 END),
     {name}edges AS (SELECT image_id, y, x FROM {name}thin WHERE s > 150 UNION
-      SELECT t.image_id, t.y, t.x FROM {name}edges e JOIN {name}thin t ON t.image_id = e.image_id AND abs(t.y - e.y) <= 1 AND abs(t.x - e.x) <= 1)"""
+      SELECT t.image_id, t.y, t.x FROM {name}edges e, {steps}, {name}thin t WHERE t.image_id = e.image_id AND t.y = e.y + k.i AND t.x = e.x + k.j)"""
 
 
 def blurred(name: str, sigma: float, side: int) -> str:
@@ -126,8 +138,7 @@ def _metric(name: str, m: int, k: int, d: float, o: float) -> str:
     return f"CASE WHEN o_orderkey % 97 <> 0 THEN (o_orderkey * {m} % {k}) / {d}::DOUBLE + {o}::DOUBLE END AS {name}"
 
 
-SCORED = f"""base AS (SELECT 's' || (o_custkey % 9) || '/img' || o_orderkey || '.png' AS path, CASE WHEN o_orderkey % 97 = 0 THEN 'failed' END AS error, {', '.join(_metric(*c) for c in METRIC_COLUMNS)} FROM orders),
-    d1 AS (SELECT *, (blue_channel_mean - red_channel_mean) / 255 AS blue_dominance, (green_channel_mean - red_channel_mean) / 255 AS green_dominance, blue_channel_mean / (green_channel_mean + {EPS}) AS blue_green_ratio,
+SCORES = f"""d1 AS (SELECT *, (blue_channel_mean - red_channel_mean) / 255 AS blue_dominance, (green_channel_mean - red_channel_mean) / 255 AS green_dominance, blue_channel_mean / (green_channel_mean + {EPS}) AS blue_green_ratio,
       (blue_channel_mean + green_channel_mean) / (red_channel_mean + {EPS}) AS color_temperature FROM base),
     d2 AS (SELECT *, CASE WHEN error IS NULL THEN {clip('blue_dominance + 0.5 * green_dominance')} END AS blue_water_severity,
       CASE WHEN error IS NULL THEN 0.4 * {share('rms_contrast', 0.5)} + 0.4 * {share('sharpness_gradient', 30)} + 0.2 * {share('edge_density', 0.2)} END AS visibility_score FROM d1),
@@ -138,6 +149,8 @@ SCORED = f"""base AS (SELECT 's' || (o_custkey % 9) || '/img' || o_orderkey || '
       CASE WHEN error IS NULL THEN 5 * blue_water_severity + 3 * turbidity_score + 2 * (1 - {share('rms_contrast', 0.5)}) END AS blue_water_problem_severity FROM d4),
     scored AS (SELECT *, CASE WHEN overall_score >= 80 THEN 'Excellent' WHEN overall_score >= 60 THEN 'Good' WHEN overall_score >= 40 THEN 'Fair' WHEN overall_score >= 20 THEN 'Poor' WHEN overall_score IS NOT NULL THEN 'Unusable' END AS usability_category FROM d5),
     ok AS (SELECT * FROM scored WHERE error IS NULL)"""
+SCORED = f"""base AS (SELECT 's' || (o_custkey % 9) || '/img' || o_orderkey || '.png' AS path, CASE WHEN o_orderkey % 97 = 0 THEN 'failed' END AS error, {', '.join(_metric(*c) for c in METRIC_COLUMNS)} FROM orders),
+    {SCORES}"""
 
 FRAMES = """fr AS (SELECT user_id AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS frame_idx, least(100.0::DOUBLE, value) AS score, 10 - least(100.0::DOUBLE, value) / 10 AS severity, least(100.0::DOUBLE, value) / 200 + 0.25 AS visibility FROM events),
     df AS (SELECT *, abs(score - lag(score) OVER w) AS qd, abs(severity - lag(severity) OVER w) AS bd, abs(visibility - lag(visibility) OVER w) AS vd FROM fr WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx))"""
@@ -188,8 +201,15 @@ RING = [(-3, 0), (-3, 1), (-2, 2), (-1, 3), (0, 3), (1, 3), (2, 2), (3, 1), (3,
 _GAUSS = [math.exp(-(i * i) / 2) for i in range(-4, 5)]
 _GAUSS = [g / math.fsum(_GAUSS) for g in _GAUSS]
 _BEND = [(i * i - 1) * g for i, g in zip(range(-4, 5), _GAUSS, strict=True)]
-LOG = [(i, j, _BEND[i + 4] * _GAUSS[j + 4] + _GAUSS[i + 4] * _BEND[j + 4]) for i in range(-4, 5) for j in range(-4, 5)]
-BOX = lambda n: [(i, j, 1.0) for i in range(-(n // 2), n // 2 + 1) for j in range(-(n // 2), n // 2 + 1)]
+
+
+def log_of(name: str, of: str, side: int) -> str:
+    """CTEs that end in {name} (image_id, y, x, v): the size of the Laplacian of Gaussian, as two pairs of passes."""
+    down, across = (lambda taps: [(i, 0, w) for i, w in zip(range(-4, 5), taps, strict=True)]), (lambda taps: [(0, i, w) for i, w in zip(range(-4, 5), taps, strict=True)])
+    parts = [around(f"{name}{k}{n}", of if n == 0 else f"{name}{k}0", taps, side, "symmetric") for k, pair in enumerate(((down(_BEND), across(_GAUSS)), (across(_BEND), down(_GAUSS)))) for n, taps in enumerate(pair)]
+    return ", ".join([*parts, f"{name} AS (SELECT a.image_id, a.y, a.x, abs(a.v + b.v) AS v FROM {name}01 a JOIN {name}11 b USING (image_id, y, x))"])
+
+
 ENTROPY = "sum(-p * log2(p))"
 CAST_OUT = f"""round(avg(b), 6) AS blue_channel_mean, round(avg(g), 6) AS green_channel_mean, round(avg(r), 6) AS red_channel_mean, round((avg(b) - avg(r)) / 255, 6) AS blue_dominance, round((avg(g) - avg(r)) / 255, 6) AS green_dominance,
     round(avg(b) / (avg(g) + {EPS}), 6) AS blue_green_ratio, round({clip('(avg(b) - avg(r)) / 255 + 0.5 * ((avg(g) - avg(r)) / 255)')}, 6) AS blue_water_severity, round((avg(b) + avg(g)) / (avg(r) + {EPS}), 6) AS color_temperature,
@@ -220,6 +240,20 @@ def edge_share(name: str, side: int = 27) -> str:
     return f"SELECT image_id, count({name}edges.y) / {side * side}.0::DOUBLE AS d FROM (SELECT DISTINCT image_id FROM px) t LEFT JOIN {name}edges USING (image_id) GROUP BY image_id"
 
 
+RECOMMENDATIONS = texts([
+    ("blue_water_severity > 0.7", "Severe blue cast: correct the white balance and restore the red channel"), ("blue_water_severity > 0.5 AND blue_water_severity <= 0.7", "Moderate blue-green cast: apply colour correction"),
+    ("rms_contrast < 0.2", "Low contrast: equalise locally or adjust gamma"), ("blur_estimate > 0.6", "Blurred: sharpen, and check focus and motion"), ("turbidity_score > 0.7", "Turbid: capture in clearer water"),
+    ("edge_density < 0.05", "Few features: check distance and clarity"), ("visibility_score < 0.3", "Poor visibility: add light or move closer"), ("sharpness_laplacian < 100", "Soft: sharpen or lock the focus"),
+    ("hue_diversity < 3.0", "Few hues: restore colours"), ("feature_usefulness_score > 70", "Good for computer vision"), ("marine_science_value > 70", "Good for marine science"),
+], "Adequate for basic analysis")
+WARNINGS = texts([
+    ("feature_usefulness_score < 20", "CRITICAL: hardly any features"), ("marine_science_value < 20", "CRITICAL: hardly any scientific value"), ("blue_water_severity > 0.7", "CRITICAL: severe blue cast"),
+    ("visibility_score < 0.2", "CRITICAL: extremely poor visibility"), ("turbidity_score > 0.75", "HIGH: very turbid"), ("michelson_contrast < 0.2", "HIGH: very low contrast"), ("edge_density < 0.03", "HIGH: hardly any edges"),
+    ("blur_estimate > 0.7", "MEDIUM: strong blur"), ("keypoint_density < 0.5", "MEDIUM: few keypoints"), ("entropy_gray < 4.0", "MEDIUM: little information"),
+    ("blue_dominance > 0.3", "Blue dominates: reds are attenuated"), ("color_temperature > 2.0", "Blue-shifted: warm colours are reduced"),
+])
+COLOUR_QUALITY = "CAST(round(CAST(round(0.6 * greatest(0.0, 100 * (1 - 2 * abs(blue_green_ratio - 0.5))) + 0.4 * least(100.0, 400 * rms_contrast), 9) AS DECIMAL(20, 9)), 1) AS DOUBLE)"
+
 SQL: dict[str, str] = {
     "colour_cast": f"WITH {tiles()} SELECT image_id, {CAST_OUT} FROM px GROUP BY image_id",
     "global_contrast": f"WITH {tiles()} SELECT image_id, {GLOBAL_OUT} FROM gp GROUP BY image_id",
@@ -233,10 +267,11 @@ SQL: dict[str, str] = {
     "gray_entropy": f"WITH {tiles()}, {histogram({'v': 'v'}, 'gp')} SELECT image_id, round({ENTROPY}, 6) AS entropy_gray FROM hist GROUP BY image_id",
     "channel_entropy": f"WITH {tiles()}, {histogram({'b': 'b', 'g': 'g', 'r': 'r'})} SELECT image_id, round({ENTROPY} / 3, 6) AS entropy_color FROM hist GROUP BY image_id",
     "hue_diversity": f"WITH {tiles()}, {HUE}, {histogram({'h': 'h'}, 'hued')} SELECT image_id, round({ENTROPY}, 6) AS hue_diversity FROM hist GROUP BY image_id",
-    "local_contrast": "WITH " + ", ".join([
-        tiles(54, 4), *[around(f"box{n}", "gp", BOX(n), 54, columns="avg(q.v) AS m, avg(q.v * q.v) AS s") for n in (15, 9)],
-        *[f"std{n} AS (SELECT image_id, avg(sqrt(greatest(s - m * m, 0))) AS v FROM box{n} GROUP BY image_id)" for n in (15, 9)],
-    ]) + " SELECT image_id, round(a.v, 6) AS local_contrast, round(b.v, 6) AS texture_complexity FROM std15 a JOIN std9 b USING (image_id)",
+    "local_contrast": f"WITH {tiles(54, 4)}, {box_std('std15', 'gp', 15, 54)}, {box_std('std9', 'gp', 9, 54)} SELECT image_id, round(a.v, 6) AS local_contrast, round(b.v, 6) AS texture_complexity FROM std15 a JOIN std9 b USING (image_id)",
+    "tiled_metrics": f"""WITH RECURSIVE {tiles(54, 4)}, {box_std('std15', 'gp', 15, 54)}, {box_std('std9', 'gp', 9, 54)}, {around('lap', 'gp', LAPLACE, 54)}, {gradient('gp', 54, 'mirror')}, {canny('gp', 54, 'c')},
+      l AS (SELECT image_id, var_pop(v) AS v FROM lap GROUP BY image_id), s AS (SELECT image_id, avg(sqrt(dx * dx + dy * dy)) AS v FROM sob GROUP BY image_id), ed AS ({edge_share('c', 54)})
+      SELECT image_id, round(std15.v, 6) AS local_contrast, round(std9.v, 6) AS texture_complexity, round(l.v, 6) AS sharpness_laplacian, round(s.v, 6) AS sharpness_gradient, round(d, 6) AS edge_density
+      FROM std15 JOIN std9 USING (image_id) JOIN l USING (image_id) JOIN s USING (image_id) JOIN ed USING (image_id)""",
     "sharpness": f"WITH {tiles()}, {around('lap', 'gp', LAPLACE, 27)}, {gradient('gp', 27, 'mirror')}, l AS (SELECT image_id, var_pop(v) AS v FROM lap GROUP BY image_id), s AS (SELECT image_id, avg(sqrt(dx * dx + dy * dy)) AS v FROM sob GROUP BY image_id) SELECT image_id, round(l.v, 6) AS sharpness_laplacian, round(s.v, 6) AS sharpness_gradient FROM l JOIN s USING (image_id)",
     "harris_corner_density": f"""WITH {tiles()}, {gradient('gp', 27, 'mirror')}, prod AS (SELECT image_id, y, x, dx * dx AS a, dx * dy AS b, dy * dy AS d FROM sob),
       {around('box', 'prod', [(0, 0, 1.0), (0, -1, 1.0), (-1, 0, 1.0), (-1, -1, 1.0)], 27, columns='sum(q.a) AS a, sum(q.b) AS b, sum(q.d) AS d')},
@@ -260,25 +295,15 @@ SQL: dict[str, str] = {
       bl AS (SELECT image_id, tanh(sum(CASE WHEN u = 0 AND w = 0 THEN m END) / (sum(CASE WHEN u <> 0 OR w <> 0 THEN m END) + {EPS}) / 100) AS v FROM f GROUP BY image_id), {around('lap', 'gp', LAPLACE, 8)},
       lv AS (SELECT image_id, var_pop(v) AS v FROM lap GROUP BY image_id) SELECT image_id, round(bl.v, 6) AS blur_estimate, round(lv.v, 6) AS sharpness_laplacian FROM bl JOIN lv USING (image_id)""",
     "uiqm_parts": f"WITH {tiles()}, {gradient('gp', 27, 'mirror')}, mag AS (SELECT image_id, y, x, sqrt(dx * dx + dy * dy) AS v FROM sob), " + ", ".join(
-        f"c{c} AS (SELECT image_id, y, x, {c} AS v FROM px), {around(f'log{c}', f'c{c}', LOG, 27, 'symmetric', 'abs(sum(k.w * q.v)) AS v')}, eme{c} AS ({eme(f'log{c}')})" for c in "bgr"
+        f"c{c} AS (SELECT image_id, y, x, {c} AS v FROM px), {log_of(f'log{c}', f'c{c}', 27)}, eme{c} AS ({eme(f'log{c}')})" for c in "bgr"
     ) + f", em AS ({eme('mag')}) SELECT image_id, round(em.eme, 6) AS uism, round((emeb.eme + emeg.eme + emer.eme) / 3, 6) AS uiconm FROM em JOIN emeb USING (image_id) JOIN emeg USING (image_id) JOIN emer USING (image_id)",
     "custom_metric_udf": f"WITH {tiles()} SELECT image_id, round(CAST(sum(r) AS DOUBLE) / CAST(sum(b + g + r) AS DOUBLE), 6) AS red_share FROM px GROUP BY image_id",
     "visibility_turbidity": f"WITH {SCORED} SELECT path, {rounded('visibility_score', 'turbidity_score')} FROM ok",
     "usefulness": f"WITH {SCORED} SELECT path, {rounded('feature_usefulness_score', 'marine_science_value')} FROM ok",
     "overall_score": f"WITH {SCORED} SELECT path, {rounded('overall_score', 'blue_water_problem_severity')}, usability_category FROM ok",
-    "colour_quality": f"WITH {SCORED} SELECT path, CAST(round(CAST(round(0.6 * greatest(0.0, 100 * (1 - 2 * abs(blue_green_ratio - 0.5))) + 0.4 * least(100.0, 400 * rms_contrast), 9) AS DECIMAL(20, 9)), 1) AS DOUBLE) AS colour_quality FROM ok",
-    "recommendations": f"WITH {SCORED} SELECT path, " + texts([
-        ("blue_water_severity > 0.7", "Severe blue cast: correct the white balance and restore the red channel"), ("blue_water_severity > 0.5 AND blue_water_severity <= 0.7", "Moderate blue-green cast: apply colour correction"),
-        ("rms_contrast < 0.2", "Low contrast: equalise locally or adjust gamma"), ("blur_estimate > 0.6", "Blurred: sharpen, and check focus and motion"), ("turbidity_score > 0.7", "Turbid: capture in clearer water"),
-        ("edge_density < 0.05", "Few features: check distance and clarity"), ("visibility_score < 0.3", "Poor visibility: add light or move closer"), ("sharpness_laplacian < 100", "Soft: sharpen or lock the focus"),
-        ("hue_diversity < 3.0", "Few hues: restore colours"), ("feature_usefulness_score > 70", "Good for computer vision"), ("marine_science_value > 70", "Good for marine science"),
-    ], "Adequate for basic analysis") + " AS recommendations FROM ok",
-    "warnings": f"WITH {SCORED} SELECT path, " + texts([
-        ("feature_usefulness_score < 20", "CRITICAL: hardly any features"), ("marine_science_value < 20", "CRITICAL: hardly any scientific value"), ("blue_water_severity > 0.7", "CRITICAL: severe blue cast"),
-        ("visibility_score < 0.2", "CRITICAL: extremely poor visibility"), ("turbidity_score > 0.75", "HIGH: very turbid"), ("michelson_contrast < 0.2", "HIGH: very low contrast"), ("edge_density < 0.03", "HIGH: hardly any edges"),
-        ("blur_estimate > 0.7", "MEDIUM: strong blur"), ("keypoint_density < 0.5", "MEDIUM: few keypoints"), ("entropy_gray < 4.0", "MEDIUM: little information"),
-        ("blue_dominance > 0.3", "Blue dominates: reds are attenuated"), ("color_temperature > 2.0", "Blue-shifted: warm colours are reduced"),
-    ]) + " AS warnings FROM ok",
+    "colour_quality": f"WITH {SCORED} SELECT path, {COLOUR_QUALITY} AS colour_quality FROM ok",
+    "recommendations": f"WITH {SCORED} SELECT path, {RECOMMENDATIONS} AS recommendations FROM ok",
+    "warnings": f"WITH {SCORED} SELECT path, {WARNINGS} AS warnings FROM ok",
     "labels_and_colours": f"""WITH {SCORED} SELECT path, CASE WHEN blue_water_problem_severity >= 7 THEN 'Severe' WHEN blue_water_problem_severity >= 5 THEN 'Moderate' WHEN blue_water_problem_severity >= 3 THEN 'Mild' ELSE 'Minimal' END AS severity_label,
       CASE WHEN overall_score >= 80 THEN 'green' WHEN overall_score >= 60 THEN 'lightgreen' WHEN overall_score >= 40 THEN 'yellow' WHEN overall_score >= 20 THEN 'orange' ELSE 'red' END AS score_colour,
       CASE WHEN blue_water_severity >= 0.7 THEN 'red' WHEN blue_water_severity >= 0.5 THEN 'orange' WHEN blue_water_severity >= 0.3 THEN 'yellow' ELSE 'green' END AS severity_colour FROM ok""",
@@ -344,3 +369,31 @@ SQL: dict[str, str] = {
     "json_fields": "SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY key",
     "event_windows": "SELECT date_trunc('hour', ts) AS hour, count(*) AS n, round(avg(least(100.0::DOUBLE, value)), 6) AS mean_score, round(min(least(100.0::DOUBLE, value)), 6) AS min_score FROM events GROUP BY 1",
 }
+
+
+def finely(name: str) -> str:
+    """The query with its numbers as they are, but for the last digits."""
+    return "(" + SQL[name].replace(", 6) AS ", ", 14) AS ") + ")"
+
+
+#: The transform of 27 x 27 pixels: rows, then columns; sizes in the disc of low frequencies around zero, and outside.
+BLUR_27 = f"""(WITH {tiles()}, across AS MATERIALIZED (SELECT image_id, y, u, sum(v * cos(2 * pi() * u * x / 27)) AS re, -sum(v * sin(2 * pi() * u * x / 27)) AS im FROM gp, range(27) t(u) GROUP BY image_id, y, u),
+    whole AS (SELECT image_id, u, w, sum(re * cos(2 * pi() * w * y / 27) + im * sin(2 * pi() * w * y / 27)) AS re, sum(im * cos(2 * pi() * w * y / 27) - re * sin(2 * pi() * w * y / 27)) AS im FROM across, range(27) t(w) GROUP BY image_id, u, w),
+    sized AS (SELECT image_id, sqrt(re * re + im * im) AS m, pow((u + 13) % 27 - 13, 2) + pow((w + 13) % 27 - 13, 2) < 9 AS low FROM whole)
+    SELECT image_id, tanh(sum(CASE WHEN low THEN m END) / (sum(CASE WHEN NOT low THEN m END) + {EPS}) / 100) AS blur_estimate FROM sized GROUP BY image_id)"""
+BOXES_27 = f"(WITH {tiles()}, {box_std('std15', 'gp', 15, 27)}, {box_std('std9', 'gp', 9, 27)} SELECT image_id, a.v AS local_contrast, b.v AS texture_complexity FROM std15 a JOIN std9 b USING (image_id))"
+CHANNELS_27 = "(SELECT image_id, " + ", ".join(f"max(CASE WHEN channel = '{c}' THEN {v} END) AS {n}_{c}" for v, n in (("uniformity", "histogram_uniformity"), ("dynamic_range", "dynamic_range")) for c in "bgr") + f" FROM {finely('histogram_distribution')} GROUP BY image_id)"
+#: Every metric of every tile from the queries of its parts; tiles of 27 pixels have no patch of 32.
+PARTS_27 = ["colour_cast", "relational_kernels", "uicm", "uiqm_parts", "sharpness", "harris_corner_density", "canny_edge_density", "multi_scale_edge_density", "fast_keypoints"]
+
+
+def joined(parts: list[str]) -> str:
+    return parts[0] + " a0 " + " ".join(f"JOIN {p} a{i} USING (image_id)" for i, p in enumerate(parts[1:], 1))
+
+
+ASSESSED = f"""base AS (SELECT * EXCLUDE (blue_dominance, green_dominance, blue_green_ratio, blue_water_severity, color_temperature, uicm, uism, uiconm), 0.0::DOUBLE AS weber_contrast, NULL AS error,
+      0.0282 * uicm + 0.2953 * uism + 3.5753 * uiconm AS uiqm_score FROM {joined([*map(finely, PARTS_27), BLUR_27, BOXES_27, CHANNELS_27])}), {SCORES}"""
+SQL |= {
+    "tile_assessment": f"WITH {ASSESSED} SELECT image_id, {rounded(*METRIC_NAMES, 'overall_score', 'blue_water_problem_severity')}, round({COLOUR_QUALITY}, 6) AS colour_quality, usability_category, {RECOMMENDATIONS} AS recommendations, {WARNINGS} AS warnings FROM ok",
+    "flagship": f"WITH {ASSESSED} SELECT usability_category, count(*) AS n, " + ", ".join(f"round(avg({c}), 4) AS mean_{c}" for c in ("overall_score", "blue_water_problem_severity", "visibility_score", "uiqm_score")) + " FROM ok GROUP BY usability_category",
+}

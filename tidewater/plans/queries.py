@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import colour, scores
 from ..functions.names import METRIC_NAMES
-from ..operators import assess, hybrid, labels, panels, pictures, pixels, select, stats, temporal
+from ..operators import assess, hybrid, labels, panels, pictures, pixels, select, stats, temporal, tiled, train
 from ..sources import images, sinks, tables, video
 from ..sources.files import shared_path
 from . import oracle
@@ -93,6 +93,20 @@ def custom_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("path").cast("long").alias("image_id"), F.round(F.col("custom")["red_share"], 6).alias("red_share"))
 
 
+def tiled_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbourhood metrics of pixel rows, cut into tiles of 32 pixels with halos."""
+    names = ("local_contrast", "texture_complexity", "sharpness_laplacian", "sharpness_gradient", "edge_density")
+    return tiled.measure(tables.tiles(spark, sf_dir, 54, 4), names, size=32).select("image_id", *r6(*names))
+
+
+def training_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rounds of a run that learns the scores of images from their metrics, a fifth of the images held out."""
+    rows = scored(spark, sf_dir).where("error is null").withColumn("held", F.crc32("path") % 5 == 0)
+    names = [n for n, *_ in tables.METRIC_COLUMNS]
+    state = train.train(rows, 6, shared_path(spark, "run"), "overall_score", "blue_water_problem_severity", "held", names)
+    return train.history(spark, state)
+
+
 def tile_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything about every tile: 37 metrics, scores, category, texts."""
     found = assess.assess(tile_images(spark, sf_dir))
@@ -312,6 +326,8 @@ QUERIES: dict[str, Query] = {
     "blur_dft": blur_dft,
     "uiqm_parts": uiqm_parts,
     "custom_metric_udf": custom_metric,
+    "tiled_metrics": tiled_metrics,
+    "training_history": training_history,
     "tile_assessment": tile_assessment,
     "flagship": flagship,
     "visibility_turbidity": cols("visibility_score", "turbidity_score"),
