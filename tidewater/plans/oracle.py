@@ -117,12 +117,12 @@ def _f(x: str) -> str:
     return f"CASE WHEN {x} > 0.008856 THEN cbrt({x}) ELSE 7.787 * ({x}) + 16.0 / 116.0 END"
 
 
-LAB = f"""lin AS (SELECT image_id, {_linear('b')} AS lb, {_linear('g')} AS lg, {_linear('r')} AS lr FROM px),
-    xyz AS (SELECT image_id, (0.412453 * lr + 0.357580 * lg + 0.180423 * lb) / 0.950456 AS cx, 0.212671 * lr + 0.715160 * lg + 0.072169 * lb AS cy, (0.019334 * lr + 0.119193 * lg + 0.950227 * lb) / 1.088754 AS cz FROM lin),
-    curved AS (SELECT image_id, {_f('cx')} AS fx, {_f('cy')} AS fy, {_f('cz')} AS fz FROM xyz),
-    lab AS (SELECT image_id, least(255, greatest(0, CAST(floor((116 * fy - 16) * 2.55 + 0.5) AS INTEGER))) AS l, least(255, greatest(0, CAST(floor(500 * (fx - fy) + 128 + 0.5) AS INTEGER))) AS a,
+LAB = f"""lin AS (SELECT image_id, y, x, {_linear('b')} AS lb, {_linear('g')} AS lg, {_linear('r')} AS lr FROM px),
+    xyz AS (SELECT image_id, y, x, (0.412453 * lr + 0.357580 * lg + 0.180423 * lb) / 0.950456 AS cx, 0.212671 * lr + 0.715160 * lg + 0.072169 * lb AS cy, (0.019334 * lr + 0.119193 * lg + 0.950227 * lb) / 1.088754 AS cz FROM lin),
+    curved AS (SELECT image_id, y, x, {_f('cx')} AS fx, {_f('cy')} AS fy, {_f('cz')} AS fz FROM xyz),
+    lab AS (SELECT image_id, y, x, least(255, greatest(0, CAST(floor((116 * fy - 16) * 2.55 + 0.5) AS INTEGER))) AS l, least(255, greatest(0, CAST(floor(500 * (fx - fy) + 128 + 0.5) AS INTEGER))) AS a,
       least(255, greatest(0, CAST(floor(200 * (fy - fz) + 128 + 0.5) AS INTEGER))) AS bb FROM curved),
-    chroma AS (SELECT image_id, l, l / 255.0::DOUBLE AS light, sqrt(pow(a / 255.0::DOUBLE - 128 / 255.0::DOUBLE, 2) + pow(bb / 255.0::DOUBLE - 128 / 255.0::DOUBLE, 2)) AS c FROM lab)"""
+    chroma AS (SELECT image_id, y, x, l, l / 255.0::DOUBLE AS light, sqrt(pow(a / 255.0::DOUBLE - 128 / 255.0::DOUBLE, 2) + pow(bb / 255.0::DOUBLE - 128 / 255.0::DOUBLE, 2)) AS c FROM lab)"""
 LAB_OUT = f"round(stddev_pop(l) / (avg(l) + {EPS}), 6) AS lab_contrast, round(0.4680 * stddev_pop(c) + 0.2745 * stddev_pop(light) + 0.2576 * avg(c / (light + {EPS})), 6) AS uciqe_score"
 
 
@@ -397,3 +397,42 @@ SQL |= {
     "tile_assessment": f"WITH {ASSESSED} SELECT image_id, {rounded(*METRIC_NAMES, 'overall_score', 'blue_water_problem_severity')}, round({COLOUR_QUALITY}, 6) AS colour_quality, usability_category, {RECOMMENDATIONS} AS recommendations, {WARNINGS} AS warnings FROM ok",
     "flagship": f"WITH {ASSESSED} SELECT usability_category, count(*) AS n, " + ", ".join(f"round(avg({c}), 4) AS mean_{c}" for c in ("overall_score", "blue_water_problem_severity", "visibility_score", "uiqm_score")) + " FROM ok GROUP BY usability_category",
 }
+
+
+def half_up(x: str, digits: int) -> str:
+    return f"CAST(round(CAST(round({x}, 9) AS DECIMAL(20, 9)), {digits}) AS DOUBLE)"
+
+
+MEANS = "round(avg(b), 6) AS blue_channel_mean, round(avg(g), 6) AS green_channel_mean, round(avg(r), 6) AS red_channel_mean"
+HALVED = f"""WITH {tiles(26)}, small AS (SELECT image_id, round_even(avg(b), 0) AS b, round_even(avg(g), 0) AS g, round_even(avg(r), 0) AS r FROM px GROUP BY image_id, y // 2, x // 2) SELECT image_id, {MEANS} FROM small GROUP BY image_id"""
+LISTED = lambda title, expr: f"'{title}' || coalesce((SELECT string_agg(chr(10) || i || '. ' || t, '' ORDER BY i) FROM (SELECT unnest(string_split({expr}, '; ')) AS t, generate_subscripts(string_split({expr}, '; '), 1) AS i)), '')"
+FEATURES_27 = {"edges": "edge_density * 500", "corners": "corner_density * 10000", "keypoints": "keypoint_density * 10", "texture": "texture_complexity / 2"}
+FEATURED_27 = f"f AS (SELECT * FROM {joined([*map(finely, ('harris_corner_density', 'canny_edge_density', 'fast_keypoints')), BOXES_27])})"
+SQL |= {
+    "panel_channels": bars({n: f"{n}_channel_mean" for n in ("blue", "green", "red")}),
+    "panel_underwater": bars({"uciqe": "uciqe_score * 100", "uiqm": f"{share('uiqm_score', 3)} * 100", "visibility": "visibility_score * 100", "clarity": "(1 - turbidity_score) * 100"}),
+    "panel_gauges": bars({"features": "feature_usefulness_score", "science": "marine_science_value", "clarity": "(1 - turbidity_score) * 100"}),
+    "panel_features": f"WITH {FEATURED_27} " + " UNION ALL ".join(f"SELECT image_id, '{k}' AS bar, round({e}, 6) AS height FROM f" for k, e in FEATURES_27.items()),
+    "panel_overlay": SQL["labels_and_colours"].replace("SELECT path, CASE WHEN blue_water_problem_severity", "SELECT path, round(overall_score, 6) AS overall_score, usability_category, blue_water_severity > 0.5 AS blue_flag, CASE WHEN blue_water_problem_severity").replace(
+        "CASE WHEN blue_water_problem_severity >= 7 THEN 'Severe' WHEN blue_water_problem_severity >= 5 THEN 'Moderate' WHEN blue_water_problem_severity >= 3 THEN 'Mild' ELSE 'Minimal' END AS severity_label,", ""),
+    "lab_scatter": f"WITH {tiles()}, {LAB} SELECT image_id, y, x, l AS lab_l, a AS lab_a, bb AS lab_b FROM lab",
+    "survey_files": f"WITH {tiles()} SELECT image_id, 'survey' || (image_id % 3) AS survey, 27 AS height, 27 AS width, true AS listed, {MEANS} FROM px GROUP BY image_id",
+    "scaled_read": HALVED,
+    "bounded_read": HALVED,
+    "model_batches": f"WITH {tiles()} SELECT image_id, round(sum(b + g + r) / 2187.0::DOUBLE, 6) AS dl_score, round(sum(r) / greatest(sum(b + g + r), 1)::DOUBLE, 6) AS dl_severity FROM px GROUP BY image_id",
+    "json_sink": f"WITH {SCORED} SELECT path, split_part(path, '/', 1) AS survey, error, round(overall_score, 6) AS overall_score, usability_category FROM scored",
+    "csv_sink": f"WITH {SCORED} SELECT split_part(path, '/', 2) AS filename, CASE WHEN error IS NOT NULL THEN 'ERROR' END AS failed, {rounded('overall_score', 'visibility_score')}, usability_category FROM scored",
+    "model_csv": f"WITH {HYBRID} SELECT 'b' || path AS filename, 'a/b' || path AS filepath, d AS overall_score, ds AS dl_severity FROM model WHERE path % 7 <> 0",
+    "example_csv": f"WITH {SCORED} SELECT split_part(path, '/', 2) AS filename, usability_category, " + ", ".join(f"{half_up(c, 2)} AS {n}" for c, n in (
+        ("overall_score", "overall_score"), ("feature_usefulness_score", "feature_usefulness"), ("marine_science_value", "marine_science_value"), ("blue_water_problem_severity", "blue_water_severity"))) + " FROM ok",
+    "report_text": f"""WITH {SCORED}, told AS (SELECT *, {RECOMMENDATIONS} AS advice, {WARNINGS} AS warned FROM ok)
+      SELECT path, concat_ws(chr(10), 'IMAGE QUALITY REPORT', printf('%-24s%s', 'Category', usability_category), """ + ", ".join(f"printf('{label:<24}{f}', {half_up(c, int(f[2]))})" for label, c, f in (
+        ("Overall score", "overall_score", "%.1f"), ("Feature usefulness", "feature_usefulness_score", "%.1f"), ("Marine science value", "marine_science_value", "%.1f"), ("Blue water (0-10)", "blue_water_problem_severity", "%.1f"),
+        ("Visibility", "visibility_score", "%.3f"), ("Turbidity", "turbidity_score", "%.3f"))) + f""", {LISTED('Recommendations', 'advice')}, {LISTED('Warnings', "nullif(warned, '')")}) AS report,
+      printf('%s (%.1f/100): features %.1f, science %.1f, blue water %.1f/10', usability_category, {', '.join(half_up(c, 1) for c in ('overall_score', 'feature_usefulness_score', 'marine_science_value', 'blue_water_problem_severity'))}) AS summary FROM told""",
+    "filter_json": f"""WITH {FRAMES}, v AS (SELECT video_id, count(*) AS total_frames, count(*) FILTER (WHERE {KEEP}) AS frames_kept, round(avg(score), 6) AS mean_score, CAST(count(*) AS INTEGER) AS records, max(frame_idx) AS last_frame FROM fr GROUP BY video_id)
+      SELECT video_id, total_frames, frames_kept, mean_score, records, last_frame, {half_up('score', 2)} AS last_score, {KEEP} AS last_kept FROM v JOIN fr USING (video_id) WHERE frame_idx = last_frame""",
+    "valid_rows": f"WITH {SCORED} SELECT path, round(overall_score, 6) AS overall_score FROM ok JOIN orders ON o_orderkey = CAST(regexp_extract(path, 'img([0-9]+)', 1) AS BIGINT) WHERE o_custkey % 5 <> 0",
+    "select_limit": SQL["select_first"],
+    "select_all": "SELECT doc_id, source FROM documents",
+}

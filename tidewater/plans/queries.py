@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import colour, scores
 from ..functions.names import METRIC_NAMES
-from ..operators import assess, hybrid, labels, panels, pictures, pixels, select, stats, temporal, tiled, train
+from ..operators import assess, hybrid, labels, learn, panels, pictures, pixels, select, stats, temporal, tiled, train
 from ..sources import images, sinks, tables, video
 from ..sources.files import shared_path
+from ..sources.pictures import write_pictures
 from . import oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -286,6 +287,104 @@ def panel(name: str) -> Query:
     return run
 
 
+def panel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = assess.measure(tile_images(spark, sf_dir), ["edge_density", "corner_density", "keypoint_density", "texture_complexity"])
+    return panels.bars(found, "features").select(F.col("path").cast("long").alias("image_id"), "bar", F.round("height", 6).alias("height"))
+
+
+def panel_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.overlay(scored(spark, sf_dir).where("error is null")).withColumn("overall_score", F.round("overall_score", 6))
+
+
+def lab_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles have fewer pixels than the plot takes, so all of them are shown."""
+    return panels.lab_scatter(tables.tiles(spark, sf_dir))
+
+
+def survey_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles as PNG files in the folders of three surveys, found and decoded again."""
+    root, whole = shared_path(spark, "surveys"), tile_images(spark, sf_dir)
+    for i in range(3):
+        write_pictures(whole.where(F.col("path").cast("long") % 3 == i), f"{root}/survey{i}")
+    number = F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("image_id")
+    sizes = images.find_images(spark, root, recursive=True).select(number, "length")
+    found = assess.measure(images.surveys(spark, root), ["blue_channel_mean", "green_channel_mean", "red_channel_mean"])
+    return found.select("*", number).join(sizes, "image_id").select("image_id", "survey", "height", "width", (F.col("length") > 0).alias("listed"), *r6("blue_channel_mean", "green_channel_mean", "red_channel_mean"))
+
+
+def scaled_read(**how) -> Query:  # noqa: ANN003
+    """Means of images that are made smaller before they are measured."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = assess.measure(tile_images(spark, sf_dir, side=26), ["blue_channel_mean", "green_channel_mean", "red_channel_mean"], **how)
+        return found.select(F.col("path").cast("long").alias("image_id"), *r6("blue_channel_mean", "green_channel_mean", "red_channel_mean"))
+
+    return run
+
+
+def model_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model over batches of images: the mean of all values, and the share of red."""
+
+    def load():  # noqa: ANN202
+        def model(x):  # noqa: ANN001, ANN202
+            import numpy as np
+
+            whole = np.rint(x.astype(np.float64) * 255)
+            return np.stack([whole.mean(axis=(1, 2, 3)), whole[..., 0].sum(axis=(1, 2)) / np.maximum(whole.sum(axis=(1, 2, 3)), 1)], axis=1)
+
+        return model
+
+    found = learn.predict_images(tile_images(spark, sf_dir), load, side=27)
+    return found.select(F.col("path").cast("long").alias("image_id"), *r6("dl_score", "dl_severity"))
+
+
+def json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores written as JSON lines in a folder for each survey, and read again."""
+    path = shared_path(spark, "json")
+    rows = scored(spark, sf_dir).select("path", F.element_at(F.split("path", "/"), 1).alias("survey"), "error", "overall_score", "usability_category")
+    sinks.write_json(rows, path, ["survey"])
+    back = spark.read.schema("path string, error string, overall_score double, usability_category string, survey string").json(path)
+    return back.select("path", "survey", "error", F.round("overall_score", 6).alias("overall_score"), "usability_category")
+
+
+def csv_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "csv")
+    sinks.write_csv(sinks.csv_rows(scored(spark, sf_dir)), path)
+    back = spark.read.option("header", "true").csv(path)
+    return back.select("filename", F.when(F.col("overall_score") == "ERROR", "ERROR").alias("failed"), F.round(F.expr("try_cast(overall_score as double)"), 6).alias("overall_score"), "usability_category", F.round(F.col("visibility_score").cast("double"), 6).alias("visibility_score"))
+
+
+def model_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, model = model_scores(spark, sf_dir)
+    rows = model.select(F.concat(F.lit("a/b"), "path").alias("path"), "dl_score", "dl_severity", F.when(F.col("path") % 7 == 0, "failed").alias("error"))
+    return sinks.model_csv_rows(rows)
+
+
+def example_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.example_csv_rows(scored(spark, sf_dir))
+
+
+def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detailed report and the one-line summary of every image."""
+    rows = scored(spark, sf_dir)
+    return sinks.report_lines(rows).join(sinks.summary_line(rows), "path")
+
+
+def filter_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the filter's report of each video says, with its frames."""
+    rows = frames(spark, sf_dir)
+    told = sinks.filter_report(temporal.filter_summary(rows), temporal.filter_frames(rows))
+    kind = "struct<total_frames:long,frames_kept:long,mean_score:double,frames:array<struct<frame:long,overall_score:double,usability:string,kept:boolean>>>"
+    found = told.select("video_id", F.from_json("json", kind).alias("j"))
+    last = F.element_at("j.frames", -1)
+    return found.select("video_id", "j.total_frames", "j.frames_kept", F.round("j.mean_score", 6).alias("mean_score"), F.size("j.frames").alias("records"), last["frame"].alias("last_frame"), last["overall_score"].alias("last_score"), last["kept"].alias("last_kept"))
+
+
+def valid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scored(spark, sf_dir).withColumn("overall_score", F.when(F.col("customer") % 5 != 0, F.col("overall_score")))
+    return select.valid(rows, scored=True).select("path", F.round("overall_score", 6).alias("overall_score"))
+
+
 def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frame properties from JSON text: the keys and the number of events that have them."""
     keys = tables.table(spark, sf_dir, "events").select(F.explode(F.json_object_keys("props")).alias("key"))
@@ -376,6 +475,25 @@ QUERIES: dict[str, Query] = {
     "panel_indicators": panel("blue_water"),
     "panel_contrast": panel("contrast"),
     "panel_scores": panel("scores"),
+    "panel_channels": panel("channels"),
+    "panel_underwater": panel("underwater"),
+    "panel_gauges": panel("gauges"),
+    "panel_features": panel_features,
+    "panel_overlay": panel_overlay,
+    "lab_scatter": lab_scatter,
+    "survey_files": survey_files,
+    "scaled_read": scaled_read(scale=0.5),
+    "bounded_read": scaled_read(max_side=13),
+    "model_batches": model_batches,
+    "json_sink": json_sink,
+    "csv_sink": csv_sink,
+    "model_csv": model_csv,
+    "example_csv": example_csv,
+    "report_text": report_text,
+    "filter_json": filter_json,
+    "valid_rows": valid_rows,
+    "select_limit": chosen(limit=20),
+    "select_all": chosen(),
     "json_fields": json_fields,
     "event_windows": event_windows,
 }

@@ -76,7 +76,7 @@ def json_rows(rows: DataFrame) -> DataFrame:
 
 def report_lines(assessed: DataFrame) -> DataFrame:
     """(path, report): the detailed text of each assessment."""
-    number = lambda label, c, f: F.format_string(f"{label:<24}{f}", F.col(c))
+    number = lambda label, c, f: F.format_string(f"{label:<24}{f}", half_up(c, int(f[2])))
     listed = lambda title, c: F.concat_ws("\n", F.lit(title), F.transform(c, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)))
     return assessed.where("error is null").select("path", F.concat_ws(
         "\n", F.lit("IMAGE QUALITY REPORT"), F.format_string("%-24s%s", F.lit("Category"), F.col("usability_category")), number("Overall score", "overall_score", "%.1f"),
@@ -87,7 +87,7 @@ def report_lines(assessed: DataFrame) -> DataFrame:
 
 def summary_line(assessed: DataFrame) -> DataFrame:
     """(path, summary): score and category in one line."""
-    return assessed.where("error is null").select("path", F.format_string("%s (%.1f/100): features %.1f, science %.1f, blue water %.1f/10", "usability_category", "overall_score", "feature_usefulness_score", "marine_science_value", "blue_water_problem_severity").alias("summary"))
+    return assessed.where("error is null").select("path", F.format_string("%s (%.1f/100): features %.1f, science %.1f, blue water %.1f/10", "usability_category", *[half_up(c, 1) for c in ("overall_score", "feature_usefulness_score", "marine_science_value", "blue_water_problem_severity")]).alias("summary"))
 
 
 def video_report(summary: DataFrame) -> DataFrame:
