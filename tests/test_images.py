@@ -52,6 +52,26 @@ def test_scan_assess_and_sinks(spark, folder, tmp_path):
     assert stats.summary(found).first().failed_assessments == 1
     assert sinks.pending(rows, found.where("error is null")).count() == 1
     assert images.read_paths(spark, [str(folder / "b_002.PNG"), str(folder)], [False, True]).count() == 4
+    with pytest.warns(UserWarning, match="not found"):
+        mixed = images.read_paths(spark, [str(folder / "gone.png"), str(folder / "b_002.PNG"), str(folder)])
+    assert sorted(r.arg_pos for r in mixed.collect()) == [1, 2, 2, 2]
+    with pytest.raises(FileNotFoundError), pytest.warns(UserWarning):
+        images.read_paths(spark, [str(folder / "gone.png")])
+
+
+def test_one_image(spark, folder):
+    found = assess.assess_image(spark, str(folder / "a_001.png"))
+    rows = images.read_images(spark, str(folder)).where("path like '%a_001.png'")
+    whole, raw = assess.assess(rows).first(), rows.first()
+    assert found.overall_score == whole.overall_score and found.usability_category == whole.usability_category
+    assert set(found.detailed_metrics.asDict()) == set(METRIC_NAMES) and found.detailed_metrics.uiqm_score == whole.uiqm_score
+    bgr = np.frombuffer(raw["data"], np.uint8).reshape(raw.height, raw.width, 3)
+    assert assess.assess_image(spark, bgr) == found
+    assert assess.assess_image(spark, bgr[..., 0]).detailed_metrics.blue_dominance == 0
+    assert assess.assess_image(spark, bgr, scale=0.5).overall_score != found.overall_score
+    for bad in (str(folder / "gone.png"), str(folder / "c_003.png"), str(folder)):
+        with pytest.raises(FileNotFoundError):
+            assess.assess_image(spark, bad)
 
 
 def test_pixels_round_trip(spark, folder):

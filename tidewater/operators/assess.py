@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, scores
 from ..functions.kernels import KERNELS, Image, shrink, three_channels
 from ..functions.names import DERIVED, METRIC_NAMES, closure
+from ..sources.images import is_folder, read_file
 
 Metric = Callable[[Image], float]
 #: Images in one Arrow batch; a megapixel image has some megabytes.
@@ -148,6 +149,25 @@ def assess(images: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     return with_scores(measure(images, **options))
 
 
+def assess_image(spark: SparkSession, image: str | np.ndarray, scale: float = 1.0, max_side: int | None = None) -> Row:
+    """One image file, or one array of rows of blue, green and red (or grey), as an assessment: scores, category, texts and ``detailed_metrics``.
+
+    FileNotFoundError where there is no file or it can't be decoded.  For many images ``assess`` a table of them.
+    """
+    if isinstance(image, str):
+        if is_folder(spark, image) is not False:
+            raise FileNotFoundError(image)
+        rows = read_file(spark, image)
+    else:
+        pixels = image[..., None] if image.ndim == 2 else image
+        kind = "path string, height int, width int, channels int, data binary, error string"
+        rows = spark.createDataFrame([("array", *pixels.shape, np.ascontiguousarray(pixels, np.uint8).tobytes(), None)], kind)
+    found = nested(assess(rows, scale=scale, max_side=max_side)).first()
+    if found is None or found.error is not None:
+        raise FileNotFoundError(f"{image if isinstance(image, str) else 'array'}: {found.error if found else 'no image'}")
+    return found.assessment
+
+
 def nested(assessed: DataFrame) -> DataFrame:
     """Assessments as (filename, filepath, error, assessment struct), null for failures."""
     whole = F.struct(

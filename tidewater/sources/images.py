@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "tiff", "tif")
 
 
-def _named(column: str = "path"):  # noqa: ANN202
-    return F.lower(F.regexp_extract(column, r"\.([^./]+)$", 1)).isin(*EXTENSIONS)
+#: The same as a pattern for files' names in any case, for Spark's readers.
+PATTERN = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in EXTENSIONS) + "}"
 
 
 def find_images(spark: SparkSession, path: str, recursive: bool = False, skip: str | None = None) -> DataFrame:
@@ -20,43 +21,63 @@ def find_images(spark: SparkSession, path: str, recursive: bool = False, skip: s
 
     Only metadata is read.  Files whose name contains ``skip`` are left out.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "modificationTime", "length")
-    found = files.where(_named())
+    files = spark.read.format("binaryFile").option("pathGlobFilter", PATTERN).option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "modificationTime", "length")
     if skip:
-        found = found.where(~F.element_at(F.split("path", "/"), -1).contains(skip))
-    return found.orderBy("path")
+        files = files.where(~F.element_at(F.split("path", "/"), -1).contains(skip))
+    return files.orderBy("path")
 
 
-def read_images(spark: SparkSession, path: str | Sequence[str], recursive: bool = False) -> DataFrame:
-    """Decode image files, by the extension in any case; a file that can't be decoded is a row with an error."""
-    image = spark.read.format("image").option("recursiveFileLookup", str(recursive).lower()).option("dropInvalid", "false").load(path if isinstance(path, str) else list(path))
+def _decoded(image: DataFrame) -> DataFrame:
+    """Image rows of what Spark's reader gives; what it could not decode has an error."""
     bad = F.col("image.nChannels") <= 0
     value = lambda c: F.when(~bad, F.col(f"image.{c}"))
     return image.select(
         F.col("image.origin").alias("path"), value("height").alias("height"), value("width").alias("width"), value("nChannels").alias("channels"), value("data").alias("data"),
         F.when(bad, "the file can't be decoded").alias("error"),
-    ).where(_named())
+    )
+
+
+def read_images(spark: SparkSession, path: str | Sequence[str], recursive: bool = False) -> DataFrame:
+    """Decode image files, by the extension in any case; a file that can't be decoded is a row with an error, others are never read."""
+    reader = spark.read.format("image").option("pathGlobFilter", PATTERN).option("recursiveFileLookup", str(recursive).lower()).option("dropInvalid", "false")
+    return _decoded(reader.load(path if isinstance(path, str) else list(path)))
+
+
+def read_file(spark: SparkSession, path: str) -> DataFrame:
+    """One file as an image, whatever its name."""
+    return _decoded(spark.read.format("image").option("dropInvalid", "false").load(path))
+
 
+def is_folder(spark: SparkSession, path: str) -> bool | None:
+    """Whether a path is a folder; None if there is nothing."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.getFileStatus(where).isDirectory() if system.exists(where) else None
 
-def read_paths(spark: SparkSession, paths: Sequence[str], folders: Sequence[bool], recursive: bool = False) -> DataFrame:
-    """Files and folders in the order of the arguments: (arg_pos, path, ...); files are taken whatever their name."""
+
+def read_paths(spark: SparkSession, paths: Sequence[str], folders: Sequence[bool | None] | None = None, recursive: bool = False) -> DataFrame:
+    """Files and folders in the order of the arguments: (arg_pos, path, ...); files are taken whatever their name.
+
+    ``folders`` tells which of the paths are folders, None of it which don't exist; unless given, it is looked up.  A path
+    that doesn't exist is left out with a warning; if none does, that is an error.
+    """
     parts = []
-    for i, (path, folder) in enumerate(zip(paths, folders, strict=True)):
-        rows = read_images(spark, path, recursive) if folder else _one(spark, path)
+    for i, path in enumerate(paths):
+        folder = is_folder(spark, path) if folders is None else folders[i]
+        if folder is None:
+            warnings.warn(f"{path} was not found, it is left out", stacklevel=2)
+            continue
+        rows = read_images(spark, path, recursive) if folder else read_file(spark, path)
         parts.append(rows.select(F.lit(i).alias("arg_pos"), "*"))
+    if not parts:
+        raise FileNotFoundError("none of the paths was found")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-def _one(spark: SparkSession, path: str) -> DataFrame:
-    image = spark.read.format("image").option("dropInvalid", "false").load(path)
-    bad = F.col("image.nChannels") <= 0
-    value = lambda c: F.when(~bad, F.col(f"image.{c}"))
-    return image.select(F.col("image.origin").alias("path"), value("height").alias("height"), value("width").alias("width"), value("nChannels").alias("channels"), value("data").alias("data"), F.when(bad, "the file can't be decoded").alias("error"))
-
-
 def surveys(spark: SparkSession, root: str) -> DataFrame:
     """All images below a folder with the name of the subfolder as ``survey``: one job for all surveys."""
     return read_images(spark, root, recursive=True).withColumn("survey", F.element_at(F.split("path", "/"), -2))
