@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import forget, save
 
 #: Turns that one fold holds; a longer conversation is folded in pieces and then over the pieces.
 PIECE = 512
@@ -43,7 +43,9 @@ def numbered(turns: DataFrame) -> DataFrame:
     counts = dealt.groupBy("conv_id", "part").agg(F.count("*").alias("n")).select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), F.sum("n").over(earlier).alias("before"))
     before = save(counts.where("before is not null"), "offsets")
     placed = dealt.withColumn("row", F.row_number().over(inside) - 1).join(before, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part")), "left")
-    return placed.select("conv_id", (F.col("row") + F.coalesce("before", F.lit(0))).cast("long").alias("seq"), "turn", "role", "text")
+    rows = save(placed.select("conv_id", (F.col("row") + F.coalesce("before", F.lit(0))).cast("long").alias("seq"), "turn", "role", "text"), "turns")
+    forget(dealt)
+    return rows
 
 
 def piece_of(seq: str = "seq") -> Column:
@@ -175,9 +177,11 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     """
     said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
     rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), said(role_col).alias("role"), said(text_col).alias("text"))
-    rows = save(numbered(rows), "turns")
+    rows = numbered(rows)
     spread = rows.groupBy(F.col("conv_id").alias("_conv")).agg(F.coalesce(F.max("turn") - F.min("turn") + 1 - F.countDistinct("turn"), F.lit(0)).cast("long").alias("gaps"))
+    spread = save(spread, "gaps")
     cut = save(folded(pieces(rows)), "pieces")
+    forget(rows)
     best = save(chosen(cut), "edits")
     faults = best.join(spread, same("_conv")).select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit")
 
