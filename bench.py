@@ -15,6 +15,8 @@ HEADLINE = (
     "colour_cast", "global_contrast", "lab_uciqe", "histogram_distribution", "sharpness", "canny_edge_density", "fast_keypoints", "tile_assessment", "overall_score", "recommendations",
     "batch_summary", "ranking", "temporal_metrics", "video_summary", "best_frames", "hybrid_blend", "csv_projection",
 )
+#: Timed as well, but not part of the total, which is of the same queries each round.
+MORE = ("low_quality", "top_10", "severe_blue_water", "score_spread", "local_contrast", "tiled_metrics", "video_scan")
 
 
 def main() -> None:
@@ -29,17 +31,20 @@ def main() -> None:
     sink = lambda df: df.write.format("noop").mode("overwrite").save()
     sink(QUERIES["colour_cast"](spark, SF_DIR))  # warm-up
     took = {}
-    for name in HEADLINE:
+    for name in HEADLINE + MORE:
         t = time.time()
         sink(QUERIES[name](spark, SF_DIR))
         took[name] = round(time.time() - t, 3)
-    n = 64
-    images = synthetic_images(spark, n, 720).repartition(int(CPUS)).persist()
-    images.count()
-    t = time.time()
-    sink(assess(images.drop("quality_score", "blue_water_severity")))
-    rate = n / (time.time() - t)
-    print(json.dumps({"metric": "headline queries, total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": SF_DIR.rsplit("/sf", 1)[-1], "images_per_sec_720x720": round(rate, 2)}))
+    rate = {}
+    for n in (64, 256):  # the start of the Python workers weighs less in the longer run
+        images = synthetic_images(spark, n, 720).repartition(int(CPUS)).persist()
+        images.count()
+        t = time.time()
+        sink(assess(images.drop("quality_score", "blue_water_severity")))
+        rate[n] = round(n / (time.time() - t), 2)
+        images.unpersist()
+    total = round(sum(took[name] for name in HEADLINE), 3)
+    print(json.dumps({"metric": "headline queries, total", "value": total, "unit": "sec", "queries": took, "sf": SF_DIR.rsplit("/sf", 1)[-1], "images_per_sec_720x720": rate[64], "images_per_sec_720x720_of_256": rate[256]}))
     spark.stop()
 
 
