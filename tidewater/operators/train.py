@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import METRIC_NAMES
-from ..sources.files import opened
+from ..sources.files import opened, qualified
 from .stats import written
 
 # The published training recipe.
@@ -191,6 +191,7 @@ def train(
     """
     if epochs <= 0:
         raise ValueError(f"the number of rounds has to be positive, not {epochs}")
+    resume = resume and qualified(rows.sparkSession, resume)
     used = State.load(resume).model.features if resume else list(features)
     asked = F.lit(False) if held_out is None else F.coalesce(F.col(held_out).cast("boolean"), F.lit(False))
     other = F.lit(None).cast("double") if severity is None else F.col(severity).cast("double")
@@ -209,7 +210,7 @@ def train(
     told, slopes = sums_of(table, state.model)
     if not told[0, 0]:
         raise RuntimeError(f"no training row has a {label}")
-    folder = folder.rstrip("/")
+    folder = qualified(rows.sparkSession, folder.rstrip("/"))
     while state.epoch < epochs and state.stale < patience:
         taught = loss_of(told[0])
         gradient = slopes[0] / told[0, 0] + (SEVERITY_WEIGHT * slopes[1] / told[0, 1] if told[0, 1] else 0.0)

@@ -18,7 +18,13 @@ def opened(path: str) -> tuple[pafs.FileSystem, str]:
         return pafs.LocalFileSystem(), os.path.abspath(path)
     if path.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(path)
+    return pafs.FileSystem.from_uri("s3" + path[3:] if path.startswith("s3a:") else path)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the file system that Spark takes for it, so that tasks open the same one."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

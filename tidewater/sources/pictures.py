@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from .files import Staged
+from .files import Staged, qualified
 
 
 def png(data: bytes, height: int, width: int, channels: int) -> bytes:
@@ -78,4 +78,4 @@ def write_pictures(images: DataFrame, path: str, name: Column | str = "path") ->
     last = F.element_at(F.split(F.col(name) if isinstance(name, str) else name, "/"), -1)
     file = F.concat(F.regexp_replace(last, r"\.(?i:jpe?g|png|bmp|tiff?)$", ""), F.lit(".png"))
     rows = images.where("data is not null").select(file.alias("file"), "height", "width", "channels", "data")
-    rows.write.format("pictures").mode("append").option("path", path).save()
+    rows.write.format("pictures").mode("append").option("path", qualified(images.sparkSession, path)).save()

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .files import Staged, listed, opened
+from .files import Staged, listed, opened, qualified
 
 ENDINGS = (".y4m", ".avi")
 #: The rate of a video that names none (a fixed value).
@@ -306,7 +306,7 @@ def read_clips(spark: SparkSession, path: str, every: int = 1, max_frames: int |
     video_id is the file's name without its ending.
     """
     spark.dataSource.register(ClipSource)
-    rows = spark.read.format("clips").option("path", path).option("every", every).option("max_frames", max_frames or 0).load()
+    rows = spark.read.format("clips").option("path", qualified(spark, path)).option("every", every).option("max_frames", max_frames or 0).load()
     name = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
     return rows.select("path", name.alias("video_id"), "frame_idx", (F.col("frame_idx") / F.col("fps")).alias("t"), "fps", "total_frames", "height", "width", "channels", "data", "error")
 
@@ -326,4 +326,4 @@ def write_clips(frames: DataFrame, path: str, fps: float = DEFAULT_RATE, segment
     number = F.when(F.col("last") == 0, "").otherwise(F.format_string("_%04d", "part"))
     told = rows.join(counts.join(parts, "video_id"), ["video_id", "part"])
     out = told.select(F.concat(F.col("video_id").cast("string"), number, F.lit(".avi")).alias("file"), "frame_idx", "frames", F.lit(float(fps)).alias("fps"), "height", "width", "data")
-    out.repartition("file").sortWithinPartitions("file", "frame_idx").select("file", "frames", "fps", "height", "width", "data").write.format("clips").mode("append").option("path", path).save()
+    out.repartition("file").sortWithinPartitions("file", "frame_idx").select("file", "frames", "fps", "height", "width", "data").write.format("clips").mode("append").option("path", qualified(spark, path)).save()
