@@ -59,3 +59,22 @@ def test_shrink_and_channels():
     assert three_channels(bytes([1, 2, 3, 9]), 1, 1, 4).tolist() == [[[1, 2, 3]]]
     with pytest.raises(ValueError):
         three_channels(b"123", 2, 2, 3)
+
+
+def test_fast_parts_equal_plain_ones():
+    from tidewater.functions import kernels
+    from tidewater.functions.colour import cube_root
+
+    x = np.linspace(0.001, 2, 100_001)
+    assert np.abs(cube_root(x) / np.cbrt(x) - 1).max() < 1e-12
+    rng = np.random.default_rng(6)
+    for h, w in ((1, 1), (7, 70), (40, 33), (100, 16)):
+        plane = rng.random((h, w)) * (rng.random((h, w)) > 0.02)
+        taps = rng.random(min(h, w))
+        for axis in (0, 1):
+            n = plane.shape[axis] - len(taps) + 1
+            want = sum(t * np.take(plane, range(i, i + n), axis=axis) for i, t in enumerate(taps))
+            assert kernels.along(plane, taps, axis) == pytest.approx(want, abs=1e-12)
+        parts = [plane[i : i + 8, j : j + 8] for i in range(0, h, 8) for j in range(0, w, 8)]
+        logs = [np.log(p.max() / p.min() + 1e-6) for p in parts if p.min() > 0]
+        assert kernels.eme_parts(plane) == (pytest.approx(sum(logs)), len(logs))

@@ -64,11 +64,20 @@ def np_hue(bgr: np.ndarray) -> np.ndarray:
 _POWERS = np.where(np.arange(256) / 255.0 <= 0.04045, np.arange(256) / 255.0 / 12.92, ((np.arange(256) / 255.0 + 0.055) / 1.055) ** 2.4)
 
 
+def cube_root(x: np.ndarray) -> np.ndarray:
+    """Cube roots of numbers from 0.001 to 2, to 13 digits: a third of the exponent and two steps of Halley's rule."""
+    y = (x.astype(np.float32).view(np.int32) // 3 + 709921077).view(np.float32).astype(np.float64)
+    for _ in range(2):
+        cube = y * y * y
+        y *= (cube + 2 * x) / (2 * cube + x)
+    return y
+
+
 def np_lab(bgr: np.ndarray) -> np.ndarray:
     out = np.empty(bgr.shape, np.uint8)
 
     def f(x: np.ndarray) -> np.ndarray:
-        return np.where(x > 0.008856, np.cbrt(x), 7.787 * x + 16.0 / 116.0)
+        return np.where(x > 0.008856, cube_root(x), 7.787 * x + 16.0 / 116.0)
 
     def byte(x: np.ndarray) -> np.ndarray:
         return np.clip(np.floor(x + 0.5), 0, 255)

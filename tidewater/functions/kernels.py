@@ -30,23 +30,30 @@ def mirror(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def along(x: np.ndarray, taps: np.ndarray, axis: int) -> np.ndarray:
-    """Correlation of padded data with taps along one axis; the result is shorter by len(taps) - 1."""
-    n = x.shape[axis] - len(taps) + 1
-    out = np.zeros([n if i == axis else s for i, s in enumerate(x.shape)])
-    part = np.empty((BAND, out.shape[1]))
-    for start in range(0, out.shape[0], BAND):
-        band = out[start : start + BAND]
-        rows, product = len(band), part[: len(band)]
-        for i, tap in enumerate(taps):
-            if tap:
-                np.multiply(x[start + i : start + i + rows] if axis == 0 else x[start : start + rows, i : i + n], tap, out=product)
-                band += product
+    """Correlation of padded data with taps along one axis; the result is shorter by len(taps) - 1.
+
+    A band of the result is a product of data and a band matrix of the taps, which matrix libraries do
+    faster than sums of shifted planes, zeros included.
+    """
+    more = len(taps) - 1
+    n = x.shape[axis] - more
+    out = np.empty([n if i == axis else s for i, s in enumerate(x.shape)])
+    matrix = np.zeros((BAND + more, BAND))
+    for i, tap in enumerate(taps):
+        matrix[np.arange(BAND) + i, np.arange(BAND)] = tap
+    for start in range(0, n, BAND):
+        size = min(BAND, n - start)
+        own = matrix[: size + more, :size]
+        if axis == 0:
+            np.matmul(own.T, x[start : start + size + more], out=out[start : start + size])
+        else:
+            out[:, start : start + size] = x[:, start : start + size + more] @ own
     return out
 
 
 def box_mean(x: np.ndarray, size: int) -> np.ndarray:
-    total = np.pad(mirror(x, size // 2).cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
-    return (total[size:, size:] - total[:-size, size:] - total[size:, :-size] + total[:-size, :-size]) / (size * size)
+    ones = np.ones(size)
+    return along(along(mirror(x, size // 2), ones, 0), ones, 1) / (size * size)
 
 
 def box_stds(grey: np.ndarray, size: int) -> np.ndarray:
@@ -184,9 +191,12 @@ def blocks(x: np.ndarray, size: int, fill: float) -> np.ndarray:
 
 def eme_parts(x: np.ndarray, size: int = 8) -> tuple[float, int]:
     """Sum of the log ratios of the largest to the least value of blocks without zeros, and the number of these."""
-    starts = [np.arange(0, n, size) for n in x.shape]
-    top = np.maximum.reduceat(np.maximum.reduceat(x, starts[0], axis=0), starts[1], axis=1)
-    low = np.minimum.reduceat(np.minimum.reduceat(x, starts[0], axis=0), starts[1], axis=1)
+    x = np.pad(x, [(0, -n % size) for n in x.shape], mode="edge")  # what is repeated changes no block's extremes
+    top, low = x[::size].copy(), x[::size].copy()
+    for i in range(1, size):
+        np.maximum(top, x[i::size], out=top)
+        np.minimum(low, x[i::size], out=low)
+    top, low = top.reshape(len(top), -1, size).max(axis=2), low.reshape(len(low), -1, size).min(axis=2)
     some = low > 0
     return float(np.log(top[some] / low[some] + EPS).sum()), int(some.sum())
 
