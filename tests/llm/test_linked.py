@@ -50,6 +50,26 @@ def test_one_crowded_group_loses_no_pair(spark, monkeypatch, meet, side, weight)
     assert common.linked(marked.limit(0), sketches, lambda nodes: sets, everything, similar).count() == 0
 
 
+@pytest.mark.parametrize("far", [False, True])
+def test_ties_of_one_crowded_group_grow_with_its_nodes(spark, monkeypatch, far):
+    for name, value in (("MEET", 16), ("SIDE", 5)):
+        monkeypatch.setattr(common, name, value)
+    asked, real = [], common.components
+    monkeypatch.setattr(common, "components", lambda edges: asked.append(edges.distinct().count()) or real(edges))
+    n = 240
+    # the least node is far from all others, in its sketch or in its shingles, which are near each other
+    rows = spark.range(n).select(
+        F.col("id").alias("node"), F.when((F.col("id") == 0) & F.lit(far), F.lit(b"00000000")).otherwise(F.lit(b"12345678")).alias("sketch"),
+        F.when(F.col("id") == 0, F.array(F.lit(-1).cast("long"))).otherwise(F.array(*[F.lit(k).cast("long") for k in range(9)], F.col("id") + 100)).alias("shingles"))
+    rows = rows.withColumn("size", F.size("shingles").cast("long")).cache()
+    similar = lambda c, x, y: c >= 0.8 * (x + y - c) - 1e-9
+    close = lambda a, b: (a == b).all(axis=1)
+    marked = rows.select(F.explode(F.array(*[F.lit(m).cast("long") for m in range(6)])).alias("mark"), "node")
+    found = common.linked(marked, rows.select("node", "sketch", "size"), lambda nodes: rows.select("node", "shingles").join(nodes, "node", "left_semi"), close, similar)
+    assert {r.node: r.component for r in found.where("node > 0").collect()} == {i: 1 for i in range(1, n)}
+    assert max(asked) <= 4 * n, asked
+
+
 def test_forest_is_components():
     rng = random.Random(3)
     for n in (1, 5, 40):

@@ -252,7 +252,10 @@ def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def in_groups(df: DataFrame, work: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Edges (a, b) that ``work`` finds in tables of whole groups of ``df``, whose first column is the group's number (g)."""
+    """Edges (a, b) that ``work`` finds in tables of whole groups of ``df``, whose first column is the group's number (g).
+
+    A group's rows come by root, those of the main one first, so that groups which share nodes tie them to the same one.
+    """
     spark = df.sparkSession
     arrow_rows(spark)
 
@@ -261,7 +264,7 @@ def in_groups(df: DataFrame, work: Callable[[pa.Table], tuple[np.ndarray, np.nda
             a, b = work(table)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return df.repartition("g").sortWithinPartitions("g").mapInArrow(each, "a long, b long")
+    return df.repartition("g").sortWithinPartitions("g", F.desc("main"), "root", "node").mapInArrow(each, "a long, b long")
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -285,17 +288,24 @@ def pairs_before(start: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.nd
     return i, np.arange(len(i)) - np.repeat(np.cumsum(o) - o, o) + np.repeat(start[lo:hi], o)
 
 
+def first_places(g: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """For each place that of the first row of its group and root; rows of one root lie together."""
+    new = np.r_[True, (g[1:] != g[:-1]) | (root[1:] != root[:-1])]
+    return np.flatnonzero(new)[np.cumsum(new) - 1]
+
+
 def sketched(table: pa.Table, name: str = "sketch") -> np.ndarray:
     raw = table[name].to_pylist()
     return np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
 
 
 def met(close: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]:
-    """Ties of nodes (g, own, alone, node, sketch) whose sketches are close: as many as nodes at most, and they connect all close ones."""
+    """Ties of roots of (g, asks, root, main, node, sketch) that have close sketches and one of which asks: fewer than roots in a group, and they connect all such."""
 
     def work(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        g, own, alone, node = (table[c].to_numpy() for c in ("g", "own", "alone", "node"))
+        g, asks, root = (table[c].to_numpy() for c in ("g", "asks", "root"))
         sketch, n = sketched(table), len(g)
+        place = first_places(g, root)
         first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
         start = np.repeat(first, np.diff(np.r_[first, n]))
         until = np.cumsum(np.arange(n) - start)
@@ -303,15 +313,15 @@ def met(close: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[pa.T
         while lo < n:
             hi = max(lo + 1, int(np.searchsorted(until, (until[lo - 1] if lo else 0) + AT_ONCE, side="right")))
             i, j = pairs_before(start, lo, hi)
-            ask = alone[i] | (own[i] != own[j])
+            ask = (asks[i] | asks[j]) & (root[i] != root[j])
             i, j = i[ask], j[ask]
             ok = close(sketch[i], sketch[j])
-            found_i.append(i[ok])
-            found_j.append(j[ok])
+            found_i.append(place[i[ok]])
+            found_j.append(place[j[ok]])
             lo = hi
         label = forest(n, np.concatenate(found_i), np.concatenate(found_j))
         some = np.flatnonzero(label != np.arange(n))
-        return node[some], node[label[some]]
+        return root[some], root[label[some]]
 
     return work
 
@@ -332,10 +342,10 @@ def common_counts(flat: np.ndarray, owner: np.ndarray, n: int, left: np.ndarray,
 
 
 def compared(similar: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]:
-    """Ties of nodes (g, asks, root, node, shingles) with an asking one of another root, where they are similar; they connect all such."""
+    """Ties of roots of (g, asks, root, main, node, shingles), of which one asks, where nodes are similar; they connect all such."""
 
     def work(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        g, asks, root, node = (table[c].to_numpy() for c in ("g", "asks", "root", "node"))
+        g, asks, root = (table[c].to_numpy() for c in ("g", "asks", "root"))
         lists = table["shingles"].combine_chunks()
         offsets = lists.offsets.to_numpy()
         flat = lists.values.to_numpy()
@@ -349,9 +359,10 @@ def compared(similar: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
             counts = common_counts(flat[offsets[lo] : offsets[hi]], np.repeat(right, size), n, left, right)
             ok = similar(counts, size[left][:, None], size[right][None, :]) & (root[lo:hi][left][:, None] != root[lo:hi][None, :])
             i, j = np.nonzero(ok)
-            label = forest(n, left[i], right[j])
+            place = first_places(g[lo:hi], root[lo:hi])
+            label = forest(n, place[left[i]], place[j])
             some = np.flatnonzero(label != right)
-            found.append((node[lo:hi][some], node[lo:hi][label[some]]))
+            found.append((root[lo:hi][some], root[lo:hi][label[some]]))
         return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
     return work
@@ -362,10 +373,38 @@ def block_of(node: str, n: Column) -> Column:
     return F.pmod(F.xxhash64(F.col(node), F.lit(7)), F.greatest(n.cast("long"), F.lit(1))).cast("int")
 
 
+def everywhere() -> Column:
+    """The numbers of all blocks of a group."""
+    return F.sequence(F.lit(0), F.col("parts").cast("int") - 1)
+
+
 def upto(n: Column) -> Column:
     return F.explode(F.sequence(F.lit(0), F.greatest(n.cast("int"), F.lit(1)) - 1))
 
 
+def across(named: DataFrame) -> DataFrame:
+    """(g, asks, root, main, node): in blocks, every node outside the main component of its group with all nodes of the group.
+
+    named: (group, parts, side, node, root), a group's number of blocks of ``side`` nodes and each node's component; the
+    main one has the most nodes, and its root is in all blocks, for others to be tied to.  Groups of one component have no rows.
+    """
+    named = save(named, "named")
+    roots = named.groupBy("group", "root").agg(F.count("*").alias("m"), F.max("side").alias("side"))
+    apart = roots.groupBy("group").agg(F.max_by("root", F.struct("m", "root")).alias("most"), (F.sum("m") - F.max("m")).alias("out"), F.max("side").alias("side"), F.count("*").alias("k")).where("k > 1")
+    apart = save(apart.select("group", "most", F.ceil(F.col("out") / F.col("side")).alias("asking")), "apart")
+    rest = named.join(apart, "group").withColumn("main", F.col("root") == F.col("most"))
+    part, ask = block_of("node", F.col("parts")), block_of("node", F.col("asking"))
+    dealt = rest.withColumn("part", F.explode(F.when(F.col("node") == F.col("most"), everywhere()).otherwise(F.array(part))))
+    told = dealt.select("group", "root", "main", "node", "part", F.lit(False).alias("asks"), upto(F.col("asking")).alias("ask"))
+    asked = rest.where("not main").select("group", "root", "main", "node", upto(F.col("parts")).alias("part"), F.lit(True).alias("asks"), ask.alias("ask"))
+    return told.unionByName(asked).select(F.xxhash64("group", "part", "ask").alias("g"), "asks", "root", "main", "node")
+
+
+def widened(found: DataFrame, more: DataFrame) -> DataFrame:
+    """Components (node, component) after further ties of their roots."""
+    return found if more.isEmpty() else components(found.toDF("a", "b").union(more))
+
+
 def linked(
     marked: DataFrame, sketches: DataFrame, sets: Callable[[DataFrame], DataFrame],
     close: Callable[[np.ndarray, np.ndarray], np.ndarray], similar: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray],
@@ -374,47 +413,47 @@ def linked(
 
     marked: (mark long, node long), sketches: (node, sketch binary of one length, size), each node once; ``sets`` gives the
     (node, shingles array<long>, distinct ones) of some nodes.  Nodes that share a mark and whose sketches are ``close`` are
-    candidates, and candidates that connect make a cluster.  In a cluster every node is compared exactly with
+    candidates, and candidates that connect make a cluster.  A mark of more than MEET nodes is dealt into blocks, all of which have its
+    least node; then nodes of different components still meet, as they do in clusters.  In a cluster every node is compared exactly with
     the least one first; then all pairs of nodes that lie in different components still are, except those of the largest
     component, in blocks: a node outside it meets everything of its cluster.  ``similar(common, n, m)`` decides by the
-    numbers of shingles.  So no link between candidates is lost; rows grow with the nodes and, for clusters
-    that stay apart, with the nodes outside the largest component times the cluster's blocks.  Pairs are no rows.
+    numbers of shingles.  So no link between candidates is lost; rows grow with the nodes and, for marks and clusters
+    that stay apart, with the nodes outside the largest component times the blocks.  Pairs are no rows, and ties are
+    those of components, to the main one where it is among them: where all of a group is similar in the end, a node has few.
     """
     with tidy() as keep:
         return keep(save(_linked(marked, sketches, sets, close, similar), "linked"))
 
 
 def _linked(marked, sketches, sets, close, similar) -> DataFrame:  # noqa: ANN001
-    often = save(marked.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1"), "often")
-    shared = marked.join(often, "mark").join(sketches.select("node", "sketch"), "node")
-    blocks = F.ceil(F.col("n") / MEET)
-    dealt = shared.withColumn("own", block_of("node", blocks)).select("mark", "node", "sketch", "own", upto(blocks).alias("other"))
-    met_in = F.xxhash64("mark", F.least("own", "other"), F.greatest("own", "other")).alias("g")
-    near = in_groups(dealt.select(met_in, "own", (F.col("own") == F.col("other")).alias("alone"), "node", "sketch"), met(close))
-    clusters = components(near.distinct())
-    clusters = save(clusters.withColumnRenamed("component", "cluster").join(sketches.select("node", "size"), "node"), "clusters")
+    parts = F.ceil(F.col("n") / MEET)
+    often = save(marked.groupBy("mark").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1").select("mark", "lead", parts.alias("parts")), "often")
+
+    def meet(dealt: DataFrame) -> DataFrame:
+        return in_groups(dealt.join(sketches.select("node", "sketch"), "node").select("g", "asks", "root", "main", "node", "sketch"), met(close))
+
+    part = F.explode(F.when(F.col("node") == F.col("lead"), everywhere()).otherwise(F.array(block_of("node", F.col("parts")))))
+    dealt = marked.join(often, "mark").select("mark", "node", part.alias("part"))
+    near = components(meet(dealt.select(F.xxhash64("mark", "part").alias("g"), F.lit(True).alias("asks"), F.col("node").alias("root"), F.lit(False).alias("main"), "node")))
+    wide = often.where("parts > 1")
+    if not wide.isEmpty():
+        named = marked.join(wide, "mark").join(near, "node", "left")
+        named = named.select(F.col("mark").alias("group"), "parts", F.lit(MEET).alias("side"), "node", F.coalesce("component", "node").alias("root"))
+        near = widened(near, save(meet(across(named)), "wide"))
+    clusters = save(near.withColumnRenamed("component", "cluster").join(sketches.select("node", "size"), "node"), "clusters")
     texts = save(sets(clusters.select("node")), "sets")
 
     def exact(dealt: DataFrame) -> DataFrame:
-        return in_groups(dealt.join(texts, "node").select("g", "asks", "root", "node", "shingles"), compared(similar))
+        return in_groups(dealt.join(texts, "node").select("g", "asks", "root", "main", "node", "shingles"), compared(similar))
 
     side = F.greatest(F.lit(1), F.least(F.lit(SIDE), F.floor(F.lit(WEIGHT) / F.greatest("most", F.lit(1)))))
     sized = clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.max("size").alias("most")).select("cluster", F.ceil(F.col("n") / side).alias("parts"), side.alias("side"))
     sized = save(sized, "sized")
     each = clusters.where("node != cluster").join(sized, "cluster").select("cluster", block_of("node", F.col("parts")).alias("part"), F.lit(False).alias("asks"), "node")
     lead = sized.select("cluster", upto(F.col("parts")).alias("part"), F.lit(True).alias("asks"), F.col("cluster").alias("node"))
-    star = exact(each.union(lead).select(F.xxhash64("cluster", "part").alias("g"), "asks", F.col("node").alias("root"), "node"))
-    edges = save(star, "star")
-    found = components(edges)
-
-    named = clusters.join(found, "node", "left").select("cluster", "node", F.coalesce("component", "node").alias("root"))
-    roots = save(named.groupBy("cluster", "root").agg(F.count("*").alias("m")), "roots")
-    apart = roots.groupBy("cluster").agg(F.max_by("root", F.struct("m", "root")).alias("main"), (F.sum("m") - F.max("m")).alias("out"), F.count("*").alias("k")).where("k > 1")
-    apart = save(apart.join(sized, "cluster").select("cluster", "main", "parts", F.ceil(F.col("out") / F.col("side")).alias("asking")), "apart")
-    rest = named.join(apart, "cluster")
-    part, ask = block_of("node", F.col("parts")), block_of("node", F.col("asking"))
-    told = rest.select("cluster", "root", "node", part.alias("part"), F.lit(False).alias("asks"), upto(F.col("asking")).alias("ask"))
-    asked = rest.where("root != main").select("cluster", "root", "node", upto(F.col("parts")).alias("part"), F.lit(True).alias("asks"), ask.alias("ask"))
-    more = exact(told.unionByName(asked).select(F.xxhash64("cluster", "part", "ask").alias("g"), "asks", "root", "node"))
-    more = save(more, "more")
-    return found if more.isEmpty() else components(edges.union(more))
+    star = each.union(lead).select(F.xxhash64("cluster", "part").alias("g"), "asks", F.col("node").alias("root"), F.lit(False).alias("main"), "node")
+    found = components(exact(star))
+
+    named = clusters.join(found, "node", "left").join(sized, "cluster")
+    named = named.select(F.col("cluster").alias("group"), "parts", "side", "node", F.coalesce("component", "node").alias("root"))
+    return widened(found, save(exact(across(named)), "more"))
