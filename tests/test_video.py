@@ -162,3 +162,13 @@ def test_edges(spark, table, made, tmp_path):
     assert back["003.png"].channels == 1 and KERNELS["edge_density"](Image(made["reef"][3])) == pytest.approx(mask.mean())
     text = assess.assess(rows.where("error is null")).select(pictures.caption().alias("t")).first().t
     assert text.startswith("Quality: ") and text.count("\n") == 5
+
+
+def test_one_pass_fills_the_folders_of_all_surveys(spark, tmp_path):
+    rows = spark.range(6).select(F.col("id").cast("string").alias("path"), F.lit(1).alias("height"), F.lit(2).alias("width"), F.lit(1).alias("channels"), F.unhex(F.lit("0708")).alias("data"))
+    folder = F.when(F.col("path") != "5", F.concat(F.lit("s"), F.col("path").cast("long") % 2))
+    write_pictures(rows, str(tmp_path / "all"), F.concat(F.lit("p"), (F.col("path").cast("long") / 2).cast("int")), folder)
+    found = sorted(str(f.relative_to(tmp_path / "all")) for f in (tmp_path / "all").rglob("*") if f.is_file())
+    assert found == ["p2.png", "s0/p0.png", "s0/p1.png", "s0/p2.png", "s1/p0.png", "s1/p1.png"]
+    with pytest.raises(Exception, match="no name for a file"):
+        write_pictures(rows, str(tmp_path / "out"), folder=F.lit(".."))

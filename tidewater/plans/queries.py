@@ -303,9 +303,8 @@ def lab_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def survey_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles as PNG files in the folders of three surveys, found and decoded again."""
-    root, whole = shared_path(spark, "surveys"), tile_images(spark, sf_dir)
-    for i in range(3):
-        write_pictures(whole.where(F.col("path").cast("long") % 3 == i), f"{root}/survey{i}")
+    root = shared_path(spark, "surveys")
+    write_pictures(tile_images(spark, sf_dir), root, folder=F.concat(F.lit("survey"), F.col("path").cast("long") % 3))
     number = F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("image_id")
     sizes = images.find_images(spark, root, recursive=True).select(number, "length")
     found = assess.measure(images.surveys(spark, root), ["blue_channel_mean", "green_channel_mean", "red_channel_mean"])

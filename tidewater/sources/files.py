@@ -72,13 +72,19 @@ class Staged:
         self.system, self.root = opened(self.path)
         self.own = f"{self.root}/{self.job}/{uuid.uuid4().hex}"
         self.names: list[str] = []
+        self.folders: set[str] = set()
         self.system.create_dir(self.own, recursive=True)
 
-    def file(self, name: str):  # noqa: ANN201
-        if "/" in name or name in ("", ".", ".."):
-            raise ValueError(f"no name for a file: {name!r}")
-        self.names.append(name)
-        return self.system.open_output_stream(f"{self.own}/{name}")
+    def file(self, name: str, folder: str | None = None):  # noqa: ANN201
+        """A file to write to; it goes to the folder of that name, if one is given."""
+        for part in (name,) if folder is None else (folder, name):
+            if "/" in part or part in ("", ".", ".."):
+                raise ValueError(f"no name for a file: {part!r}")
+        if folder is not None and folder not in self.folders:
+            self.system.create_dir(f"{self.own}/{folder}")
+            self.folders.add(folder)
+        self.names.append(name if folder is None else f"{folder}/{name}")
+        return self.system.open_output_stream(f"{self.own}/{self.names[-1]}")
 
     def done(self) -> tuple[str, list[str]]:
         return self.own, self.names
@@ -89,6 +95,8 @@ class Staged:
         names = [n for _, own in made for n in own]
         if len(set(names)) < len(names):
             raise ValueError("two rows have the same file name")
+        for folder in {n.rsplit("/", 1)[0] for n in names if "/" in n}:
+            system.create_dir(f"{root}/{folder}")
         for folder, own in made:
             for name in own:
                 system.move(f"{folder}/{name}", f"{root}/{name}")

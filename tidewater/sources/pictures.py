@@ -35,7 +35,7 @@ class Written(WriterCommitMessage):
 
 
 class PictureWriter(DataSourceArrowWriter):
-    """Rows (file, height, width, channels, data), one file each."""
+    """Rows (folder, file, height, width, channels, data), one file each."""
 
     def __init__(self, options: dict) -> None:
         self.stage = Staged(options["path"])
@@ -45,7 +45,7 @@ class PictureWriter(DataSourceArrowWriter):
         for batch in iterator:
             for i in range(batch.num_rows):
                 r = batch.slice(i, 1).to_pylist()[0]
-                with self.stage.file(r["file"]) as file:
+                with self.stage.file(r["file"], r["folder"]) as file:
                     file.write(png(r["data"], r["height"], r["width"], r["channels"]))
         return Written(self.stage.done())
 
@@ -62,20 +62,22 @@ class PictureSink(DataSource):
         return "pictures"
 
     def schema(self) -> str:
-        return "file string, height int, width int, channels int, data binary"
+        return "folder string, file string, height int, width int, channels int, data binary"
 
     def writer(self, schema, overwrite: bool) -> PictureWriter:  # noqa: ANN001
         return PictureWriter(self.options)
 
 
-def write_pictures(images: DataFrame, path: str, name: Column | str = "path") -> None:
+def write_pictures(images: DataFrame, path: str, name: Column | str = "path", folder: Column | None = None) -> None:
     """Write image rows as PNG files into a folder; ``name`` is each file's name, of which the ending becomes .png.
 
+    ``folder`` names a subfolder for each row (null: none), so that one pass over the images fills all of them.
+
     Rows without pixels (failures) are left out.  Tasks write beside the folder and files get their names when all are done; a task that is
     run twice leaves one file, and a failed job none.  Two rows of one name are an error.
     """
     images.sparkSession.dataSource.register(PictureSink)
     last = F.element_at(F.split(F.col(name) if isinstance(name, str) else name, "/"), -1)
     file = F.concat(F.regexp_replace(last, r"\.(?i:jpe?g|png|bmp|tiff?)$", ""), F.lit(".png"))
-    rows = images.where("data is not null").select(file.alias("file"), "height", "width", "channels", "data")
+    rows = images.where("data is not null").select((F.lit(None) if folder is None else folder).cast("string").alias("folder"), file.alias("file"), "height", "width", "channels", "data")
     rows.write.format("pictures").mode("append").option("path", qualified(images.sparkSession, path)).save()
