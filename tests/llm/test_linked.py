@@ -70,6 +70,40 @@ def test_ties_of_one_crowded_group_grow_with_its_nodes(spark, monkeypatch, far):
     assert max(asked) <= 4 * n, asked
 
 
+def test_rows_of_a_crowded_group_without_links_grow_with_its_nodes(spark, monkeypatch):
+    """Candidates that have too little in common with all others together meet none of them, and the few links are found."""
+    for name, value in (("SIDE", 16), ("WEIGHT", 500)):
+        monkeypatch.setattr(common, name, value)
+    dealt, real = [], common.in_groups
+    monkeypatch.setattr(common, "in_groups", lambda df, work: dealt.append(df.count()) or real(df, work))
+    n = 400
+    truth = {i: {*range(6), *range(1000 + 20 * i, 1014 + 20 * i)} for i in range(n)}
+    truth |= {n + i: truth[7 * i] - {0} for i in range(5)}
+    rows = spark.createDataFrame([(i, sorted(s)) for i, s in truth.items()], "node long, shingles array<long>").cache()
+    similar = lambda c, x, y: c >= 0.8 * (x + y - c) - 1e-9
+    sketches = rows.select("node", F.lit(b"12345678").alias("sketch"), F.size("shingles").cast("long").alias("size"))
+    found = common.linked(rows.select(F.lit(1).cast("long").alias("mark"), "node"), sketches, lambda nodes: rows.join(nodes, "node", "left_semi"), lambda a, b: np.ones(len(a), bool), similar)
+    assert {r.node: r.component for r in found.where("node != component").collect()} == {n + i: 7 * i for i in range(5)}
+    assert max(dealt) <= 4 * n, dealt
+
+
+def test_nodes_are_able_to_link_by_shingles_of_other_roots(spark):
+    """Counts are the same however a group's shingles are dealt, and a root's own don't count."""
+    rng = random.Random(4)
+    sets = {i: sorted(rng.sample(range(60), rng.randint(1, 12))) for i in range(50)}
+    root, group = {i: i % 9 // 2 for i in sets}, {i: i % 2 for i in sets}
+    rows = spark.createDataFrame([(group[i], root[i], i, len(s), s) for i, s in sets.items()], "group long, root long, node long, size long, shingles array<long>")
+    common_to = lambda i: sum(any(v in sets[j] for j in sets if group[j] == group[i] and root[j] != root[i]) for v in sets[i])
+    similar = lambda c, x, y: c >= 0.8 * np.sqrt(x * y) - 1e-9
+    want = {i for i in sets if similar(common_to(i), len(sets[i]), max(1, common_to(i)))}
+    assert 0 < len(want) < len(sets)
+    for weight in (10, 1 << 21):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(common, "WEIGHT", weight)
+            got = common.able(rows.drop("shingles"), rows.select("node", "shingles"), similar)
+            assert {r.node for r in got.collect()} == want
+
+
 def test_forest_is_components():
     rng = random.Random(3)
     for n in (1, 5, 40):

@@ -225,7 +225,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 #: Members of a group whose sketches one block holds.
 MEET = 1024
 #: Texts of a group, and distinct shingles of them, that one block of exact comparisons holds at most (a text of more is a block alone).
-SIDE, WEIGHT = 64, 1 << 21
+SIDE, WEIGHT = 256, 1 << 21
+#: One more of a cluster's nodes is compared with all of it at first for so many that a block holds.
+LEADS = 16
 #: Pairs or counts that are worked out at once.
 AT_ONCE = 1 << 21
 
@@ -327,8 +329,10 @@ def met(close: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[pa.T
 
 
 def common_counts(flat: np.ndarray, owner: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """How many values the sets of ``left`` and of ``right`` have in common; value flat[i] is in set owner[i], once."""
-    values, at = np.unique(flat, return_inverse=True)
+    """How many values two different sets of ``left`` and of ``right`` have in common; value flat[i] is in set owner[i], once."""
+    values, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times > 1  # most values are in one set only
+    at, owner, values = (np.cumsum(shared) - 1)[at[shared[at]]], owner[shared[at]], values[shared]
     out = np.zeros((len(left), len(right)), np.float64)
     order = np.argsort(at, kind="stable")
     at, owner = at[order], owner[order]
@@ -385,21 +389,74 @@ def upto(n: Column) -> Column:
 def across(named: DataFrame) -> DataFrame:
     """(g, asks, root, main, node): in blocks, every node outside the main component of its group with all nodes of the group.
 
-    named: (group, parts, side, node, root), a group's number of blocks of ``side`` nodes and each node's component; the
-    main one has the most nodes, and its root is in all blocks, for others to be tied to.  Groups of one component have no rows.
+    named: (group, side, node, root), the nodes of a block and each node's component; the main one has the most nodes, and one
+    of them is in all blocks, for others to be tied to.  Groups of one component have no rows.
     """
     named = save(named, "named")
-    roots = named.groupBy("group", "root").agg(F.count("*").alias("m"), F.max("side").alias("side"))
-    apart = roots.groupBy("group").agg(F.max_by("root", F.struct("m", "root")).alias("most"), (F.sum("m") - F.max("m")).alias("out"), F.max("side").alias("side"), F.count("*").alias("k")).where("k > 1")
-    apart = save(apart.select("group", "most", F.ceil(F.col("out") / F.col("side")).alias("asking")), "apart")
-    rest = named.join(apart, "group").withColumn("main", F.col("root") == F.col("most"))
+    roots = named.groupBy("group", "root").agg(F.count("*").alias("m"), F.min("node").alias("seat"), F.max("side").alias("side"))
+    apart = roots.groupBy("group").agg(F.max_by(F.struct("root", "seat"), F.struct("m", "root")).alias("most"), F.sum("m").alias("n"), F.max("m").alias("m"), F.max("side").alias("side"), F.count("*").alias("k")).where("k > 1")
+    apart = save(apart.select("group", "most", F.ceil(F.col("n") / F.col("side")).alias("parts"), F.ceil((F.col("n") - F.col("m")) / F.col("side")).alias("asking")), "apart")
+    rest = named.join(apart, "group").withColumn("main", F.col("root") == F.col("most.root"))
     part, ask = block_of("node", F.col("parts")), block_of("node", F.col("asking"))
-    dealt = rest.withColumn("part", F.explode(F.when(F.col("node") == F.col("most"), everywhere()).otherwise(F.array(part))))
+    dealt = rest.withColumn("part", F.explode(F.when(F.col("node") == F.col("most.seat"), everywhere()).otherwise(F.array(part))))
     told = dealt.select("group", "root", "main", "node", "part", F.lit(False).alias("asks"), upto(F.col("asking")).alias("ask"))
     asked = rest.where("not main").select("group", "root", "main", "node", upto(F.col("parts")).alias("part"), F.lit(True).alias("asks"), ask.alias("ask"))
     return told.unionByName(asked).select(F.xxhash64("group", "part", "ask").alias("g"), "asks", "root", "main", "node")
 
 
+def shared_counts(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """For the nodes of (g, root, node, shingles) the number of their shingles that a node of another root of their group has."""
+    g, root = (table[c].to_numpy() for c in ("g", "root"))
+    lists = table["shingles"].combine_chunks()
+    size, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+    owner = np.repeat(np.arange(len(g)), size)
+    order = np.lexsort((root[owner], flat, g[owner]))
+    value, whose, of = flat[order], root[owner][order], g[owner][order]
+    starts = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (of[1:] != of[:-1])][: len(order)])
+    ends = np.r_[starts[1:], len(order)][: len(starts)]
+    several = np.repeat(whose[starts] != whose[ends - 1], ends - starts)
+    return table["node"].to_numpy(), np.bincount(owner[order], weights=several, minlength=len(g)).astype(np.int64)
+
+
+def able(named: DataFrame, texts: DataFrame, similar: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """The rows of (group, side, node, root, size) that can be similar to a node of another root of their group.
+
+    All that a node has in common with any of these are the shingles that some of these have; where it would not be similar
+    even to exactly those, it has no link.  A group's shingles are dealt by value, as many to a task as a block holds.
+    """
+    spark = named.sparkSession
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group, root, node, parts = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            size, flat = np.diff(batch.column(4).offsets.to_numpy()), batch.column(4).flatten().to_numpy()
+            owner = np.repeat(np.arange(len(node)), size)
+            part = ((flat.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % parts[owner]
+            order = np.lexsort((part, owner))
+            flat, owner, part = flat[order], owner[order], part[order]
+            at = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])][: len(order)])
+            of = owner[at]
+            g = group[of] ^ (part[at] * np.int64(-7046029254386353131))
+            made = [pa.array(x, pa.int64()) for x in (g, root[of], node[of])]
+            yield pa.RecordBatch.from_arrays([*made, pa.ListArray.from_arrays(np.r_[at, len(order)].astype(np.int32), pa.array(flat))], names=["g", "root", "node", "shingles"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in shared_counts(table)], names=["node", "common"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, common = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in (1, 2))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(similar(common, size, np.maximum(common, 1))))], names=["node"])
+
+    arrow_rows(spark)
+    parts = named.groupBy("group").agg(F.ceil(F.sum("size") / WEIGHT).alias("parts"), F.countDistinct("root").alias("k")).where("k > 1").drop("k")
+    dealt = named.join(parts, "group").join(texts, "node").select("group", "root", "node", "parts", "shingles").mapInArrow(cut, "g long, root long, node long, shingles array<long>")
+    counts = dealt.repartition("g").sortWithinPartitions("g").mapInArrow(count, "node long, common long").groupBy("node").agg(F.sum("common").alias("common"))
+    some = named.select("node", "size").join(counts, "node").select("node", "size", "common").mapInArrow(judge, "node long")
+    return named.join(some, "node")
+
+
 def widened(found: DataFrame, more: DataFrame) -> DataFrame:
     """Components (node, component) after further ties of their roots."""
     return found if more.isEmpty() else components(found.toDF("a", "b").union(more))
@@ -414,11 +471,13 @@ def linked(
     marked: (mark long, node long), sketches: (node, sketch binary of one length, size), each node once; ``sets`` gives the
     (node, shingles array<long>, distinct ones) of some nodes.  Nodes that share a mark and whose sketches are ``close`` are
     candidates, and candidates that connect make a cluster.  A mark of more than MEET nodes is dealt into blocks, all of which have its
-    least node; then nodes of different components still meet, as they do in clusters.  In a cluster every node is compared exactly with
-    the least one first; then all pairs of nodes that lie in different components still are, except those of the largest
-    component, in blocks: a node outside it meets everything of its cluster.  ``similar(common, n, m)`` decides by the
-    numbers of shingles.  So no link between candidates is lost; rows grow with the nodes and, for marks and clusters
-    that stay apart, with the nodes outside the largest component times the blocks.  Pairs are no rows, and ties are
+    least node; then nodes of different components still meet, as they do in clusters.  A cluster that one block holds has all its
+    pairs compared exactly.  In a larger one every node is compared with some of its nodes first; then all pairs of nodes that lie
+    in different components still are, except those of the largest component, in blocks: a node outside it meets everything of
+    its cluster, but for nodes that have too few shingles in common with all other components together (see ``able``).
+    ``similar(common, n, m)`` decides by the numbers of shingles; it has to hold for more in common, and for fewer shingles, where
+    it holds.  So no link between candidates is lost; rows grow with the nodes and, for marks and clusters
+    that stay apart though they have most shingles in common, with the nodes outside the largest component times the blocks.  Pairs are no rows, and ties are
     those of components, to the main one where it is among them: where all of a group is similar in the end, a node has few.
     """
     with tidy() as keep:
@@ -438,7 +497,7 @@ def _linked(marked, sketches, sets, close, similar) -> DataFrame:  # noqa: ANN00
     wide = often.where("parts > 1")
     if not wide.isEmpty():
         named = marked.join(wide, "mark").join(near, "node", "left")
-        named = named.select(F.col("mark").alias("group"), "parts", F.lit(MEET).alias("side"), "node", F.coalesce("component", "node").alias("root"))
+        named = named.select(F.col("mark").alias("group"), F.lit(MEET).alias("side"), "node", F.coalesce("component", "node").alias("root"))
         near = widened(near, save(meet(across(named)), "wide"))
     clusters = save(near.withColumnRenamed("component", "cluster").join(sketches.select("node", "size"), "node"), "clusters")
     texts = save(sets(clusters.select("node")), "sets")
@@ -447,13 +506,18 @@ def _linked(marked, sketches, sets, close, similar) -> DataFrame:  # noqa: ANN00
         return in_groups(dealt.join(texts, "node").select("g", "asks", "root", "main", "node", "shingles"), compared(similar))
 
     side = F.greatest(F.lit(1), F.least(F.lit(SIDE), F.floor(F.lit(WEIGHT) / F.greatest("most", F.lit(1)))))
-    sized = clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.max("size").alias("most")).select("cluster", F.ceil(F.col("n") / side).alias("parts"), side.alias("side"))
+    sized = clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.max("size").alias("most")).select("cluster", F.ceil(F.col("n") / side).alias("parts"), side.alias("side"), "n")
     sized = save(sized, "sized")
-    each = clusters.where("node != cluster").join(sized, "cluster").select("cluster", block_of("node", F.col("parts")).alias("part"), F.lit(False).alias("asks"), "node")
-    lead = sized.select("cluster", upto(F.col("parts")).alias("part"), F.lit(True).alias("asks"), F.col("cluster").alias("node"))
-    star = each.union(lead).select(F.xxhash64("cluster", "part").alias("g"), "asks", F.col("node").alias("root"), F.lit(False).alias("main"), "node")
+    first = (F.pmod(F.xxhash64("node", F.lit(11)), F.ceil(F.col("n") * LEADS / F.col("side")).cast("long")) == 0) & (F.col("side") >= LEADS)
+    rest = clusters.join(sized, "cluster").withColumn("asks", (F.col("parts") == 1) | (F.col("node") == F.col("cluster")) | first)
+    part = F.when(F.col("asks"), everywhere()).otherwise(F.array(block_of("node", F.col("parts"))))
+    star = rest.select("cluster", F.explode(part).alias("part"), "asks", "node")
+    star = star.select(F.xxhash64("cluster", "part").alias("g"), "asks", F.col("node").alias("root"), F.lit(False).alias("main"), "node")
     found = components(exact(star))
 
-    named = clusters.join(found, "node", "left").join(sized, "cluster")
-    named = named.select(F.col("cluster").alias("group"), "parts", "side", "node", F.coalesce("component", "node").alias("root"))
-    return widened(found, save(exact(across(named)), "more"))
+    large = sized.where("parts > 1")
+    if large.isEmpty():
+        return found
+    named = clusters.join(large, "cluster").join(found, "node", "left")
+    named = save(named.select(F.col("cluster").alias("group"), "side", "node", F.coalesce("component", "node").alias("root"), "size"), "apart")
+    return widened(found, save(exact(across(able(named, texts, similar).drop("size"))), "more"))
