@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+from tidewater.llm import common
 from tidewater.llm import suffix_lm as lm
 
 
@@ -67,3 +68,30 @@ def test_a_context_stays_however_large_the_corpus(spark):
     train = spark.createDataFrame(rows, "doc_id long, text string")
     r = lm.score(train, spark.createDataFrame([(1, "alpha beta")], "doc_id long, text string")).first()
     assert r.score > r.base_score + 2
+
+
+def test_what_is_no_longer_read_is_deleted_and_each_part_has_its_own_keys(spark, monkeypatch):
+    """Before the look-ups only the model's tables are left on the disks, and a part reads no other part's keys."""
+    monkeypatch.setattr(lm, "CACHED_WORDS", 0)
+    monkeypatch.setattr(lm, "CACHED_RUNS", 0)
+    left, wide, real = [], [], common.save
+
+    def save(df, name):
+        if name in ("scored", "values"):
+            left.append((name, {p.rsplit("/", 1)[1].split("-")[0] for _, p in common._tables if exists(p)}))
+        out = real(df, name)
+        if name == "scored":
+            wide.extend(c for c in out.columns if c.startswith("keys"))
+        return out
+
+    def exists(path):
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+    monkeypatch.setattr(common, "_tables", [])
+    monkeypatch.setattr(lm, "save", save)
+    texts = spark.createDataFrame([(i, f"a b c d{i % 3}") for i in range(30)], "doc_id long, text string")
+    lm.score(texts, texts).collect()
+    assert left[-1] == ("scored", {"words", "values"})
+    assert not any("sieve" in names or "joined" in names for _, names in left)
+    assert len(wide) == lm.PARTS
